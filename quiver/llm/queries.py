@@ -15,9 +15,88 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiver.llm.mixing import mix
+
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiver.llm.bitsliced_topk import exact_topk
+
+    rows = read(spark, sf_dir, "embeddings")
+    return exact_topk(rows, rows.filter("vec_id % 100 = 0"))
+
+
+def op4_multi_index_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiver.llm.multi_index_hash import ann
+
+    rows = read(spark, sf_dir, "embeddings")
+    return ann(rows, rows.filter("vec_id % 100 = 0"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiver.llm.toxicity import toxicity
+
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiver.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
+def byte_bpe() -> str:
+    """The public tokenizer's JSON; its path is a parameter of the environment or the installed package."""
+    import os
+
+    from quiver.llm.bpe import tokenizer_text
+
+    path = os.environ.get("QUIVER_TOKENIZER")
+    if not path:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokenizer_text(path)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiver.llm.bpe import encode
+
+    return encode(read(spark, sf_dir, "documents"), byte_bpe(), stable=True)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiver.llm.language_id import language_id
+
+    return language_id(read(spark, sf_dir, "documents"))
+
+
+#: Conversation -1 of op9: both turns are made of control strings.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiver.llm.chat_format import format_events, read_back, to_events
+
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    return read_back(format_events(to_events(rows.unionByName(control))))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiver.llm.line_dedup import digest, line_dedup
+
+    return digest(line_dedup(read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup,)}
+    found = (op1_substring_dedup, op2_mixing, op3_bitsliced_topk, op4_multi_index_hash, op5_toxicity, op6_ngram_jaccard, op7_bpe, op8_language_id, op9_chat_format, op10_line_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quiver.llm import bitsliced_topk, chat_format, mixing
+
+    return {"op2_mixing": mixing.ORACLE_SQL, "op3_bitsliced_topk": bitsliced_topk.ORACLE_SQL, "op9_chat_format": chat_format.ORACLE_SQL}

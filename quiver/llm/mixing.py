@@ -98,9 +98,10 @@ def mix(documents: DataFrame, weights=WEIGHTS, cap: int = CAP, tilts=(0.5, 0.0,
     )
 
 
-def schedule(mixed: DataFrame, parts: int | None = None) -> DataFrame:
-    """The training order: one row per copy, sorted by range of position."""
-    copies = mixed.select("doc_id", "source", F.explode("copies").alias("c")).select("doc_id", "source", F.col("c.copy").alias("copy"), F.col("c.words").alias("words"), F.col("c.position").alias("position"))
+def schedule_rows(mixed: DataFrame, parts: int | None = None) -> DataFrame:
+    """The training order: one row per copy, sorted by range of position, with all columns of mixed."""
+    names = [c for c in mixed.columns if c not in ("copies", "position")]
+    copies = mixed.select(*names, F.explode("copies").alias("c")).select(*names, F.col("c.copy").alias("copy"), F.col("c.words").alias("words"), F.col("c.position").alias("position"))
     order = ("position", "doc_id", "copy")
     dealt = copies.repartitionByRange(parts, *order) if parts else copies.repartitionByRange(*order)
     return dealt.sortWithinPartitions(*order)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quiver.llm.common import read
 
@@ -18,7 +19,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quiver.llm.mixing import mix
 
-    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    # The documents in training order: sorted by range of their first position, untaken ones last.
+    order = F.col("position").asc_nulls_last(), F.col("doc_id")
+    mixed = mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).drop("position")
 
 
 def op3_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,10 @@ A line's set holds the hashes of the character shingles of SHINGLE characters
 that start at the starts of its words (a shorter rest of the line is a shingle
 too).  Lines are near-equal if 100 * intersection >= 80 * union of their sets.
 
-1. Signature: MINIMA minima of the set, each under another XOR mask of the
-   hashes; bands are pairs of minima, all pairs within two triples.  Two lines
-   at similarity 0.8 share a band with probability 0.989, at 0.9 with 0.999.
+1. Signature: the three smallest and the three greatest hashes of the set (a
+   MinHash of three values under each of two orders); bands are the pairs within
+   either triple.  Two lines at similarity 0.8 share a band with probability
+   0.996, at 0.9 with more than 0.999.
 2. Banding: in each bucket every line is paired with the bucket's least and
    greatest line, so a bucket of n lines gives at most 2 n pairs.
 3. Verification: exact Jaccard similarity of each pair's sets.
@@ -26,27 +27,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.common import checkpoint, order_key
+from quiver.llm.common import checkpoint, order_key, written
 from quiver.llm.components import components
 
 SHINGLE = 10
-#: XOR masks, by rule: multiples of an odd constant, modulo 2**64.
-MINIMA = [((i * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64)) - (1 << 63) for i in range(1, 7)]
-BANDS = [(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5)]
+#: Pairs of places in the sorted hashes, from 1 up and from -1 down.
+BANDS = [(1, 2), (1, 3), (2, 3), (-1, -2), (-1, -3), (-2, -3)]
 PERCENT = 80
-#: Buckets of candidate ids by which lines are dropped before the verification's shuffle.
-SIEVE = 1 << 20
 
 
 def shingles(line: Column) -> Column:
     """Distinct hashes of the character shingles of a line."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?<![^ ])(?=([^ ].{{0,{SHINGLE - 1}}}))"), F.lit(1))
+    found = F.regexp_extract_all(line, F.lit(rf"(?=([^ ].{{0,{SHINGLE - 1}}}))[^ ]+ *"), F.lit(1))
     return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
     """doc, pos, line of each line that is not blank."""
-    return documents.select(order_key("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.trim(F.translate("line", "\t\r", "  ")) != "")
+    return documents.select(order_key("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def _similar(a: Column, b: Column) -> Column:
@@ -54,21 +52,24 @@ def _similar(a: Column, b: Column) -> Column:
     return 100 * common >= PERCENT * (F.size(a) + F.size(b) - common)
 
 
-def line_links(lines: DataFrame) -> DataFrame:
+def signatures(lines: DataFrame) -> DataFrame:
+    """doc, pos, id and the band keys of each line."""
+    signed = lines.select("doc", "pos", F.xxhash64("line").alias("id"), F.sort_array(shingles(F.col("line"))).alias("set"))
+    keys = (F.xxhash64(F.lit(i), F.try_element_at("set", F.lit(a)), F.try_element_at("set", F.lit(b))).alias(f"k{i}") for i, (a, b) in enumerate(BANDS))
+    return signed.select("doc", "pos", "id", *keys)
+
+
+def line_links(lines: DataFrame, signed: DataFrame) -> DataFrame:
     """Verified pairs (a, b) of ids of near-equal lines."""
-    signed = lines.select(F.xxhash64("line").alias("id"), shingles(F.col("line")).alias("set"))
-    minima = [F.array_min(F.transform("set", lambda x, m=m: x.bitwiseXOR(F.lit(m)))) for m in MINIMA]
-    signed = signed.select("id", *(m.alias(f"m{i}") for i, m in enumerate(minima))).filter("m0 is not null")
-    keys = F.array(*(F.xxhash64(F.lit(i), f"m{a}", f"m{b}") for i, (a, b) in enumerate(BANDS)))
+    keys = F.array(*(f"k{i}" for i in range(len(BANDS))))
     dealt = signed.select("id", F.explode(keys).alias("key")).repartition("key")
     shared = dealt.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     member = dealt.join(shared.hint("shuffle_hash"), "key")
     pairs = member.select(F.explode(F.array(F.struct(F.col("id").alias("a"), F.col("low").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
     pairs = checkpoint(pairs.select(F.greatest("p.a", "p.b").alias("a"), F.least("p.a", "p.b").alias("b")).filter("a <> b").distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sieve = wanted.select(F.pmod("id", F.lit(SIEVE)).alias("slot")).distinct()  # at most SIEVE rows
-    told = lines.select(F.xxhash64("line").alias("id"), "line").withColumn("slot", F.pmod("id", F.lit(SIEVE))).join(F.broadcast(sieve), "slot", "left_semi")
-    sets = told.join(wanted, "id", "left_semi").select("id", "line").groupBy("id").agg(F.min("line").alias("line")).select("id", shingles(F.col("line")).alias("set"))
+    told = lines.select(F.xxhash64("line").alias("id"), "line").join(wanted.hint("shuffle_hash"), "id", "left_semi")
+    sets = told.groupBy("id").agg(F.min("line").alias("line")).select("id", shingles(F.col("line")).alias("set"))
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     return pairs.join(left, "a").join(right, "b").filter(_similar(F.col("set_a"), F.col("set_b"))).select("a", "b")
@@ -77,8 +78,9 @@ def line_links(lines: DataFrame) -> DataFrame:
 def removed_lines(documents: DataFrame) -> DataFrame:
     """doc, removed (positions) of the documents that lose lines."""
     lines = _lines(documents)
-    merged = components(line_links(lines)).select(F.col("node").alias("id"), F.col("component").alias("class"))
-    placed = lines.select(F.xxhash64("line").alias("id"), "doc", "pos")
+    signed = written(signatures(lines), "line-signatures")
+    merged = components(line_links(lines, signed)).select(F.col("node").alias("id"), F.col("component").alias("class"))
+    placed = signed.select("id", "doc", "pos")
     repeated = placed.groupBy("id").agg(F.count("*").alias("n")).join(merged, "id", "full_outer").filter("n > 1 or class is not null").select("id", F.coalesce("class", "id").alias("class"))
     members = checkpoint(placed.join(repeated, "id").select("class", "doc", "pos").distinct())
     first = members.groupBy("class").agg(F.min(F.struct("doc", "pos")).alias("first"))

@@ -1,28 +1,30 @@
-"""BPE encoding and decoding through a table of distinct words.
+"""BPE encoding and decoding through tables of distinct words.
 
-1. Documents are split into the tokenizer's words (pre-tokens) by vectorised
+1. Split: texts are cut into the tokenizer's words (pre-tokens) by vectorised
    character classes that are asked of the tokenizer itself; texts with special
-   tokens or characters beyond the basic plane are split by the tokenizer.
-2. A block of documents numbers its distinct words by frequency; a document
-   becomes the sequence of its words' numbers.
-3. The words of all blocks are dealt and sorted by word, and each distinct word
-   is encoded once.  Its ids go back to the blocks that have it.
-4. In each block the ids are joined to the documents by position, and the ids to
-   their pieces (the vocabulary, 50,257 rows, is small by definition) to decode.
-
-A common word costs one row a block, not one an occurrence, so no key is hot,
-and a block's tables are bounded by its size in words.  Steps 2 and 4 read the
-documents separately and must see the same batches; a frame that is not a plain
-scan of files is written to the shared folder first (stable=False).
+   tokens or characters beyond the basic plane are cut by the tokenizer.
+2. Distinct words: a task keeps a table of the distinct words of its documents;
+   each is encoded once, when it is first met.  The table is emptied beyond
+   TABLE words, which bounds memory and changes no result.
+3. Join back by position: a text is a sequence of row numbers of the table, and
+   its ids are the rows' ids in that order.
+4. Decode: the ids of each row are joined to the pieces of the vocabulary (the
+   id-to-piece table, 50,257 rows, small by definition), and a text is the
+   sequence of its rows' pieces.
+
+The table belongs to a task, not to the corpus: a corpus-wide table that is
+shuffled by word and joined back to blocks of documents was built and measured
+first; the README has its figures.  There is no shuffle, so no key is hot and a
+lost executor costs its own tasks only.
 
 Nulls: a null text is empty and has no ids; a null doc_id is carried.  Repeated
-rows are encoded each.  Words are told apart in a block by 64-bit hashes.
+rows are encoded each.  An empty table gives an empty result.  Words are told
+apart in a task by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 from itertools import chain
 
 import numpy as np
@@ -30,11 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.common import shuffle_partitions, written
-from quiver.llm.words import _BYTE, span_hashes
+from quiver.llm.words import _BYTE, CHUNK, span_hashes
 
-LETTER, NUMBER, OTHER, WHITE = 0, 1, 2, 3
-BLOCK_BYTES = 24 << 20
+LETTER, NUMBER, OTHER, WHITE, EDGE = 0, 1, 2, 3, 4
+TABLE = 1 << 19
 
 
 def tokenizer_text(path: str) -> str:
@@ -55,15 +56,14 @@ def character_classes(tokenizer) -> np.ndarray:
     return classes
 
 
-def word_starts(codes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Starts of the words of a text of basic-plane characters."""
+def word_starts(codes: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Starts of the words of texts of basic-plane characters; EDGE parts texts."""
     n = len(codes)
-    kind = classes[codes]
     start = np.ones(n + 1, bool)
     start[1:n] = kind[1:] != kind[:-1]
     white = kind == WHITE
     # White space before a word: its last character stands apart, and joins the word if it is a space.
-    last = np.flatnonzero(white[:-1] & ~white[1:])
+    last = np.flatnonzero(white[:-1] & ~white[1:] & (kind[1:] != EDGE))
     start[last] = True
     start[last[codes[last] == 0x20] + 1] = False
     # Contractions: an apostrophe that starts a word, then s, t, m, d, re, ve or ll.
@@ -80,246 +80,192 @@ def word_starts(codes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
-class Splitter:
-    """Splits texts into the words of one tokenizer."""
+def byte_alphabet() -> dict[str, int]:
+    """Character -> byte: printable Latin-1 characters stand for themselves, the
+    other bytes in order for the characters from 256 on."""
+    from tokenizers import pre_tokenizers
+
+    known = set(pre_tokenizers.ByteLevel.alphabet())
+    plain = [b for b in range(256) if chr(b) in known]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+class Vocabulary:
+    """What a task needs of a tokenizer: classes, special tokens and pieces."""
 
     def __init__(self, text: str):
-        self.text, self.tokenizer = text, None
-        self.classes = character_classes(self.load())
-        self.special = [t.content for t in self.load().get_added_tokens_decoder().values()]
-        self.tokenizer = None  # it is loaded again where it is needed
+        from tokenizers import Tokenizer
+
+        self.text = text
+        tokenizer = Tokenizer.from_str(text)
+        self.classes = character_classes(tokenizer)
+        self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        byte, vocabulary = byte_alphabet(), tokenizer.get_vocab()
+        self.pieces = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.pieces[i] = token.encode() if token in self.special else bytes(byte[c] for c in token)
 
-    def load(self):
+    def splitter(self):
         from tokenizers import Tokenizer
 
-        if self.tokenizer is None:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            self.tokenizer = Tokenizer.from_str(self.text)
-            self.tokenizer.no_padding()
-            self.tokenizer.no_truncation()
-        return self.tokenizer
+        return Tokenizer.from_str(self.text).pre_tokenizer
 
-    def __getstate__(self):
-        return self.__dict__ | {"tokenizer": None}
+    def encoder(self):
+        """Encodes one word: ids are ranks of the merges, as they are in this vocabulary."""
+        import tiktoken
 
-    def _parts(self, text: str):
-        """(part, is special): the added tokens are taken out first, as the tokenizer does."""
+        special = set(self.special.values())
+        ranks = {p: i for i, p in enumerate(self.pieces) if i not in special}
+        return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def special_parts(self, text: str):
+        """(part, is special): added tokens are taken out first, as the tokenizer does."""
         parts = [(text, False)]
         for token in self.special:
-            parts = list(chain.from_iterable(
-                [x for i, p in enumerate(part.split(token)) for x in (([(token, True)] if i else []) + ([(p, False)] if p else []))] if not special else [(part, True)]
-                for part, special in parts
-            ))
+            cut = []
+            for part, special in parts:
+                if special:
+                    cut.append((part, True))
+                    continue
+                for i, piece in enumerate(part.split(token)):
+                    cut += ([(token, True)] if i else []) + ([(piece, False)] if piece else [])
+            parts = cut
         return parts
 
-    def ends(self, text: str) -> np.ndarray:
-        """Byte offsets of the ends of the words of a text."""
-        if any(token in text for token in self.special):
-            out, base = [], 0
-            for part, special in self._parts(text):
-                size = len(part.encode())
-                out.append(np.asarray([size]) + base if special else self.ends(part) + base)
-                base += size
-            return np.concatenate(out) if out else np.empty(0, np.int64)
-        if not text:
-            return np.empty(0, np.int64)
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
-        offsets = np.concatenate([[0], np.cumsum(width)])
-        if codes.max() > 0xFFFF:
-            starts = np.asarray([s for _, (s, _) in self.load().pre_tokenizer.pre_tokenize_str(text)])
-        else:
-            starts = word_starts(codes, self.classes)
-        return offsets[np.concatenate([starts[1:], [len(codes)]])]
-
-
-def _varint(values: np.ndarray) -> bytes:
-    size = 1 + (values >= 1 << 7).astype(np.int64) + (values >= 1 << 14) + (values >= 1 << 21)
-    at = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), np.uint8)
-    for j in range(4):
-        pick = size > j
-        out[at[pick] + j] = (values[pick] >> (7 * j) & 0x7F) | np.where(size[pick] > j + 1, 0x80, 0)
-    return out.tobytes()
-
-
-def _from_varint(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    end = np.flatnonzero(raw < 0x80)
-    start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
-    out = np.zeros(len(end), np.int64)
-    for j in range(4):
-        pick = end - start >= j
-        out[pick] |= (raw[start[pick] + j] & 0x7F).astype(np.int64) << (7 * j)
-    return out
-
-
-def _blocks(batches):
-    """Whole rows gathered to blocks of about BLOCK_BYTES of text: (number, columns)."""
-    held, size, number = [], 0, 0
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-            held.append(row)
-            size += len(row[0] or b"") + 64
-            if size >= BLOCK_BYTES:
-                yield number, held
-                held, size, number = [], 0, number + 1
-    if held:
-        yield number, held
-
-
-def _number_words(splitter: Splitter, texts: list) -> tuple[list[bytes], list[np.ndarray]]:
-    """Distinct words of the block, most frequent first, and each text's numbers."""
-    known: dict[int, int] = {}
-    words, numbers = [], []
-    for text in texts:
-        if not text:
-            numbers.append(np.empty(0, np.int64))
-            continue
-        ends = splitter.ends(text.decode("utf-8", "replace"))
-        data = np.frombuffer(text, np.uint8)
-        starts = np.concatenate([[0], ends[:-1]])
-        h = span_hashes(_BYTE[data], starts, ends)
-        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        number = np.empty(len(distinct), np.int64)
-        for i, (x, f) in enumerate(zip(distinct.tolist(), first.tolist())):
-            n = known.get(x)
-            if n is None:
-                n = known[x] = len(words)
-                words.append(text[starts[f] : ends[f]])
-            number[i] = n
-        numbers.append(number[inverse])
-    count = np.zeros(len(words), np.int64)
-    for n in numbers:
-        count += np.bincount(n, minlength=len(words))
-    order = np.argsort(-count, kind="stable")
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
-    return [words[i] for i in order], [rank[n] for n in numbers]
-
-
-def _task() -> int:
-    from pyspark import TaskContext
-
-    return TaskContext.get().partitionId()
-
-
-def _word_rows(splitter: Splitter):
-    def run(batches):
-        task = _task()
-        for number, rows in _blocks(batches):
-            words, _ = _number_words(splitter, [r[0] for r in rows])
-            for s in range(0, len(words), 50_000):
-                part = words[s : s + 50_000]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, (task << 24) + number, np.int64)), pa.array(np.arange(s, s + n, dtype=np.int32)), pa.array(part, pa.binary())], names=["block", "rank", "word"])
 
-    return run
+class WordTable:
+    """A task's distinct words with their ids; texts become sequences of its rows."""
 
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.pre, self.encode = vocabulary, vocabulary.splitter(), vocabulary.encoder()
+        self.clear()
 
-def _document_rows(splitter: Splitter):
-    def run(batches):
-        task = _task()
-        for number, rows in _blocks(batches):
-            _, numbers = _number_words(splitter, [r[0] for r in rows])
-            for s in range(0, len(rows), 2000):
-                part = rows[s : s + 2000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), (task << 24) + number, np.int64)), pa.array([r[1] for r in part], pa.int64()), pa.array([_varint(x) for x in numbers[s : s + 2000]], pa.binary())], names=["block", "doc_id", "numbers"]
-                )
-
-    return run
+    def clear(self) -> None:
+        self.row: dict[int, int] = {}
+        self.ids: list[list[int]] = []
+        self.size: list[int] = []
+        self.decimal: list[str] = []
+        self.decoded: list[bytes] = []
 
+    def _add(self, ids: list[int]) -> int:
+        pieces = self.vocabulary.pieces
+        self.ids.append(ids)
+        self.size.append(len(ids))
+        self.decimal.append("," + ",".join(map(str, ids)))
+        self.decoded.append(b"".join([pieces[i] for i in ids]))
+        return len(self.ids) - 1
 
-def _encode_words(splitter: Splitter):
-    """Rows sorted by word: each distinct word is encoded once."""
-
-    def run(batches):
-        tokenizer = splitter.load()
-        last, last_ids = None, b""
-        for batch in batches:
-            words = batch.column(2).to_pylist()
-            distinct, which = [], []
-            for w in words:
-                if not distinct or w != distinct[-1]:
-                    distinct.append(w)
-                which.append(len(distinct) - 1)
-            fresh = distinct[1:] if distinct and distinct[0] == last else distinct
-            coded = [np.asarray(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)] if fresh else []
-            if len(fresh) < len(distinct):
-                coded.insert(0, last_ids)
-            if distinct:
-                last, last_ids = distinct[-1], coded[-1]
-            narrow = [np.frombuffer(c, np.uint32) for c in coded]
-            packed = [_varint(c.astype(np.int64)) for c in narrow]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([packed[i] for i in which], pa.binary())], names=["block", "rank", "ids"])
-
-    return run
-
-
-def pieces(text: str) -> list[bytes]:
-    """id -> bytes of its piece, by the byte-level alphabet of the vocabulary."""
-    from tokenizers import Tokenizer, pre_tokenizers
-
-    tokenizer = Tokenizer.from_str(text)
-    # The alphabet: printable Latin-1 characters stand for themselves, the other
-    # bytes in order for the characters from 256 on.
-    plain = [b for b in range(256) if chr(b) in set(pre_tokenizers.ByteLevel.alphabet())]
-    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    out = [b""] * (max(tokenizer.get_vocab().values()) + 1)
-    for token, i in tokenizer.get_vocab().items():
-        out[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-    return out
-
-
-def encode(documents: DataFrame, tokenizer: str, stable: bool = False, outputs: bool = False) -> DataFrame:
+    def rows_of(self, words: list[str]) -> list[int]:
+        """Rows of words that are given as strings (the slow path)."""
+        out = []
+        for word in words:
+            row = self.row.get(word)
+            if row is None:
+                special = self.vocabulary.special.get(word)
+                row = self.row[word] = self._add([special] if special is not None else self.encode(word))
+            out.append(row)
+        return out
+
+    def slow(self, text: str) -> list[int]:
+        words = []
+        for part, special in self.vocabulary.special_parts(text):
+            words += [part] if special else [part[s:e] for _, (s, e) in self.pre.pre_tokenize_str(part)]
+        return self.rows_of(words)
+
+    def fast(self, texts: list[str]) -> list[np.ndarray]:
+        """Rows of texts of basic-plane characters, all at once."""
+        joined = "\n".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kind = self.vocabulary.classes[codes]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        kind[ends[:-1] - 1] = EDGE  # the newlines that part the texts
+        starts = word_starts(codes, kind)
+        width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800)
+        offsets = np.concatenate([[0], np.cumsum(width)])
+        begin, end = offsets[starts], offsets[np.concatenate([starts[1:], [len(codes)]])]
+        inside = kind[starts] != EDGE
+        owner = np.searchsorted(ends, starts, side="right")[inside]
+        begin, end = begin[inside], end[inside]
+        raw = joined.encode()
+        hashes = span_hashes(_BYTE[np.frombuffer(raw, np.uint8)], begin, end)
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        row, get = np.empty(len(distinct), np.int64), self.row.get
+        for i, h in enumerate(distinct.tolist()):
+            found = get(h)
+            if found is None:
+                word = raw[begin[first[i]] : end[first[i]]].decode()
+                found = self.row[h] = self._add(self.encode(word))
+            row[i] = found
+        rows = row[inverse]
+        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+        return [rows[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def encode_texts(self, texts: list[str]):
+        """(position, rows) of each text."""
+        held, size = [], 0
+
+        def ready():
+            nonlocal held, size
+            found = self.fast([texts[i] for i in held])
+            done = list(zip(held, found))
+            held, size = [], 0
+            return done
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if len(self.ids) > TABLE:
+                if held:
+                    yield from ready()
+                self.clear()
+            if any(token in text for token in self.vocabulary.special) or max(text) > "\uffff":
+                yield i, np.asarray(self.slow(text), np.int64)
+                continue
+            held.append(i)
+            size += len(text)
+            if size >= CHUNK:
+                yield from ready()
+        if held:
+            yield from ready()
+
+
+def encode(documents: DataFrame, tokenizer: str, outputs: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row (and ids, decoded).
 
     tokenizer: the tokenizer's JSON text.
     """
-    parts = shuffle_partitions(documents.sparkSession)
-    splitter, piece = Splitter(tokenizer), pieces(tokenizer)
-    docs = documents.select(F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    if not stable:
-        docs = written(docs, "bpe-documents")
-    coded = (
-        docs.mapInArrow(_word_rows(splitter), "block long, rank int, word binary")
-        .repartition(parts, "word").sortWithinPartitions("word")
-        .mapInArrow(_encode_words(splitter), "block long, rank int, ids binary")
-    )
-    numbered = docs.mapInArrow(_document_rows(splitter), "block long, doc_id long, numbers binary")
-
-    def join(_, words: pa.Table, rows: pa.Table) -> pa.Table:
-        ranks = words.column("rank").to_numpy()
-        ids: list = [None] * len(ranks)
-        for r, i in zip(ranks.tolist(), words.column("ids").to_pylist()):
-            ids[r] = i
-        lists = [_from_varint(i).tolist() for i in ids]
-        del ids
-        size = np.asarray([len(x) for x in lists], np.int64)
-        decimal = ["," + ",".join(map(str, x)) for x in lists]
-        decoded = [b"".join([piece[i] for i in x]) for x in lists]
-        out = []
-        for numbers in rows.column("numbers").to_pylist():
-            at = _from_varint(numbers)
-            n = at.tolist()
-            line = "".join([decimal[i] for i in n])[1:]
-            text = b"".join([decoded[i] for i in n]).decode("utf-8", "replace").encode()
-            row = (int(size[at].sum()), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(text).hexdigest())
-            out.append(row + (list(chain.from_iterable(lists[i] for i in n)), text.decode()) if outputs else row)
-        cols = list(zip(*out)) or [[]] * (5 if outputs else 3)
-        columns = {"doc_id": rows.column("doc_id"), "n_tokens": pa.array(cols[0], pa.int64()), "ids_sha256": pa.array(cols[1], pa.string()), "decoded_sha256": pa.array(cols[2], pa.string())}
-        if outputs:
-            columns |= {"ids": pa.array(cols[3], pa.list_(pa.int32())), "decoded": pa.array(cols[4], pa.string())}
-        return pa.table(columns)
+    vocabulary = Vocabulary(tokenizer)
+    empty = hashlib.sha256(b"").hexdigest()
+
+    def run(batches):
+        table = WordTable(vocabulary)
+        for batch in batches:
+            texts = [t and t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
+            n, digest, back = [0] * len(texts), [empty] * len(texts), [empty] * len(texts)
+            ids: list = [[] for _ in texts]
+            decoded = [""] * len(texts)
+            for i, rows in table.encode_texts(texts):
+                at = rows.tolist()
+                n[i] = sum([table.size[r] for r in at])
+                digest[i] = hashlib.sha256("".join([table.decimal[r] for r in at])[1:].encode()).hexdigest()
+                text = b"".join([table.decoded[r] for r in at])
+                back[i] = hashlib.sha256(text.decode("utf-8", "replace").encode()).hexdigest()
+                if outputs:
+                    ids[i], decoded[i] = list(chain.from_iterable(table.ids[r] for r in at)), text.decode("utf-8", "replace")
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if outputs:
+                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                names += ["ids", "decoded"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if outputs else "")
-    return coded.groupBy("block").cogroup(numbered.groupBy("block")).applyInArrow(join, schema)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, ids array<int>) -> doc_id, decoded: each id joined to its piece."""
-    piece = pieces(tokenizer)
+    piece = Vocabulary(tokenizer).pieces
 
     def run(batches):
         for batch in batches:

@@ -68,7 +68,7 @@ def byte_bpe() -> str:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quiver.llm.bpe import encode
 
-    return encode(read(spark, sf_dir, "documents"), byte_bpe(), stable=True)
+    return encode(read(spark, sf_dir, "documents"), byte_bpe())
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,105 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quiver.plans.cypher import cypher
+from quiver.sources.testdata import testdata_graph
 
-def queries():
-    return {}
+_CYPHER: dict[str, tuple[str, dict]] = {}
+_OTHER: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def _c(name: str, text: str, sql: str | None = None, **params) -> None:
+    _CYPHER[name] = (text, params)
+    if sql:
+        _SQL[name] = sql
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _OTHER[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+PARTY = "(SELECT c_nationkey k, c_acctbal b, c_name nm FROM customer UNION ALL SELECT s_nationkey, s_acctbal, s_name FROM supplier)"
+SLICE = (
+    "MATCH (p:Party)-[:BASED_IN]->(n:Nation)-[:IN_REGION]->(:Region {name:'ASIA'}) WHERE p.acctbal > $min "
+    "RETURN n.name AS nation, count(*) AS parties, round(avg(p.acctbal), 4) AS mean ORDER BY parties DESC, nation LIMIT 10"
+)
+_c("slice_party_by_nation", SLICE, f"SELECT n_name AS nation, count(*) AS parties, round(avg(b), 4) AS mean FROM {PARTY} p JOIN nation ON n_nationkey=k JOIN region ON r_regionkey=n_regionkey WHERE r_name='ASIA' AND b>1000 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", min=1000)
+_c("label_scan_union", "MATCH (p:Party) RETURN p.name AS name, p.acctbal AS acctbal, p.mktsegment AS segment", "SELECT c_name AS name, c_acctbal AS acctbal, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, s_acctbal, NULL FROM supplier")
+_c("any_node_scan", "MATCH (a) RETURN count(*) AS n", "SELECT (SELECT count(*) FROM region)+(SELECT count(*) FROM nation)+(SELECT count(*) FROM customer)+(SELECT count(*) FROM supplier)+(SELECT count(*) FROM part)+(SELECT count(*) FROM orders)+(SELECT count(*) FROM events)+(SELECT count(*) FROM conversations)+(SELECT count(*) FROM embeddings)+(SELECT count(*) FROM documents) AS n")
+_c("unknown_label", "MATCH (a:Nothing) RETURN a.name AS name", "SELECT r_name AS name FROM region WHERE false")
+_c("inline_filter", "MATCH (c:Customer {mktsegment: $segment}) RETURN c.custkey AS custkey", "SELECT c_custkey AS custkey FROM customer WHERE c_mktsegment='BUILDING'", segment="BUILDING")
+_c("reverse_hop", "MATCH (n:Nation)<-[:BASED_IN]-(s:Supplier) RETURN n.name AS nation, count(s) AS suppliers", "SELECT n_name AS nation, count(*) AS suppliers FROM supplier JOIN nation ON n_nationkey=s_nationkey GROUP BY 1")
+_c("undirected_hop", "MATCH (t:Turn)-[:NEXT]-(u:Turn) RETURN t.role AS role, count(u) AS n", "WITH e AS (SELECT a.role ra, b.role rb FROM conversations a JOIN conversations b ON b.conv_id=a.conv_id AND b.turn=a.turn+1) SELECT role, count(*) AS n FROM (SELECT ra AS role FROM e UNION ALL SELECT rb FROM e) GROUP BY 1")
+_c("type_alternatives", "MATCH (o:Order)-[r:CONTAINS|SHIPPED_BY]->(x) RETURN type(r) AS kind, count(*) AS n, round(sum(r.quantity), 2) AS quantity", "SELECT kind, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM (SELECT 'CONTAINS' kind, l_quantity FROM lineitem UNION ALL SELECT 'SHIPPED_BY', l_quantity FROM lineitem) GROUP BY 1")
+_c("two_hop", "MATCH (c:Customer)-[:PLACED]->(o:Order)-[l:CONTAINS]->(p:Part) WHERE p.size > 40 RETURN c.mktsegment AS segment, count(*) AS lines, round(sum(l.price), 2) AS revenue", "SELECT c_mktsegment AS segment, count(*) AS lines, round(sum(l_extendedprice), 2) AS revenue FROM customer JOIN orders ON o_custkey=c_custkey JOIN lineitem ON l_orderkey=o_orderkey JOIN part ON p_partkey=l_partkey WHERE p_size>40 GROUP BY 1")
+_c("co_purchase_isomorphism", "MATCH (:Part {partkey:1})<-[:CONTAINS]-(:Order)-[:CONTAINS]->(q:Part) RETURN q.partkey AS partkey, count(*) AS n", "WITH e AS (SELECT row_number() OVER () id, l_orderkey o, l_partkey p FROM lineitem) SELECT b.p AS partkey, count(*) AS n FROM e a JOIN e b ON a.o=b.o AND a.id<>b.id WHERE a.p=1 GROUP BY 1")
+_c("optional_match_null", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) RETURN c.custkey AS custkey, count(o) AS orders", "SELECT c_custkey AS custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey=c_custkey GROUP BY 1")
+_c("optional_all_or_nothing", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order)-[l:CONTAINS]->(p:Part) WHERE p.size = 50 AND o.totalprice > 300000 RETURN c.custkey AS custkey, count(DISTINCT o) AS orders, count(p) AS parts", "SELECT c_custkey AS custkey, count(DISTINCT o_orderkey) AS orders, count(p_partkey) AS parts FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey, p_partkey FROM orders JOIN lineitem ON l_orderkey=o_orderkey JOIN part ON p_partkey=l_partkey WHERE p_size=50 AND o_totalprice>300000) ON o_custkey=c_custkey GROUP BY 1")
+_c("multi_match", "MATCH (s:Supplier)-[:BASED_IN]->(n:Nation) MATCH (c:Customer)-[:BASED_IN]->(n) WHERE c.acctbal > 9000 RETURN n.name AS nation, count(*) AS pairs", "SELECT n_name AS nation, count(*) AS pairs FROM supplier JOIN nation ON n_nationkey=s_nationkey JOIN customer ON c_nationkey=n_nationkey WHERE c_acctbal>9000 GROUP BY 1")
+_c("comma_cross", "MATCH (r:Region), (q:Region) WHERE r.regionkey < q.regionkey RETURN r.name AS a, q.name AS b", "SELECT r.r_name AS a, q.r_name AS b FROM region r, region q WHERE r.r_regionkey<q.r_regionkey")
+_c("with_having", "MATCH (c:Customer)-[:PLACED]->(o) WITH c, count(*) AS n WHERE n > 12 RETURN c.custkey AS custkey, n", "SELECT o_custkey AS custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*)>12")
+_c("with_then_match", "MATCH (c:Customer) WITH c ORDER BY c.acctbal DESC, c.custkey LIMIT 20 MATCH (c)-[:PLACED]->(o:Order) RETURN c.custkey AS custkey, round(sum(o.totalprice), 2) AS total", "SELECT o_custkey AS custkey, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20) GROUP BY 1")
+_c("unwind_list", "UNWIND $names AS x MATCH (r:Region {name: x}) RETURN x AS name, r.regionkey AS regionkey", "SELECT r_name AS name, r_regionkey AS regionkey FROM region WHERE r_name IN ('ASIA','EUROPE')", names=["ASIA", "EUROPE", "NOWHERE"])
+_c("collect_sorted", "MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r.name AS region, n.name AS nation ORDER BY nation RETURN region, size(collect(nation)) AS nations, size(collect(DISTINCT region)) AS one", "SELECT r_name AS region, count(*)::INT AS nations, 1 AS one FROM nation JOIN region ON r_regionkey=n_regionkey GROUP BY 1")
+_c("distinct_count", "MATCH (o:Order)-[:CONTAINS]->(p:Part) RETURN count(DISTINCT p) AS parts, count(DISTINCT p.brand) AS brands, count(p) AS lines", "SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT p_brand) AS brands, count(*) AS lines FROM lineitem JOIN part ON p_partkey=l_partkey")
+_c("aggregate_functions", "MATCH (o:Order) RETURN o.status AS status, min(o.totalprice) AS low, max(o.totalprice) AS high, round(stdev(o.totalprice), 4) AS spread, round(percentile(o.totalprice, 0.5), 4) AS mid", "SELECT o_orderstatus AS status, min(o_totalprice) AS low, max(o_totalprice) AS high, round(stddev_samp(o_totalprice), 4) AS spread, round(quantile_cont(o_totalprice, 0.5), 4) AS mid FROM orders GROUP BY 1")
+_c("sum_of_nothing", "MATCH (o:Order) WHERE o.totalprice < 0 RETURN sum(o.totalprice) AS total, count(o) AS n, size(collect(o.status)) AS kept", "SELECT 0.0::DOUBLE AS total, 0::BIGINT AS n, 0::INT AS kept")
+_c("return_distinct", "MATCH (c:Customer) RETURN DISTINCT c.mktsegment AS segment ORDER BY segment", "SELECT DISTINCT c_mktsegment AS segment FROM customer")
+_c("order_skip_limit", "MATCH (p:Part) RETURN p.partkey AS partkey, p.retailprice AS price ORDER BY p.retailprice DESC, p.partkey SKIP 5 LIMIT 20", "SELECT p_partkey AS partkey, p_retailprice AS price FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20 OFFSET 5")
+_c("case_when", "MATCH (c:Customer) RETURN CASE WHEN c.acctbal < 0 THEN 'debt' WHEN c.acctbal < 5000 THEN 'low' ELSE 'high' END AS band, count(*) AS n", "SELECT CASE WHEN c_acctbal<0 THEN 'debt' WHEN c_acctbal<5000 THEN 'low' ELSE 'high' END AS band, count(*) AS n FROM customer GROUP BY 1")
+_c("case_simple", "MATCH (o:Order) RETURN CASE o.status WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS code, count(*) AS n", "SELECT CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS code, count(*) AS n FROM orders GROUP BY 1")
+_c("string_predicates", "MATCH (p:Part) WHERE p.name STARTS WITH 'P' AND p.name CONTAINS '1' AND NOT p.name ENDS WITH '0' RETURN p.partkey AS partkey, toUpper(p.name) AS up", "SELECT p_partkey AS partkey, upper(p_name) AS up FROM part WHERE starts_with(p_name,'P') AND contains(p_name,'1') AND NOT ends_with(p_name,'0')")
+_c("regex_predicate", "MATCH (n:Nation) WHERE n.name =~ '_1[0-9]' RETURN n.name AS name", "SELECT n_name AS name FROM nation WHERE regexp_matches(n_name,'_1[0-9]')")
+_c("null_safe_eq", "MATCH (p:Party) WHERE p.mktsegment = null RETURN count(*) AS n", "SELECT count(*) AS n FROM supplier")
+_c("is_null", "MATCH (p:Party) WHERE p.mktsegment IS NOT NULL AND p.acctbal IS NOT NULL RETURN count(*) AS n", "SELECT count(*) AS n FROM customer WHERE c_acctbal IS NOT NULL")
+_c("boolean_xor", "MATCH (p:Part) WHERE (p.size > 25) XOR (p.retailprice > 1000) RETURN count(*) AS n", "SELECT count(*) AS n FROM part WHERE (p_size>25) <> (p_retailprice>1000)")
+_c("in_list", "MATCH (o:Order) WHERE o.priority IN ['1-URGENT', '2-HIGH'] RETURN o.priority AS priority, count(*) AS n", "SELECT o_orderpriority AS priority, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT','2-HIGH') GROUP BY 1")
+_c("list_comprehension", "MATCH (r:Region) RETURN r.name AS name, size([x IN [1,2,3,4] WHERE x > r.regionkey | x * 2]) AS n, [1,2,3][r.regionkey] AS item, [1,2,3][-1] AS final", "SELECT r_name AS name, (4-least(r_regionkey,4))::INT AS n, CASE WHEN r_regionkey<3 THEN r_regionkey+1 END AS item, 3 AS final FROM region")
+_c("list_predicate_all", "MATCH (r:Region) WHERE all(x IN [1,2,3] WHERE x > r.regionkey) OR none(x IN [1,2] WHERE x = r.regionkey) RETURN r.name AS name, any(x IN [0,4] WHERE x = r.regionkey) AS some, single(x IN [1,1,2] WHERE x = r.regionkey) AS one", "SELECT r_name AS name, r_regionkey IN (0,4) AS some, r_regionkey=2 AS one FROM region WHERE r_regionkey<1 OR r_regionkey NOT IN (1,2)")
+_c("map_projection", "MATCH (r:Region) WITH r {.name, twice: r.regionkey * 2} AS m RETURN m.name AS name, m.twice AS twice", "SELECT r_name AS name, r_regionkey*2 AS twice FROM region")
+_c("whole_node", "MATCH (r:Region) WITH collect(r) AS rs UNWIND rs AS x RETURN x.name AS name, x._type AS kind", "SELECT r_name AS name, 'Region' AS kind FROM region")
+_c("labels_and_type", "MATCH (s:Supplier)-[b:BASED_IN]->(n) RETURN DISTINCT size(labels(s)) AS labels, type(b) AS kind, size(keys(n)) AS keys", "SELECT 2 AS labels, 'BASED_IN' AS kind, 2 AS keys")
+_c("label_predicate", "MATCH (p:Party) WHERE p:Supplier RETURN count(*) AS n", "SELECT count(*) AS n FROM supplier")
+_c("string_functions", "MATCH (n:Nation) RETURN n.name AS name, toLower(n.name) AS low, substring(n.name, 0, 3) AS head, size(n.name) AS len, replace(n.name, 'NATION', 'N') AS short, split(n.name, '_')[1] AS tail, trim('  x ') AS t", "SELECT n_name AS name, lower(n_name) AS low, substr(n_name,1,3) AS head, length(n_name)::INT AS len, replace(n_name,'NATION','N') AS short, split_part(n_name,'_',2) AS tail, 'x' AS t FROM nation")
+_c("math_functions", "MATCH (n:Nation) RETURN n.nationkey AS k, abs(n.nationkey - 12) AS a, round(sqrt(n.nationkey), 6) AS s, n.nationkey / 4 AS q, n.nationkey % 4 AS m, n.nationkey / 0 AS z, round(2.0 ^ n.nationkey, 1) AS p, -n.nationkey AS neg", "SELECT n_nationkey AS k, abs(n_nationkey-12) AS a, round(sqrt(n_nationkey),6) AS s, (n_nationkey//4)::INT AS q, n_nationkey%4 AS m, NULL::INT AS z, round(pow(2.0,n_nationkey),1) AS p, -n_nationkey AS neg FROM nation")
+_c("conversion_functions", "MATCH (n:Nation) RETURN toString(n.nationkey) AS s, toInteger(split(n.name, '_')[1]) AS i, toFloat('x') AS f, coalesce(toInteger('y'), 7) AS c", "SELECT n_nationkey::VARCHAR AS s, split_part(n_name,'_',2)::BIGINT AS i, NULL::DOUBLE AS f, 7::BIGINT AS c FROM nation")
+_c("id_function", "MATCH (s:Supplier) RETURN id(s) % 65536 AS local, elementId(s) = toString(id(s)) AS same", "SELECT s_suppkey % 65536 AS local, true AS same FROM supplier")
+_c("union_all", "MATCH (r:Region) RETURN r.name AS name UNION ALL MATCH (n:Nation) RETURN n.name AS name", "SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation")
+_c("union_distinct", "MATCH (c:Customer) RETURN c.nationkey AS k UNION MATCH (s:Supplier) RETURN s.nationkey AS k", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+_NEXT = "e AS (SELECT a.conv_id c, a.turn s, b.turn t FROM conversations a JOIN conversations b ON b.conv_id=a.conv_id AND b.turn=a.turn+1)"
+_c("vlp_trails_count", "MATCH (a:Turn)-[:NEXT*1..3]->(b:Turn) RETURN count(b) AS trails", f"WITH RECURSIVE {_NEXT}, w AS (SELECT c, t, 1 k FROM e UNION ALL SELECT w.c, e.t, k+1 FROM w JOIN e ON e.c=w.c AND e.s=w.t WHERE k<3) SELECT count(*) AS trails FROM w")
+_c("vlp_path_lengths", "MATCH p = (a:Turn {turn: 0})-[:NEXT*0..7]->(b:Turn) RETURN length(p) AS hops, size(nodes(p)) AS nodes, size(relationships(p)) AS edges, count(*) AS n", f"WITH RECURSIVE {_NEXT}, w AS (SELECT conv_id c, turn t, 0 k FROM conversations WHERE turn=0 UNION ALL SELECT w.c, e.t, k+1 FROM w JOIN e ON e.c=w.c AND e.s=w.t WHERE k<7) SELECT k AS hops, k+1 AS nodes, k AS edges, count(*) AS n FROM w GROUP BY 1,2,3")
+_c("vlp_distinct_rewrite", "MATCH (a:Turn {turn: 0})-[:NEXT*1..5]->(b:Turn) RETURN DISTINCT b.conv_id AS conv_id, b.turn AS turn", f"WITH RECURSIVE {_NEXT}, w AS (SELECT c, t, 1 k FROM e WHERE s=0 UNION ALL SELECT w.c, e.t, k+1 FROM w JOIN e ON e.c=w.c AND e.s=w.t WHERE k<5) SELECT DISTINCT c AS conv_id, t AS turn FROM w")
+_c("vlp_undirected", "MATCH (a:Turn {turn: 1})-[:NEXT*1..2]-(b:Turn) RETURN b.turn AS turn, count(*) AS n", f"WITH {_NEXT}, g AS (SELECT c,s,t,s AS id FROM e UNION ALL SELECT c,t,s,s FROM e), w AS (SELECT c,t FROM g WHERE s=1 UNION ALL SELECT a.c,b.t FROM g a JOIN g b ON b.c=a.c AND b.s=a.t AND b.id<>a.id WHERE a.s=1) SELECT t AS turn, count(*) AS n FROM w GROUP BY 1")
+_c("call_labels", "CALL db.labels() YIELD label RETURN label ORDER BY label", "SELECT unnest(['Customer','Document','Event','Nation','Order','Part','Party','Place','Region','Supplier','Turn','Vector']) AS label")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cypher(testdata_graph(spark, sf_dir), SLICE, {"min": 1000})
+
+
+def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    text, params = _CYPHER[name]
+    return lambda spark, sf_dir: cypher(testdata_graph(spark, sf_dir), text, params)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: _run(n) for n in _CYPHER} | dict(_OTHER)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
 
 
-def oracle_sql():
-    return {}

@@ -9,19 +9,22 @@ lower-cased); two documents link when 100 * intersection >= 80 * union.
    MOST_FREQUENT of them, so the list has a proven bound and is sent to all).
    Any choice of the class is right, it only decides the cost.  The global order
    puts rare tokens first, each class by hash.
-3. Prefixes: linked sets share their first common token within their first
-   n - ceil(0.8 n) + 1 tokens.  If that token is rare, both sets index it as a
-   single token.  If it is frequent, all their common tokens are, and the prefix
-   is extended to 0.4 n + 2 tokens: there both sets have two neighbouring tokens
-   in common (at most (n + m) / 9 tokens are not common, and each parts one pair
-   of neighbours), so the combinations of two neighbouring frequent tokens are
-   indexed.  The index is linear in the sets.  Each entry has the number of
-   tokens that may still be common; pairs that cannot reach 0.8 are dropped.
+3. Prefixes: linked sets have their first common token within their first
+   p = n - ceil(0.8 n) + 1 tokens, and TOGETHER common ones within TOGETHER - 1
+   more.  Where that extended prefix holds rare tokens only, each is indexed by
+   itself, and a pair must meet TOGETHER times.  Where it reaches the frequent
+   class, a pair must meet once: if its first common token is rare, there; else
+   all its common tokens are frequent, and the prefix is extended to 0.4 n + 2
+   tokens, in which both sets have two neighbouring tokens in common (at most
+   (n + m) / 9 tokens are not common, and each parts one pair of neighbours):
+   the combinations of two neighbouring frequent tokens are indexed.  The index
+   is linear in the sets.  Each entry has the number of tokens that may still be
+   common; pairs that cannot reach 0.8 are dropped.
 4. First each node is verified against one representative of its lists, the one
    it meets most often; the links' components (distributed union-find) join
-   nearly all copies without pairs inside groups.  Then every pair of a list
-   that lies in different components is verified.  No link between components
-   is missed, since its first common token or combination lists it.
+   nearly all copies without pairs inside groups.  Then every pair that meets
+   often enough and lies in different components is verified.  No link between
+   components is missed.
 5. Verification compares the whole sets exactly.
 
 Nulls: a null text, or one without words, has the empty set and links with
@@ -46,7 +49,9 @@ K = 5
 PERCENT = 80
 FREQUENT = 64
 MOST_FREQUENT = 1 << 20
+TOGETHER = 4
 SIEVE = 1 << 22
+ENTRY = ["key", "node", "n", "left"]
 _U = np.uint64
 
 
@@ -107,23 +112,27 @@ def _repeated_tokens(batches):
         yield count()
 
 
-def index_entries(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, tokens that may be common from there) of a set."""
+def index_entries(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(key, tokens that may be common from there) of a set, and how much a meeting counts."""
     n = len(tokens)
-    if n < 2:  # sets of one token link only with equal ones
-        return np.empty(0, _U), np.empty(0, np.int64)
+    if n < TOGETHER:  # such sets link only with equal ones
+        return np.empty(0, _U), np.empty(0, np.int64), 1
     place = np.searchsorted(frequent, tokens)
     common = frequent[np.minimum(place, len(frequent) - 1)] == tokens if len(frequent) else np.zeros(n, bool)
     prefix = n - -(-PERCENT * n // 100) + 1
     rare = tokens[~common]
-    single = rare[:prefix]
-    keys, left = single, n - np.arange(len(single))
+    if len(rare) >= prefix + TOGETHER - 1:
+        keys = rare[: prefix + TOGETHER - 1]
+        # Later tokens of the extended prefix only count meetings: an earlier one may be common.
+        return keys, n - np.maximum(0, np.arange(len(keys)) - (TOGETHER - 1)), 1
+    keys = rare[:prefix]
+    left = n - np.arange(len(keys))
     if len(rare) < prefix:
         often = tokens[common][: 2 * n // 5 + 2 - len(rare)]
         pairs = mix(often[:-1] * _U(0x9E3779B97F4A7C15) ^ mix(often[1:]))
         keys = np.concatenate([keys, pairs])
         left = np.concatenate([left, np.full(len(pairs), n - len(rare))])
-    return keys, left
+    return keys, left, TOGETHER
 
 
 def _entries(frequent: np.ndarray):
@@ -134,15 +143,17 @@ def _entries(frequent: np.ndarray):
 
             def out():
                 key, node, n, left = (np.concatenate(x) for x in zip(*parts))
-                return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(n), pa.array(left)], names=["key", "node", "n", "left"])
+                return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(n), pa.array(left)], names=ENTRY)
 
             for _, tokens in _sets(batch):
                 node = node_of(tokens)
                 if node in seen:
                     continue
                 seen.add(node)
-                keys, left = index_entries(tokens, frequent)
+                keys, left, weight = index_entries(tokens, frequent)
                 if len(keys):
+                    # The sign of `left` tells that one meeting is enough.
+                    left = left if weight == 1 else -left
                     parts.append((keys, np.full(len(keys), node, np.int64), np.full(len(keys), len(tokens), np.int32), left.astype(np.int32)))
                     size += len(keys)
                 if size > 100_000:
@@ -172,7 +183,12 @@ def _lists(batches):
 
 
 def may_link(n, left, m, right):
-    return (100 + PERCENT) * np.minimum(left, right) >= PERCENT * (n + m)
+    return (100 + PERCENT) * np.minimum(np.abs(left), np.abs(right)) >= PERCENT * (n + m)
+
+
+def meetings(left, right):
+    """How often a meeting counts: TOGETHER times if either side says that one is enough."""
+    return np.where((left < 0) | (right < 0), TOGETHER, 1)
 
 
 def _meet(batches):
@@ -188,23 +204,37 @@ def _meet(batches):
             continue
         rows, speaker = [], []
         for s, e in zip(starts[many].tolist(), ends[many].tolist()):
-            at = s
-            for i in range(s, e):
-                if i > at and not may_link(int(n[at]), int(left[at]), int(n[i]), int(left[i])):
-                    at = i
-                rows.append(i)
+            at, alone = s, True
+            for i in range(s + 1, e):
+                if may_link(int(n[at]), int(left[at]), int(n[i]), int(left[i])):
+                    if alone:
+                        rows.append(at)
+                        speaker.append(at)
+                        alone = False
+                    rows.append(i)
+                    speaker.append(at)
+                elif e - s > 2:
+                    if alone:  # it may yet link with a later one
+                        rows.append(at)
+                        speaker.append(at)
+                    at, alone = i, True
+            if alone and e - s > 2:
+                rows.append(at)
                 speaker.append(at)
+        if not rows:
+            continue
         rows, speaker = np.asarray(rows), np.asarray(speaker)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key[rows]), pa.array(node[rows]), pa.array(n[rows]), pa.array(left[rows]), pa.array(node[speaker], mask=rows == speaker)], names=["key", "node", "n", "left", "speaker"]
+            [pa.array(key[rows]), pa.array(node[rows]), pa.array(n[rows]), pa.array(left[rows]), pa.array(node[speaker], mask=rows == speaker), pa.array(meetings(left[rows], left[speaker]).astype(np.int32))],
+            names=[*ENTRY, "speaker", "times"],
         )
 
 
 def _cross(batches):
-    """Pairs of a list in different components that may link."""
+    """Pairs of a list in different components that may link, with how often the meeting counts."""
     for key, node, n, left, group in _lists(batches):
         _, starts, ends = runs(key)
-        out_a, out_b = [], []
+        found = []
         for s, e in zip(starts.tolist(), ends.tolist()):
             if (group[s:e] == group[s]).all():
                 continue
@@ -212,12 +242,12 @@ def _cross(batches):
                 top = s + int(np.searchsorted(n[s:e], 100 * int(n[i]) // PERCENT, side="right"))
                 j = slice(i + 1, top)
                 ok = (group[j] != group[i]) & may_link(int(n[i]), int(left[i]), n[j], left[j])
-                b = node[j][ok]
-                out_a.append(np.minimum(b, node[i]))
-                out_b.append(np.maximum(b, node[i]))
-        if out_a:
-            pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                if ok.any():
+                    b = node[j][ok]
+                    found.append((np.minimum(b, node[i]), np.maximum(b, node[i]), meetings(left[i], left[j][ok])))
+        if found:
+            a, b, times = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(times.astype(np.int32))], names=["a", "b", "times"])
 
 
 def _wanted_sets(sieve: np.ndarray):
@@ -254,8 +284,15 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
 
-def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar."""
+def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar; the sets are made of the texts again."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # A sieve of bounded size keeps most other texts from being moved.
+    slots = nodes.select(F.pmod("node", F.lit(SIEVE)).cast("int").alias("slot")).distinct().toArrow().column("slot").to_numpy()
+    sieve = np.zeros(SIEVE, bool)
+    sieve[slots] = True
+    found = texts.mapInArrow(_wanted_sets(sieve), "node long, tokens binary").join(nodes, "node", "left_semi")
+    sets = written(found.dropDuplicates(["node"]), "jaccard-sets")
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
@@ -271,25 +308,19 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     frequent = np.sort(frequent.astype(np.int64).view(_U))
     met = written(
         texts.mapInArrow(_entries(frequent), "key long, node long, n int, left int").repartition(parts, "key").sortWithinPartitions("key", "n", "node")
-        .mapInArrow(_meet, "key long, node long, n int, left int, speaker long"),
+        .mapInArrow(_meet, "key long, node long, n int, left int, speaker long, times int"),
         "jaccard-lists",
     )
-    # The sets of the nodes that meet others, by a sieve of bounded size.
-    nodes = met.select("node").distinct()
-    slots = nodes.select(F.pmod("node", F.lit(SIEVE)).cast("int").alias("slot")).distinct().toArrow().column("slot").to_numpy()
-    sieve = np.zeros(SIEVE, bool)
-    sieve[slots] = True
-    found = texts.mapInArrow(_wanted_sets(sieve), "node long, tokens binary").join(nodes, "node", "left_semi")
-    sets = written(found.dropDuplicates(["node"]), "jaccard-sets")
-    often = met.filter("speaker is not null").groupBy("node", "speaker").agg(F.count("*").alias("times"))
+    often = met.filter("speaker is not null").groupBy("node", "speaker").agg(F.sum("times").alias("times")).filter(F.col("times") >= TOGETHER)
     first = often.groupBy("node").agg(F.max(F.struct("times", "speaker")).alias("best")).select(F.col("node").alias("a"), F.col("best.speaker").alias("b"))
-    near = written(links(first, sets), "jaccard-links")
+    near = written(links(written(first, "jaccard-first"), texts), "jaccard-near")
     grouped = components(near)
     crossing = (
-        met.join(grouped, "node", "left").select("key", "node", "n", "left", F.coalesce("component", "node").alias("group"))
-        .repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_cross, "a long, b long").distinct()
+        met.join(grouped, "node", "left").select(*ENTRY, F.coalesce("component", "node").alias("group"))
+        .repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_cross, "a long, b long, times int")
+        .groupBy("a", "b").agg(F.sum("times").alias("times")).filter(F.col("times") >= TOGETHER).select("a", "b")
     )
-    rest = links(crossing, sets)
+    rest = links(written(crossing, "jaccard-crossing"), texts)
     merged = components(near.unionByName(rest))
     placed = docs.mapInArrow(_nodes, "doc long, doc_id long, n long, node long").join(merged, "node", "left").withColumn("class", F.coalesce("component", "node"))
     least = placed.filter("class is not null").groupBy("class").agg(F.min("doc").alias("least"))

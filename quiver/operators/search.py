@@ -124,6 +124,10 @@ def parse_websearch(query: str) -> list[list[tuple[bool, list[str]]]]:
     return [g for g in groups if g]
 
 
+def _times(term: str) -> Column:
+    return F.size(F.filter("_words", lambda w: w == term))
+
+
 def fulltext(graph, type_name: str, props: list[str], query: str) -> DataFrame:
     """Matching elements with score; words and, or, -not and "phrases"."""
     text = F.concat_ws(" ", *(F.col(p).cast("string") for p in props))
@@ -137,7 +141,7 @@ def fulltext(graph, type_name: str, props: list[str], query: str) -> DataFrame:
             every = every & (hit if wanted else ~hit)
             if wanted:
                 for t in terms:
-                    times = F.size(F.filter("_words", lambda w, t=t: w == t))
+                    times = _times(t)
                     score = score + F.when(times > 0, times / (F.lit(1.0) + F.log(F.size("_words") + F.lit(1.0)))).otherwise(0.0)
         match = match | every
     return frame.filter(match).withColumn("score", score).drop("_words")

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiver.ids import id_local, id_type, make_id
+from quiver.operators import history, search, traverse, write
+from quiver.plans import typeql
 from quiver.plans.cypher import cypher
 from quiver.sources.testdata import testdata_graph
 
@@ -104,3 +108,345 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+
+
+# storage, traversal, search and history --------------------------------------
+@query("og_nodes_subtypes", "SELECT 'Customer' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    names = spark.createDataFrame([(t.type_id, t.name) for t in g.catalog.types.values()], "type_id int, kind string")
+    return g.og_nodes("Party").join(names, "type_id").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("expand_batch", "SELECT o_custkey AS custkey, count(*) AS n FROM orders WHERE o_custkey < 50 GROUP BY 1")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    starts = g.label_view("Customer").filter("custkey < 50").select("_id")
+    return g.expand(starts, "PLACED").groupBy("start").agg(F.count("*").alias("n")).select(id_local(F.col("start")).alias("custkey"), "n")
+
+
+@query("degree", "SELECT o_custkey AS custkey, count(*) AS degree FROM orders GROUP BY 1")
+def _(spark, sf_dir):
+    return testdata_graph(spark, sf_dir).degree("PLACED").select(id_local(F.col("_id")).alias("custkey"), "degree")
+
+
+@query("degree_histogram", "SELECT CAST(least(floor(d/4),9) AS INTEGER) AS bucket, count(*) AS nodes, max(d) AS max_degree FROM (SELECT o_custkey, count(*) d FROM orders GROUP BY 1) GROUP BY 1")
+def _(spark, sf_dir):
+    d = testdata_graph(spark, sf_dir).degree("PLACED")
+    return d.groupBy(F.least(F.floor(F.col("degree") / 4), F.lit(9)).cast("int").alias("bucket")).agg(F.count("*").alias("nodes"), F.max("degree").alias("max_degree"))
+
+
+@query("degree_distribution", "SELECT CAST(floor(d/128.0)+1 AS INTEGER) AS bucket, count(*) AS nodes, min(d) AS low, max(d) AS high FROM (SELECT l_suppkey, count(*) d FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) GROUP BY 1) GROUP BY 1")
+def _(spark, sf_dir):
+    return testdata_graph(spark, sf_dir).degree_distribution("SUPPLIES")
+
+
+@query("graph_stats", "SELECT 'Customer' AS type, 'node' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'Order','node',count(*) FROM orders UNION ALL SELECT 'PLACED','edge',count(*) FROM orders UNION ALL SELECT 'CONTAINS','edge',count(*) FROM lineitem UNION ALL SELECT 'BASED_IN','edge',(SELECT count(*) FROM customer)+(SELECT count(*) FROM supplier)")
+def _(spark, sf_dir):
+    return testdata_graph(spark, sf_dir).stats().filter(F.col("type").isin("Customer", "Order", "PLACED", "CONTAINS", "BASED_IN"))
+
+
+@query("integrity_empty", "SELECT 'dangling_source' AS kind, o_orderkey AS entity FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    g.edges = {"PLACED": g.edges["PLACED"], "CONTAINS": g.edges["CONTAINS"]}
+    return g.check_integrity().select("kind", F.col("entity_id").alias("entity"))
+
+
+@query("integrity_found", "SELECT 'dangling_source' AS kind, count(*) AS n FROM orders WHERE o_custkey >= 100")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    g.edges = {"PLACED": g.edges["PLACED"]}
+    g.nodes["Customer"] = g.nodes["Customer"].filter("custkey < 100")
+    return g.check_integrity().groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("relational_views", "SELECT 'Order' AS name, count(*) AS n FROM orders UNION ALL SELECT 'Part', count(*) FROM part")
+def _(spark, sf_dir):
+    v = testdata_graph(spark, sf_dir).relational_views()
+    return v["node"].join(v["type"].filter(F.col("name").isin("Order", "Part")), "type_id").groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("interval_containment", "SELECT unnest(['Customer','Party','Supplier']) AS name")
+def _(spark, sf_dir):
+    v = testdata_graph(spark, sf_dir).relational_views()
+    a = v["type_label"].join(v["type"], "type_id").filter("name = 'Party'").select(F.col("lft").alias("l"), F.col("rgt").alias("r"))
+    return v["type_label"].join(v["type"], "type_id").join(a, (F.col("lft") >= F.col("l")) & (F.col("rgt") <= F.col("r"))).select("name")
+
+
+@query("row_level_security", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders JOIN customer ON c_custkey=o_custkey WHERE c_acctbal > 5000")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir).enable_rls("Party", "acctbal > 5000")
+    return cypher(g, "MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN count(*) AS n, count(DISTINCT c) AS customers")
+
+
+_G = "g AS (SELECT a s,b t FROM (SELECT DISTINCT l_suppkey a, l_partkey+1000000 b FROM lineitem) UNION ALL SELECT b,a FROM (SELECT DISTINCT l_suppkey a, l_partkey+1000000 b FROM lineitem))"
+
+
+@query("reach_min_depth", f"WITH RECURSIVE {_G}, w AS (SELECT 0::BIGINT n, 0 k UNION SELECT g.t, k+1 FROM w JOIN g ON g.s=w.n WHERE k<3) SELECT n AS node, min(k) AS depth FROM w WHERE k>0 AND n<>0 GROUP BY 1")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    starts = g.label_view("Supplier").filter("suppkey = 0").select("_id")
+    found = traverse.reach(starts, g.edge_view("SUPPLIES", direction="both"), 1, 3, True)
+    part = g.catalog.types["Part"].type_id
+    return found.select((id_local(F.col("node")) + F.when(id_type(F.col("node")) == part, 1000000).otherwise(0)).alias("node"), "depth")
+
+
+@query("reach_many_seeds", "WITH RECURSIVE e AS (SELECT a.conv_id c, a.turn s, b.turn t FROM conversations a JOIN conversations b ON b.conv_id=a.conv_id AND b.turn=a.turn+1), w AS (SELECT c, t, 1 k FROM e WHERE s=0 UNION ALL SELECT w.c, e.t, k+1 FROM w JOIN e ON e.c=w.c AND e.s=w.t) SELECT c AS conv_id, t AS turn, k AS depth FROM w")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    found = traverse.reach(g.label_view("Turn").filter("turn = 0").select("_id"), g.edge_view("NEXT"))
+    return found.select(F.floor(id_local(F.col("node")) / 4096).alias("conv_id"), (id_local(F.col("node")) % 4096).alias("turn"), "depth")
+
+
+@query("csr_reach", "WITH RECURSIVE e AS (SELECT a.conv_id c, a.turn s, b.turn t FROM conversations a JOIN conversations b ON b.conv_id=a.conv_id AND b.turn=a.turn+1), w AS (SELECT c, t, 1 k FROM e WHERE s=0 UNION ALL SELECT w.c, e.t, k+1 FROM w JOIN e ON e.c=w.c AND e.s=w.t WHERE k < 4) SELECT k AS depth, count(*) AS n FROM w GROUP BY 1")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    kernel = traverse.Csr(g.edge_view("NEXT"))
+    return kernel.reach(g.label_view("Turn").filter("turn = 0").select("_id"), 4).groupBy("depth").agg(F.count("*").alias("n"))
+
+
+@query("shortest_hops", "SELECT k AS part, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey=1 AND l_partkey=k) THEN 1 ELSE 3 END AS hops FROM (SELECT DISTINCT l_partkey k FROM lineitem WHERE l_partkey BETWEEN 1 AND 40)")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    s, p = g.catalog.types["Supplier"].type_id, g.catalog.types["Part"].type_id
+    ends = g.edges["SUPPLIES"].select(F.col("_dst").alias("dst")).distinct().filter(id_local(F.col("dst")).between(1, 40))
+    pairs = ends.select(F.lit(make_id(0, s, 1)).alias("src"), "dst")
+    return traverse.hops(pairs, g.edge_view("SUPPLIES", direction="both"), 4).select(id_local(F.col("dst")).alias("part"), "hops")
+
+
+_Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id=0)"
+
+
+def _vector(g, i=0):
+    return g.label_view("Vector").filter(F.col("vec_id") == i).select("embedding").first()[0]
+
+
+@query("vector_cosine_topk", f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}), 6) AS score FROM embeddings ORDER BY 2 DESC, 1 LIMIT 10")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    return search.vector_search(g, "Vector", "embedding", _vector(g), 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("vector_l2_topk", f"SELECT vec_id, round(list_distance(embedding::DOUBLE[], {_Q}), 6) AS distance FROM embeddings ORDER BY 2, 1 LIMIT 10")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    return search.vector_search(g, "Vector", "embedding", _vector(g), 10, metric="l2").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("vector_ip_topk", f"SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], {_Q}), 6) AS score FROM embeddings ORDER BY 2 DESC, 1 LIMIT 10")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    return search.vector_search(g, "Vector", "embedding", _vector(g), 10, metric="ip").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("vector_filtered_topk", f"SELECT vec_id, round(list_distance(embedding::DOUBLE[], {_Q}), 6) AS distance FROM embeddings WHERE label=3 ORDER BY 2, 1 LIMIT 10")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    return search.vector_search(g, "Vector", "embedding", _vector(g), 10, "label = 3", "l2").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("vector_similar", f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}), 6) AS score FROM embeddings WHERE vec_id<>0 ORDER BY 2 DESC, 1 LIMIT 5")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    return search.similar(g, make_id(0, g.catalog.types["Vector"].type_id, 0), "Vector", "embedding", 5).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("hybrid_rrf", f"WITH p AS (SELECT vec_id, label, row_number() OVER (ORDER BY 1-list_cosine_similarity(embedding::DOUBLE[], {_Q}), vec_id) AS r FROM embeddings QUALIFY r <= 100) SELECT vec_id, round(1.0/(60+r) + CASE WHEN vec_id=0 THEN 1.0/60 WHEN label=(SELECT label FROM embeddings WHERE vec_id=0) THEN 1.0/62 ELSE 0 END, 8) AS score FROM p ORDER BY 2 DESC, 1 LIMIT 10")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    g.create_type("Tag", label="int").relation("TAGGED", "Vector", "Tag")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    g.map_table("Tag", vectors.select("label").distinct(), "label", {"label": "label"}).map_edges("TAGGED", vectors, ("Vector", "vec_id"), ("Tag", "label"), key="vec_id")
+    anchor = make_id(0, g.catalog.types["Vector"].type_id, 0)
+    return search.hybrid(g, "Vector", "embedding", _vector(g), anchor, 10, edge_types=("TAGGED",)).select(id_local(F.col("_id")).alias("vec_id"), F.round("score", 8).alias("score"))
+
+
+@query("fulltext_match", r"WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents) SELECT doc_id, round(len(list_filter(w, lambda x: x='license'))/(1+ln(len(w)+1)), 6) AS score FROM d WHERE list_contains(w,'license') AND NOT list_contains(w,'apache')")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    return search.fulltext(g, "Document", ["text"], "license -apache").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("fulltext_phrase_or", r"WITH d AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''), ' ') || ' ' AS t FROM documents) SELECT doc_id FROM d WHERE contains(t, ' public license ') OR contains(t, ' apache ')")
+def _(spark, sf_dir):
+    return search.fulltext(testdata_graph(spark, sf_dir), "Document", ["text"], '"public license" OR apache').select("doc_id")
+
+
+@query("as_of_lookup", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state FROM events WHERE ts <= TIMESTAMP '2024-01-15' GROUP BY 1")
+def _(spark, sf_dir):
+    events = testdata_graph(spark, sf_dir).label_view("Event")
+    return history.as_of(events, datetime(2024, 1, 15), "user_id", "ts", "event_type", "event_id").withColumnRenamed("event_type", "state")
+
+
+@query("history_intervals", "SELECT event_id, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to FROM events")
+def _(spark, sf_dir):
+    events = testdata_graph(spark, sf_dir).label_view("Event")
+    return history.history(events, "user_id", "ts", "event_id").select("event_id", "valid_from", "valid_to")
+
+
+@query("apoc_meta_schema", "SELECT 'PLACED' AS relation, 'Customer' AS source, 'Order' AS target, count(*) AS n FROM orders UNION ALL SELECT 'BASED_IN','Customer','Nation',count(*) FROM customer UNION ALL SELECT 'BASED_IN','Supplier','Nation',count(*) FROM supplier")
+def _(spark, sf_dir):
+    out = cypher(testdata_graph(spark, sf_dir), "CALL apoc.meta.schema() YIELD relation, source, target, n RETURN relation, source, target, n")
+    return out.filter(F.col("relation").isin("PLACED", "BASED_IN"))
+
+
+@query("call_vector_index", f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}), 6) AS score FROM embeddings ORDER BY 2 DESC, 1 LIMIT 5")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    g.catalog.indexes["vec"] = {"kind": "vector", "type": "Vector", "props": ["embedding"]}
+    return cypher(g, "CALL db.index.vector.queryNodes('vec', 5, $q) YIELD node, score RETURN node.vec_id AS vec_id, round(score, 6) AS score", {"q": [float(x) for x in _vector(g)]})
+
+
+@query("call_fulltext_index", r"SELECT doc_id FROM documents WHERE list_contains(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), 'apache')")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    g.catalog.indexes["docs"] = {"kind": "fulltext", "type": "Document", "props": ["text"]}
+    return cypher(g, "CALL db.index.fulltext.queryNodes('docs', 'apache') YIELD node, score RETURN node.doc_id AS doc_id")
+
+
+@query("neighbours_tohop", "WITH e AS (SELECT DISTINCT l_suppkey a, l_partkey b FROM lineitem) SELECT (SELECT count(DISTINCT b) FROM e WHERE a=5) + (SELECT count(DISTINCT y.a) FROM e x JOIN e y ON x.b=y.b WHERE x.a=5 AND y.a<>5) AS n")
+def _(spark, sf_dir):
+    return cypher(testdata_graph(spark, sf_dir), "MATCH (s:Supplier {suppkey: 5}) CALL apoc.neighbors.tohop(s, 'SUPPLIES', 2) YIELD node RETURN count(DISTINCT node) AS n")
+
+
+@query("json_rows", "SELECT r_name AS name FROM region")
+def _(spark, sf_dir):
+    from quiver.plans.cypher import cypher_json
+
+    return cypher_json(testdata_graph(spark, sf_dir), "MATCH (r:Region) RETURN r.name AS name").select(F.get_json_object("row", "$.name").alias("name"))
+
+
+# writes ----------------------------------------------------------------------
+def _regions(spark, sf_dir):
+    from quiver.graph import Graph
+
+    whole, g = testdata_graph(spark, sf_dir), Graph(spark)
+    g.catalog = whole.catalog
+    g.nodes = {t: whole.nodes[t] for t in ("Region", "Nation")}
+    g.edges = {"IN_REGION": whole.edges["IN_REGION"]}
+    return g
+
+
+@query("create_rows", "SELECT r_name AS name FROM region UNION ALL SELECT 'ATLANTIS' UNION ALL SELECT 'MU'")
+def _(spark, sf_dir):
+    g, _ = write.execute(_regions(spark, sf_dir), "UNWIND ['ATLANTIS', 'MU'] AS x CREATE (:Region {name: x})")
+    return cypher(g, "MATCH (r:Region) RETURN r.name AS name")
+
+
+@query("create_edges", "SELECT r_name AS region, count(*) AS nations FROM nation JOIN region ON r_regionkey=n_regionkey GROUP BY 1 UNION ALL SELECT 'ATLANTIS', count(*) FROM nation WHERE n_nationkey < 3")
+def _(spark, sf_dir):
+    g, _ = write.execute(_regions(spark, sf_dir), "CREATE (:Region {name: 'ATLANTIS'})")
+    g, _ = write.execute(g, "MATCH (n:Nation), (r:Region {name: 'ATLANTIS'}) WHERE n.nationkey < 3 CREATE (n)-[:IN_REGION]->(r)")
+    return cypher(g, "MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS region, count(*) AS nations")
+
+
+@query("merge_counts", "SELECT r_name AS name, CASE WHEN r_name='ASIA' THEN 1 END AS seen FROM region UNION ALL SELECT 'ATLANTIS', 0")
+def _(spark, sf_dir):
+    g, _ = write.execute(_regions(spark, sf_dir), "UNWIND ['ASIA', 'ATLANTIS', 'ATLANTIS'] AS x MERGE (r:Region {name: x}) ON CREATE SET r.seen = 0 ON MATCH SET r.seen = 1")
+    return cypher(g, "MATCH (r:Region) RETURN r.name AS name, r.seen AS seen")
+
+
+@query("set_and_remove", "SELECT n_name AS name, CASE WHEN n_nationkey >= 10 THEN n_nationkey * 2 END AS twice FROM nation WHERE n_nationkey >= 5")
+def _(spark, sf_dir):
+    g, _ = write.execute(_regions(spark, sf_dir), "MATCH (n:Nation) SET n.twice = n.nationkey * 2")
+    g, _ = write.execute(g, "MATCH (n:Nation) WHERE n.nationkey < 10 REMOVE n.twice")
+    return cypher(g, "MATCH (n:Nation) WHERE n.nationkey >= 5 RETURN n.name AS name, n.twice AS twice")
+
+
+@query("detach_delete", "SELECT (SELECT count(*) FROM nation) AS nations, (SELECT count(*) FROM nation JOIN region ON r_regionkey=n_regionkey WHERE r_name<>'ASIA') AS edges, (SELECT count(*)-1 FROM region) AS regions")
+def _(spark, sf_dir):
+    g, _ = write.execute(_regions(spark, sf_dir), "MATCH (r:Region {name: 'ASIA'}) DETACH DELETE r")
+    n = lambda q, c: cypher(g, q + f" RETURN count(*) AS {c}")
+    return n("MATCH (n:Nation)", "nations").crossJoin(n("MATCH (:Nation)-[e:IN_REGION]->()", "edges")).crossJoin(n("MATCH (r:Region)", "regions"))
+
+
+@query("change_history", "SELECT 'd' AS op, 1::BIGINT AS n UNION ALL SELECT 'i', (SELECT count(*) FROM region)+1 UNION ALL SELECT 'u', 1")
+def _(spark, sf_dir):
+    g = write.enable_history(_regions(spark, sf_dir), "Region")
+    for q in ("CREATE (:Region {name: 'ATLANTIS'})", "MATCH (r:Region {name: 'ATLANTIS'}) SET r.name = 'LOST'", "MATCH (r:Region {name: 'LOST'}) DELETE r"):
+        g, _ = write.execute(g, q)
+    return g.changes.groupBy("op").agg(F.count("*").alias("n"))
+
+
+# TypeQL ----------------------------------------------------------------------
+def typeql_store(spark, sf_dir):
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    store = typeql.Store(spark)
+    store, _ = typeql.run(store, """define
+      attribute name, value string; attribute custkey, value integer; attribute suppkey, value integer; attribute acctbal, value double;
+      attribute key-number, value integer; attribute status, value string; attribute price, value double; attribute segment, value string;
+      entity party @abstract, owns name, owns acctbal, plays basing:member; entity customer sub party, owns custkey @key, owns segment, plays placing:buyer;
+      entity supplier sub party, owns suppkey @key; entity nation, owns name, plays basing:place; entity order, owns key-number @key, owns status, owns price, plays placing:bought;
+      relation basing, relates member, relates place; relation placing, relates buyer, relates bought;""")
+    store.map_instances("customer", read("customer"), "c_custkey", {"name": "c_name", "acctbal": "c_acctbal", "custkey": "c_custkey", "segment": "c_mktsegment"})
+    store.map_instances("supplier", read("supplier"), "s_suppkey", {"name": "s_name", "acctbal": "s_acctbal", "suppkey": "s_suppkey"})
+    store.map_instances("nation", read("nation"), "n_nationkey", {"name": "n_name"})
+    store.map_instances("order", read("orders"), "o_orderkey", {"key-number": "o_orderkey", "status": "o_orderstatus", "price": "o_totalprice"})
+    store.map_relation("basing", read("customer"), "c_custkey", {"member": ("customer", "c_custkey"), "place": ("nation", "c_nationkey")})
+    store.map_relation("placing", read("orders"), "o_orderkey", {"buyer": ("customer", "o_custkey"), "bought": ("order", "o_orderkey")})
+    return store
+
+
+def _t(name: str, text: str, sql: str) -> None:
+    _SQL[name] = sql
+    _OTHER[name] = lambda spark, sf_dir: typeql.typeql(typeql_store(spark, sf_dir), text)
+
+
+_t("typeql_isa_subtypes", "match $p isa party; reduce $n = count;", "SELECT (SELECT count(*) FROM customer)+(SELECT count(*) FROM supplier) AS n")
+_t("typeql_isa_exact", "match $p isa! party; reduce $n = count;", "SELECT 0::BIGINT AS n")
+_t("typeql_has_filter", "match $c isa customer, has custkey $k, has acctbal > 9000.0, has segment == 'BUILDING'; select $k;", "SELECT c_custkey AS k FROM customer WHERE c_acctbal>9000 AND c_mktsegment='BUILDING'")
+_t("typeql_links", "match $p isa placing, links (buyer: $c, bought: $o); $o has status 'F'; $c has segment $s; reduce $n = count groupby $s;", "SELECT c_mktsegment AS s, count(*) AS n FROM orders JOIN customer ON c_custkey=o_custkey WHERE o_orderstatus='F' GROUP BY 1")
+_t("typeql_positional", "match placing ($a, $b); reduce $n = count;", "SELECT 2*count(*) AS n FROM orders")
+_t("typeql_reduce_groupby", "match $o isa order, has status $status, has price $p; reduce $m = median($p), $s = max($p), $low = min($p), $n = count groupby $status;", "SELECT o_orderstatus AS status, median(o_totalprice) AS m, max(o_totalprice) AS s, min(o_totalprice) AS low, count(*) AS n FROM orders GROUP BY 1")
+_t("typeql_not", "match $c isa customer, has custkey $k; not { placing (buyer: $c, bought: $o); $o has price > 250000.0; }; select $k;", "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey AND o_totalprice>250000)")
+_t("typeql_or", "match $c isa customer, has custkey $k, has acctbal $a; { $a < 0.0; } or { placing (buyer: $c, bought: $o); $o has price > 400000.0; }; select $k;", "SELECT c_custkey AS k FROM customer WHERE c_acctbal<0 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey AND o_totalprice>400000)")
+_t("typeql_let_compare", "match $c isa customer, has custkey $k, has acctbal $a; let $b = round($a * 2.0 - 1.0); $b > 19000.0; select $k, $b;", "SELECT c_custkey AS k, round(c_acctbal*2-1) AS b FROM customer WHERE round(c_acctbal*2-1) > 19000")
+_t("typeql_sort_limit", "match $c isa customer, has custkey $k, has acctbal $a; sort $a desc, $k; offset 3; limit 7; select $k;", "SELECT c_custkey AS k FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 7 OFFSET 3")
+_t("typeql_distinct", "match $c isa customer, has segment $s; select $s; distinct;", "SELECT DISTINCT c_mktsegment AS s FROM customer")
+_t("typeql_like_contains", "match $n isa nation, has name $x; $x like '_1[0-4]$'; $x contains 'nation'; select $x;", "SELECT n_name AS x FROM nation WHERE regexp_matches(n_name,'_1[0-4]$') AND contains(lower(n_name),'nation')")
+_t("typeql_cross_components", "match $n isa nation, has name $a; $a contains '_1'; $m isa nation, has name $b; $b like '_2[0-4]$'; select $a, $b;", "SELECT a.n_name AS a, b.n_name AS b FROM nation a, nation b WHERE contains(a.n_name,'_1') AND regexp_matches(b.n_name,'_2[0-4]$')")
+_t("typeql_fetch", "match $c isa customer, has custkey $k; $k < 5; fetch { \"key\": $k, \"segment\": $c.segment };", "SELECT c_custkey AS key, c_mktsegment AS segment FROM customer WHERE c_custkey<5")
+
+
+@query("typeql_fetch_nested", "SELECT c_custkey AS key, count(o_orderkey)::INT AS orders, 1 AS names FROM customer LEFT JOIN orders ON o_custkey=c_custkey WHERE c_custkey<20 GROUP BY 1")
+def _(spark, sf_dir):
+    out = typeql.typeql(typeql_store(spark, sf_dir), 'match $c isa customer, has custkey $k; $k < 20; fetch { "key": $k, "doc": { "names": [$c.name] }, "orders": [match placing (buyer: $c, bought: $o); fetch { "number": $o.key-number };] };')
+    return out.select("key", F.size("orders").alias("orders"), F.size("doc.names").alias("names"))
+
+
+@query("typeql_insert_delete", "SELECT count(*)+1 AS n FROM supplier")
+def _(spark, sf_dir):
+    store, _ = typeql.run(typeql_store(spark, sf_dir), 'insert $s isa supplier, has suppkey 900001, has name "new"; $t isa supplier, has suppkey 900002, has name "gone";')
+    store, _ = typeql.run(store, 'match $t isa supplier, has name "gone"; delete $t;')
+    return typeql.typeql(store, "match $s isa supplier; reduce $n = count;")
+
+
+@query("cypher_typeql_agree", "SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON n_nationkey=c_nationkey GROUP BY 1")
+def _(spark, sf_dir):
+    a = cypher(testdata_graph(spark, sf_dir), "MATCH (:Customer)-[:BASED_IN]->(n:Nation) RETURN n.name AS nation, count(*) AS n")
+    b = typeql.typeql(typeql_store(spark, sf_dir), "match basing (member: $c, place: $p); $p has name $nation; reduce $n = count groupby $nation;")
+    return a.intersect(b)
+
+
+# analytics that the DataFrame side adds ---------------------------------------
+@query("rollup_revenue", "SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY ROLLUP(o_orderstatus, o_orderpriority)")
+def _(spark, sf_dir):
+    return testdata_graph(spark, sf_dir).label_view("Order").rollup("status", "priority").agg(F.count("*").alias("n"))
+
+
+@query("rdf_round_trip", "SELECT 12::BIGINT AS n, 1::BIGINT AS owned")
+def _(spark, sf_dir):
+    from quiver.graph import Graph
+    from quiver.sources import rdf
+
+    g, _ = rdf.load(Graph(spark), RDF_SAMPLE)
+    owned = cypher(g, "MATCH (p:Person)-[:owns]->(v:Vehicle) RETURN count(*) AS owned")
+    return rdf.dump(g).agg(F.count("*").alias("n")).crossJoin(owned)
+
+
+RDF_SAMPLE = """@prefix : <http://example.org/> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
+:Vehicle a owl:Class . :Car a owl:Class ; rdfs:subClassOf :Vehicle . :Person a owl:Class .
+:owns a owl:ObjectProperty ; rdfs:domain :Person ; rdfs:range :Vehicle .
+:alice a :Person ; :name "Alice" . :tesla a :Car ; :model "Model 3"@en . :alice :owns :tesla .
+"""

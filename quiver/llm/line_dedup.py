@@ -91,12 +91,15 @@ def removed_lines(documents: DataFrame) -> DataFrame:
 def line_dedup(documents: DataFrame) -> DataFrame:
     """documents with n_lines, n_removed and the text that is left; other columns as they are."""
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
-    gone = removed_lines(documents)
-    joined = documents.select(*names).withColumn("_doc", order_key("doc_id")).join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    gone = removed_lines(documents).select(F.col("doc").alias("_line_doc"), F.col("removed").alias("_line_gone"))
+    joined = documents.select(*names).withColumn("_line_doc", order_key("doc_id")).join(gone, "_line_doc", "left")
     lines = F.split("text", "\n")
-    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n"))
+    kept = F.when(F.col("_line_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_line_gone", i)), "\n"))
     return joined.select(
-        *(c for c in names if c != "text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("text")
+        *(c for c in names if c != "text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col("_line_gone").isNull(), 0).otherwise(F.size("_line_gone")).cast("long").alias("n_removed"),
+        kept.alias("text"),
     )
 
 

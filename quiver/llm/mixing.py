@@ -86,7 +86,7 @@ def mix(documents: DataFrame, weights=WEIGHTS, cap: int = CAP, tilts=(0.5, 0.0,
     def copy(i):
         begin = F.col("_start") + i * F.col("source_size")
         words = F.greatest(F.lit(0), F.least(F.col("size"), demand - begin)).cast("long")
-        c = F.least(F.lit(1.0), (begin + words / 2.0) / F.col("target"))
+        c = F.least(F.lit(1.0), F.try_divide(begin + words / 2.0, F.col("target")))
         # D(t) / target = (1 - tilt) t + tilt t**2 = c, solved without cancellation
         root = F.sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * c)
         return F.struct(F.lit(i).alias("copy"), words.alias("words"), (2 * c / ((1 - tilt) + root)).alias("position"))

@@ -55,11 +55,11 @@ def estimate(graph, text: str, params: dict | None = None) -> dict:
     """Catalyst's size estimate, and whether the graph's limits would let the query run."""
     frame = lang.cypher(graph, text, params)
     stats = frame._jdf.queryExecution().optimizedPlan().stats()
-    size = int(stats.sizeInBytes().toString())
+    size = int(str(stats.sizeInBytes()))
     rows = stats.rowCount()
     limit = graph.catalog.settings.get("max_bytes")
     advice = "add a label, a property filter or LIMIT" if limit and size > int(limit) else ""
-    return {"bytes": size, "rows": int(rows.get().toString()) if rows.isDefined() else None, "advice": advice, "would_run": not advice}
+    return {"bytes": size, "rows": int(str(rows.get())) if rows.isDefined() else None, "advice": advice, "would_run": not advice}
 
 
 def create_role(graph, name: str, max_rows: int | None = None, read_only: bool = True, max_bytes: int | None = None) -> None:

@@ -144,7 +144,7 @@ class Reader:
         frame, element = self.node_scan(scope, p, var)
         if key is not None:
             joined = scope.frame.join(frame, key == F.col(quoted(element.columns["_id"])))
-        elif scope.vars:
+        elif scope.frame.columns != ["_unit"]:
             joined = scope.frame.crossJoin(frame)
         else:
             joined = frame

@@ -307,7 +307,10 @@ class Compiler:
                 return F.map_keys(cols[0])
             return F.array(*(F.lit(n) for n in sorted(kind.names))) if isinstance(kind, T.StructType) else F.json_object_keys(cols[0])
         if f == "genai.vector.encode":
-            raise GraphError("genai.vector.encode is disabled; give the graph an encoder", "disabled")
+            encoder = getattr(self.scope.graph, "encoder", None)
+            if encoder is None:
+                raise GraphError("genai.vector.encode is disabled; give the graph an encoder", "disabled")
+            return encoder(cols[0])
         raise GraphError(f"unknown function {name!r}; supported: {', '.join(sorted([*SIMPLE, *OTHER]))}", "unknown_function", suggest(f, [*SIMPLE, *OTHER]))
 
     def aggregate(self, e: tuple) -> Column:

@@ -38,6 +38,7 @@ class Graph:
         self.counters: dict[str, int] = {}
         self.audit: list[dict] = []
         self._csr: dict = {}
+        self.encoder = None  # text Column -> vector Column, for genai.vector.encode
 
     def version(self) -> Graph:
         """A new version to change: own dictionaries and catalog, shared frames."""
@@ -155,6 +156,52 @@ class Graph:
         d = self.degree(*types).select(F.col("degree").cast("double").alias("d"), "degree")
         return d.groupBy(F.expr(f"width_bucket(d, 0.0D, {float(top)}D, {buckets})").cast("int").alias("bucket")).agg(F.count("*").alias("nodes"), F.min("degree").alias("low"), F.max("degree").alias("high"))
 
+    def packed(self, *types: str, direction: str = OUT, chunk: int = 256) -> DataFrame:
+        """Adjacency in segments of at most chunk neighbours: _src, seq, n, nbr, eid (in order of edge id)."""
+        from pyspark.sql import Window
+
+        edges = self.edge_view(*types, direction=direction).select("_src", "_dst", "_id")
+        placed = edges.withColumn("seq", F.floor((F.row_number().over(Window.partitionBy("_src").orderBy("_id")) - 1) / chunk).cast("int"))
+        segments = placed.groupBy("_src", "seq").agg(F.sort_array(F.collect_list(F.struct(F.col("_id").alias("eid"), F.col("_dst").alias("nbr")))).alias("s"))
+        return segments.select("_src", "seq", F.size("s").alias("n"), F.col("s.nbr").alias("nbr"), F.col("s.eid").alias("eid"))
+
+    @staticmethod
+    def unpacked(segments: DataFrame) -> DataFrame:
+        """Segments back to (_src, nbr, eid)."""
+        return segments.select("_src", F.inline(F.arrays_zip("nbr", "eid")))
+
+    def add_role_players(self, rows: DataFrame) -> Graph:
+        """Players (rel_id, role, player_id) of n-ary relations; roles must be declared."""
+        known = {r for t in self.catalog.types.values() for r in t.roles}
+        unknown = [r[0] for r in rows.select("role").distinct().limit(1000).collect() if r[0] not in known]
+        if unknown:
+            raise GraphError(f"unknown role {unknown[0]!r}", "unknown_role")
+        new = self.version()
+        new.players = rows if self.players is None else self.players.unionByName(rows).distinct()
+        return new
+
+    def rename_type(self, old: str, new_name: str) -> Graph:
+        """A type under another name; ids do not change."""
+        new = self.version()
+        new.catalog.rename_type(old, new_name)
+        for store in (new.nodes, new.edges):
+            if old in store:
+                store[new_name] = store.pop(old)
+        new.counters = {"labels_added": 1, "labels_removed": 1, "contains_updates": True}
+        return new
+
+    def set_iri(self, type_name: str, iri: str, prop: str | None = None) -> Graph:
+        t = self.catalog.get(type_name)
+        if prop is None:
+            t.iri = iri
+        else:
+            t.properties[prop].iri = iri
+        return self
+
+    def add_prefix(self, prefix: str, iri: str) -> Graph:
+        self.catalog.prefixes[prefix] = iri
+        return self
+
     def stats(self) -> DataFrame:
         rows = [(n, "node", self.nodes[n]) for n in self.nodes] + [(n, "edge", self.edges[n]) for n in self.edges]
         frames = [f.agg(F.count("*").alias("n")).select(F.lit(n).alias("type"), F.lit(k).alias("kind"), "n") for n, k, f in rows]

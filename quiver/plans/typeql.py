@@ -61,6 +61,14 @@ class Store:
             self.players = self.players.unionByName(frame.select(me.alias("rel_id"), F.lit(role).alias("role"), ids.make_id(0, self.catalog.get(player).type_id, F.col(column)).alias("player_id")))
         return self
 
+    def views(self) -> dict[str, DataFrame]:
+        """The mapping of attributes and roles as frames."""
+        attributes = [(t.name, t.value) for t in self.catalog.types.values() if t.kind == "attribute"]
+        roles = [(t.name, r.name, r.parent) for t in self.catalog.types.values() for r in t.roles.values()]
+        owns = [(t, a) for t, xs in self.owns.items() for a in xs]
+        make = self.spark.createDataFrame
+        return {"attribute": make(attributes, "attribute string, value string"), "role": make(roles, "relation string, role string, parent string"), "owns": make(owns, "type string, attribute string")}
+
     def fresh(self, type_name: str) -> int:
         self.next[type_name] = self.next.get(type_name, 0) + 1
         return ids.make_id(0, self.catalog.get(type_name).type_id, self.next[type_name])
@@ -606,6 +614,12 @@ def typeql(store: Store, text: str) -> DataFrame:
     return read(store, ast.parse(text))
 
 
+def explain(store: Store, text: str, mode: str = "formatted") -> str:
+    """The plan of a reading query."""
+    frame = typeql(store, text)
+    return frame._sc._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), mode)
+
+
 def check(text: str) -> dict:
     try:
         return {"ok": True, "stages": [s.kind for s in ast.parse(text)]}

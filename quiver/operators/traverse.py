@@ -10,6 +10,8 @@ the same edge, so the start is left out).
 
 from __future__ import annotations
 
+import os
+import tempfile
 from functools import reduce
 
 import numpy as np
@@ -44,19 +46,21 @@ def trails(starts: DataFrame, edges: DataFrame, low: int, high: int | None, colu
     return reduce(DataFrame.unionByName, found) if found else level.limit(0)
 
 
+def shared_folder(context) -> str:
+    """The folder that driver and executors share; a temporary one only in local mode."""
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise GraphError("set spark.checkpoint.dir to a folder that all executors share", "configuration")
+        folder = os.path.join(tempfile.gettempdir(), "quiver-checkpoints")
+    return folder
+
+
 def _cut(frame: DataFrame) -> DataFrame:
     """Cut a level's lineage in the checkpoint folder that the cluster names."""
     context = frame.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            import os
-            import tempfile
-
-            if not context.master.startswith("local["):
-                raise GraphError("set spark.checkpoint.dir to a folder that all executors share", "configuration")
-            folder = os.path.join(tempfile.gettempdir(), "quiver-checkpoints")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(context))
     return frame.checkpoint()
 
 
@@ -70,6 +74,8 @@ def reach(starts: DataFrame, edges: DataFrame, low: int = 1, high: int | None =
     if low > 1:
         raise GraphError("reach needs a lower bound of 0 or 1; use trails", "bounds")
     steps = edges.select(F.col("_src").alias("_from"), F.col("_dst").alias("_to")).distinct()
+    if high is None or high > 1:  # dealt out by start once, so that a level only moves its frontier
+        steps = _cut(steps.repartition("_from"))
     frontier = _cut(starts.select(F.col("_id").alias("start"), F.col("_id").alias("node")).distinct())
     visited = frontier.withColumn("depth", F.lit(0))
     again = None

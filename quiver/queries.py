@@ -483,12 +483,8 @@ def _(spark, sf_dir):
 
 @query("mapped_and_stored", "SELECT r_name AS region, count(*) AS n FROM nation JOIN region ON r_regionkey=n_regionkey GROUP BY 1")
 def _(spark, sf_dir):
-    import os
-    import tempfile
-
     g = _regions(spark, sf_dir)
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    g.materialize("Nation", os.path.join(base, f"quiver-nation-{spark.sparkContext.applicationId}"))
+    g.materialize("Nation", f"{traverse.shared_folder(spark.sparkContext)}/nation-{spark.sparkContext.applicationId}")
     return cypher(g, "MATCH (:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS region, count(*) AS n")
 
 

@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not conf:
         conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = os.path.join(tempfile.gettempdir(), "quiver-checkpoints")
     return conf

@@ -58,3 +58,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def held_out(column: str = "doc_id"):
     """crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def release_memory() -> None:
+    """Give memory that a fit has freed back to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.common import held_out
+from quiver.llm.common import held_out, release_memory
 from quiver.llm.words import NOT_LETTER, mix, runs, scan
 
-SAMPLE = 300
+SAMPLE = 120
 SEGMENT = 32
 DIM = 1 << 16
 AFFIXES = (1, 2, 3, 4)
@@ -123,9 +123,10 @@ class Crf:
             owners.append(owner)
         if not words:
             return self
-        who, what, words, owners = map(np.concatenate, (who, what, words, owners))
+        who, what, words, owners = (np.concatenate(x).astype(np.int32) for x in (who, what, words, owners))
+        known.clear()
         label = gold[owners]
-        _, begin, end = runs(owners * ((1 << 32)) + (np.arange(len(owners)) - np.searchsorted(owners, owners)) // SEGMENT)
+        _, begin, end = runs(owners.astype(np.int64) * (1 << 32) + (np.arange(len(owners)) - np.searchsorted(owners, owners)) // SEGMENT)
         # Every language weighs alike, however many words its sample has.
         weight = (len(label) / np.maximum(1, np.bincount(label, minlength=labels)) / labels)[label][:, None]
         hot = np.eye(labels)[label]
@@ -203,7 +204,10 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Crf | None:
     picked = labelled.filter(dice < share[F.col("lang")]).select("lang", F.lower("text").cast("binary").alias("text")).collect()
     languages = sorted(counts)
     picked.sort(key=lambda r: (r["lang"], bytes(r["text"])))
-    return Crf(languages).fit([bytes(r["text"]) for r in picked], np.asarray([languages.index(r["lang"]) for r in picked], np.int64))
+    model = Crf(languages).fit([bytes(r["text"]) for r in picked], np.asarray([languages.index(r["lang"]) for r in picked], np.int64))
+    del picked
+    release_memory()
+    return model
 
 
 def identify(documents: DataFrame, model: Crf | None) -> DataFrame:

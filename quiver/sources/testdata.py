@@ -8,7 +8,18 @@ from pyspark.sql import functions as F
 from quiver.graph import Graph
 
 
+_graphs: dict[tuple[str, str], Graph] = {}
+
+
 def testdata_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph of a folder: the schemas are read once for an application, each call gets its own version."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _graphs:
+        _graphs[key] = _build(spark, sf_dir)
+    return _graphs[key].version()
+
+
+def _build(spark: SparkSession, sf_dir: str) -> Graph:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     g = Graph(spark, "testdata")
     g.create_type("Place", abstract=True, name="string")

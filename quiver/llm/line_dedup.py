@@ -9,8 +9,12 @@ too).  Lines are near-equal if 100 * intersection >= 80 * union of their sets.
    within the three maxima.  Two lines at similarity 0.8 share a band with
    probability 0.989, at 0.9 with 0.999.
 2. Banding: in each bucket every line is paired with the bucket's least and
-   greatest line, so a bucket of n lines gives at most 2 n pairs.
-3. Verification: exact Jaccard similarity of each pair's sets.
+   greatest line.  After a union-find over the verified pairs, all pairs of a
+   bucket whose lines are still in different components are compared as well, in
+   cells of at most about CELL x CELL lines, so no candidate is left out.
+3. Verification: exact Jaccard similarity of each pair's sets.  Before it the
+   sizes of the sets and a parity bitmap, which differs in no more bits than the
+   sets differ in hashes, rule out pairs that cannot reach the threshold.
 4. Distributed union-find over the verified pairs; of each component the first
    line by (doc_id, position) is kept, the others are removed.
 
@@ -34,6 +38,8 @@ SHINGLE = 10
 #: Pairs of extremes: m0 to m2 are the minima under the three orders, m3 to m5 the maxima.
 BANDS = [(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5)]
 PERCENT = 80
+#: Lines of a bucket in each side of a cell, about.
+CELL = 512
 
 
 def _hashes(line: Column) -> Column:
@@ -51,11 +57,6 @@ def _lines(documents: DataFrame) -> DataFrame:
     return documents.select(order_key("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _similar(a: Column, b: Column) -> Column:
-    common = F.size(F.array_intersect(a, b))
-    return 100 * common >= PERCENT * (F.size(a) + F.size(b) - common)
-
-
 def signatures(lines: DataFrame) -> DataFrame:
     """doc, pos, id and the band keys of each line."""
     hashed = lines.select("doc", "pos", F.xxhash64("line").alias("id"), _hashes(F.col("line")).alias("h0"))
@@ -64,20 +65,59 @@ def signatures(lines: DataFrame) -> DataFrame:
     return ends.select("doc", "pos", "id", *(F.xxhash64(F.lit(i), f"m{a}", f"m{b}").alias(f"k{i}") for i, (a, b) in enumerate(BANDS)))
 
 
+def _parity(half: int) -> Column:
+    """64 bits of the set's parity bitmap of 128: each hash turns one bit."""
+    bit = lambda x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return F.aggregate("set", F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(bit(x)))
+
+
+def _possible(a: str, b: str) -> Column:
+    """False only where the sizes or the bitmaps of two lines rule the threshold out."""
+    total = F.col(f"{a}.n") + F.col(f"{b}.n")
+    bits = F.bit_count(F.col(f"{a}.p0").bitwiseXOR(F.col(f"{b}.p0"))) + F.bit_count(F.col(f"{a}.p1").bitwiseXOR(F.col(f"{b}.p1")))
+    return (100 - PERCENT) * total >= (100 + PERCENT) * F.greatest(bits, F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")))
+
+
+def _verified(pairs: DataFrame, told: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose sets reach the threshold."""
+    left = told.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("n").alias("n_a"))
+    right = told.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("n").alias("n_b"))
+    common = F.size(F.array_intersect(shingles(F.col("line_a")), shingles(F.col("line_b"))))
+    return pairs.join(left, "a").join(right, "b").filter((100 + PERCENT) * common >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def _pairs(x: str, y: str) -> tuple[Column, Column]:
+    return F.greatest(f"{x}.id", f"{y}.id").alias("a"), F.least(f"{x}.id", f"{y}.id").alias("b")
+
+
+def _rest(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Possible pairs (a, b) of a bucket that the links leave in different components."""
+    merged = components(links).select(F.col("node").alias("id"), F.col("component").alias("class"))
+    classed = checkpoint(members.select("key", "m.id", "m").join(merged, "id", "left").select("key", "m", F.coalesce("class", "id").alias("class")))
+    mixed = classed.groupBy("key").agg(F.min("class").alias("c"), F.max("class").alias("d"), F.ceil(F.count("*") / CELL).cast("int").alias("parts")).filter("c < d").select("key", "parts")
+    dealt = classed.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("m.id"), "parts").cast("int"))
+    left = dealt.select("key", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), F.col("m").alias("x"), F.col("class").alias("c"))
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"), F.col("m").alias("y"), F.col("class").alias("d"))
+    once = (left["i"] < left["j"]) | (F.col("x.id") < F.col("y.id"))
+    met = left.join(right, (left["key"] == right["key"]) & (left["i"] == right["i"]) & (left["j"] == right["j"]) & once & (F.col("c") != F.col("d")) & _possible("x", "y"))
+    return met.select(*_pairs("x", "y")).distinct()
+
+
 def line_links(lines: DataFrame, signed: DataFrame) -> DataFrame:
     """Verified pairs (a, b) of ids of near-equal lines."""
-    keys = F.array(*(f"k{i}" for i in range(len(BANDS))))
-    dealt = signed.select("id", F.explode(keys).alias("key")).repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    member = dealt.join(shared.hint("shuffle_hash"), "key")
-    pairs = member.select(F.explode(F.array(F.struct(F.col("id").alias("a"), F.col("low").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
-    pairs = checkpoint(pairs.select(F.greatest("p.a", "p.b").alias("a"), F.least("p.a", "p.b").alias("b")).filter("a <> b").distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    keys = [f"k{i}" for i in range(len(BANDS))]
+    dealt = signed.select("id", F.explode(F.array(*keys)).alias("key")).repartition("key").distinct()
+    shared = dealt.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
+    members = checkpoint(dealt.join(shared.hint("shuffle_hash"), "key", "left_semi"))
+    wanted = members.select("id").distinct()
     told = lines.select(F.xxhash64("line").alias("id"), "line").join(wanted.hint("shuffle_hash"), "id", "left_semi")
-    sets = told.groupBy("id").agg(F.min("line").alias("line")).select("id", shingles(F.col("line")).alias("set"))
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").filter(_similar(F.col("set_a"), F.col("set_b"))).select("a", "b")
+    told = told.groupBy("id").agg(F.min("line").alias("line")).select("id", "line", shingles(F.col("line")).alias("set"))
+    told = written(told.select("id", "line", F.size("set").alias("n"), _parity(0).alias("p0"), _parity(1).alias("p1")), "line-candidates")
+    members = checkpoint(members.join(told.select("id", "n", "p0", "p1"), "id").select("key", F.struct("id", "n", "p0", "p1").alias("m")))
+    ends = members.groupBy("key").agg(F.min("m").alias("low"), F.max("m").alias("high"))
+    led = members.join(ends, "key").select("m", F.explode(F.array("low", "high")).alias("lead")).filter(F.col("m.id") != F.col("lead.id")).filter(_possible("m", "lead"))
+    links = checkpoint(_verified(led.select(*_pairs("m", "lead")).distinct(), told))
+    return links.unionByName(checkpoint(_verified(_rest(members, links), told)))
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:

@@ -250,3 +250,19 @@ def test_line_bands_keep_their_recall(spark):
             near += 1
             found += bool(x & y)
     assert near > 400 and found >= 0.98 * near, (near, found)
+
+
+def test_line_buckets_are_compared_whole(spark):
+    """Every near-equal pair of one bucket ends in one component, also those unlike the bucket's ends."""
+    from pyspark.sql import functions as F
+
+    from quiver.llm.components import components
+    from quiver.llm.line_dedup import CELL, line_links, signatures
+
+    docs = spark.createDataFrame(list(enumerate(variants(random.Random(6), CELL))), "doc_id long, text string")
+    whole, sets = sets_of(docs)
+    signed = signatures(whole).withColumn("k0", F.lit(1).cast("long"))  # all lines share a bucket
+    root = {r.node: r.component for r in components(line_links(whole, signed)).collect()}
+    ids = [r.id for r in signed.orderBy("doc").collect()]
+    want = [(a, b) for a, b in zip(ids[::2], ids[1::2]) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(want) > 300 and all(root.get(a, a) == root.get(b, b) for a, b in want)

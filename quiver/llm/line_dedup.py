@@ -1,8 +1,9 @@
 """Line dedup: near-equal lines by MinHash over character shingles; DataFrame functions only.
 
-A line's set holds the hashes of the character shingles of SHINGLE characters
-that start at the starts of its words (a shorter rest of the line is a shingle
-too).  Lines are near-equal if 100 * intersection >= 80 * union of their sets.
+A line's set holds the hashes of its character shingles of SHINGLE characters
+that start at the start of a word or have no space (a shorter rest of the line
+is a shingle too), so every character but spaces is in a shingle.  Lines are
+near-equal if 100 * intersection >= 80 * union of their sets.
 
 1. Signature: the minimum and the maximum of the set under each of three
    independent hash orders; bands are the pairs within the three minima and
@@ -43,7 +44,7 @@ CELL = 512
 
 
 def _hashes(line: Column) -> Column:
-    found = F.regexp_extract_all(line, F.lit(rf"(?=([^ ].{{0,{SHINGLE - 1}}}))[^ ]+ *"), F.lit(1))
+    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=([^ ].{{0,{SHINGLE - 1}}}))(?:[^ ]{{1,{SHINGLE}}}+(?: +|\z)|[^ ])"), F.lit(1))
     return F.transform(found, lambda s: F.xxhash64(s))
 
 

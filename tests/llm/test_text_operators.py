@@ -266,3 +266,14 @@ def test_line_buckets_are_compared_whole(spark):
     ids = [r.id for r in signed.orderBy("doc").collect()]
     want = [(a, b) for a, b in zip(ids[::2], ids[1::2]) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     assert len(want) > 300 and all(root.get(a, a) == root.get(b, b) for a, b in want)
+
+
+def test_line_shingles_cover_long_runs(spark):
+    """No character is outside of the shingles: lines that open alike are not equal."""
+    from quiver.llm.line_dedup import line_dedup
+
+    run = "".join(chr(0x4E00 + i) for i in range(60))
+    lines = ["https://example.com/news/1", "https://example.com/about/contact", "self.assertEqual(first, 1)", "self.assertEqual(second.value, 2)", "2024-01-01\t17\ttea", "2024-01-01\t99\tcoffee and more", run[:40], run[:10] + run[40:]]
+    rows = [(i, x, 0) for i, x in enumerate(lines)] + [(100, run, 0), (101, "x" + run, 1)]
+    out = {r.doc_id: r.n_removed for r in line_dedup(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert out == {r[0]: r[2] for r in rows}

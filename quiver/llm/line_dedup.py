@@ -107,7 +107,8 @@ def _rest(members: DataFrame, links: DataFrame) -> DataFrame:
 def line_links(lines: DataFrame, signed: DataFrame) -> DataFrame:
     """Verified pairs (a, b) of ids of near-equal lines."""
     keys = [f"k{i}" for i in range(len(BANDS))]
-    dealt = signed.select("id", F.explode(F.array(*keys)).alias("key")).repartition("key").distinct()
+    each = signed.groupBy("id").agg(*(F.min(k).alias(k) for k in keys))
+    dealt = each.select("id", F.explode(F.array_distinct(F.array(*keys))).alias("key")).repartition("key")
     shared = dealt.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
     members = checkpoint(dealt.join(shared.hint("shuffle_hash"), "key", "left_semi"))
     wanted = members.select("id").distinct()

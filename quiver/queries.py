@@ -195,8 +195,9 @@ def _(spark, sf_dir):
 @query("reach_many_seeds", "WITH RECURSIVE e AS (SELECT a.conv_id c, a.turn s, b.turn t FROM conversations a JOIN conversations b ON b.conv_id=a.conv_id AND b.turn=a.turn+1), w AS (SELECT c, t, 1 k FROM e WHERE s=0 UNION ALL SELECT w.c, e.t, k+1 FROM w JOIN e ON e.c=w.c AND e.s=w.t) SELECT c AS conv_id, t AS turn, k AS depth FROM w")
 def _(spark, sf_dir):
     g = testdata_graph(spark, sf_dir)
-    found = traverse.reach(g.label_view("Turn").filter("turn = 0").select("_id"), g.edge_view("NEXT"))
-    return found.select(F.floor(id_local(F.col("node")) / 4096).alias("conv_id"), (id_local(F.col("node")) % 4096).alias("turn"), "depth")
+    turns = g.label_view("Turn")
+    found = traverse.reach(turns.filter("turn = 0").select("_id"), g.edge_view("NEXT"))
+    return found.join(turns, found["node"] == turns["_id"]).select("conv_id", "turn", "depth")
 
 
 @query("csr_reach", "WITH RECURSIVE e AS (SELECT a.conv_id c, a.turn s, b.turn t FROM conversations a JOIN conversations b ON b.conv_id=a.conv_id AND b.turn=a.turn+1), w AS (SELECT c, t, 1 k FROM e WHERE s=0 UNION ALL SELECT w.c, e.t, k+1 FROM w JOIN e ON e.c=w.c AND e.s=w.t WHERE k < 4) SELECT k AS depth, count(*) AS n FROM w GROUP BY 1")

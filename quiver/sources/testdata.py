@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quiver.catalog import GraphError
 from quiver.graph import Graph
+from quiver.ids import MAX_LOCAL
 
 
 _graphs: dict[tuple[str, str], Graph] = {}
@@ -19,6 +21,36 @@ def testdata_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return _graphs[key].version()
 
 
+def numbered_turns(turns: DataFrame) -> DataFrame:
+    """turns with key, a local id of its own for each (conv_id, turn).
+
+    conv_id * width + turn, where width covers the longest conversation.  Where
+    that leaves the local bits, the conversations are laid end to end: offsets
+    are summed by range of conv_id, and of at most 4096 ranges on the driver.
+    """
+    ends = turns.agg(F.min("conv_id").alias("low"), F.max("conv_id").alias("high"), F.min("turn").alias("first"), F.max("turn").alias("last")).first()
+    if ends["high"] is None or ends["last"] is None:
+        return turns.withColumn("key", (F.col("conv_id") + F.col("turn")).cast("long"))
+    if ends["first"] < 0:
+        raise GraphError(f"turn {ends['first']} is negative", "id_range")
+    width, conv = ends["last"] + 1, F.col("conv_id").cast("long")
+    if ends["low"] >= 0 and (ends["high"] + 1) * width - 1 <= MAX_LOCAL:
+        return turns.withColumn("key", conv * F.lit(width).cast("long") + F.col("turn"))
+    step = -(-(ends["high"] - ends["low"] + 1) // 4096)
+    sizes = turns.filter("conv_id is not null and turn is not null").groupBy(conv.alias("of")).agg((F.max("turn") + 1).cast("long").alias("n"))
+    sizes = sizes.withColumn("range", F.floor((F.col("of") - F.lit(ends["low"])) / F.lit(step)))
+    bases, total = [], 0
+    for r in sorted(sizes.groupBy("range").agg(F.sum("n").alias("n")).collect()):
+        bases.append((r["range"], total))
+        total += r["n"]
+    if total - 1 > MAX_LOCAL:
+        raise GraphError(f"{total} turns do not fit the local ids", "id_range")
+    base = F.broadcast(turns.sparkSession.createDataFrame(bases, "range long, base long"))
+    before: Column = F.sum("n").over(Window.partitionBy("range").orderBy("of")) - F.col("n")
+    placed = sizes.withColumn("before", before).join(base, "range").select("of", (F.col("base") + F.col("before")).alias("offset"))
+    return turns.join(placed, conv == F.col("of"), "left").withColumn("key", F.col("offset") + F.col("turn")).drop("of", "offset")
+
+
 def _build(spark: SparkSession, sf_dir: str) -> Graph:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     g = Graph(spark, "testdata")
@@ -45,7 +77,7 @@ def _build(spark: SparkSession, sf_dir: str) -> Graph:
     g.map_table("Part", read("part"), "p_partkey", {"partkey": "p_partkey", "name": "p_name", "brand": "p_brand", "type": "p_type", "size": "p_size", "retailprice": "p_retailprice"})
     g.map_table("Order", orders, "o_orderkey", {"orderkey": "o_orderkey", "custkey": "o_custkey", "status": "o_orderstatus", "totalprice": "o_totalprice", "orderdate": "o_orderdate", "priority": "o_orderpriority"})
     g.map_table("Event", read("events"), "event_id", {c: c for c in ("event_id", "user_id", "event_type", "value", "ts", "props")})
-    turns = read("conversations").withColumn("key", F.col("conv_id") * 4096 + F.col("turn"))
+    turns = numbered_turns(read("conversations"))
     g.map_table("Turn", turns, "key", {c: c for c in ("conv_id", "turn", "role", "text")})
     g.map_table("Vector", read("embeddings"), "vec_id", {c: c for c in ("vec_id", "label", "embedding")})
     g.map_table("Document", read("documents"), "doc_id", {c: c for c in ("doc_id", "text", "lang", "source", "n_chars")})

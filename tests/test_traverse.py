@@ -70,3 +70,27 @@ def test_bounds_and_hops(spark):
     assert sorted((r.src, r.dst, r.hops) for r in traverse.hops(pairs, edges).collect() if r.hops is not None) == [(0, 0, 0), (0, 3, 2)]
     single = turned(frame(spark, [(1, 0, 1)]), "both")
     assert [(r.node, r.depth) for r in traverse.reach(spark.createDataFrame([(0,)], "_id long"), single, 1, 4, True).collect()] == [(1, 1)]
+
+
+@pytest.mark.parametrize("far", [1, 1 << 30, (1 << 36) - 1])
+def test_turns_of_long_conversations(spark, tmp_path, far):
+    """Turns keep ids of their own and NEXT stays in its conversation, however long it is or great its id."""
+    from pathlib import Path
+
+    from quiver.ids import id_local, id_type
+    from quiver.queries import queries
+    from quiver.sources.testdata import testdata_graph
+
+    for table in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        (tmp_path / table.name).symlink_to(table)
+    (tmp_path / "conversations.parquet").unlink()
+    rows = [(0, t, "user", "x") for t in range(4090, 4100)] + [(0, 0, "user", "x")] + [(c, t, "user", "x") for c in (far, far - 1 or 7) for t in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    g = testdata_graph(spark, str(tmp_path))
+    nodes = {r["_id"]: (r.conv_id, r.turn) for r in g.label_view("Turn").collect()}
+    assert sorted(nodes.values()) == sorted(r[:2] for r in rows)
+    assert {id_type(i) for i in nodes} == {g.catalog.types["Turn"].type_id} and all(id_local(i) >= 0 for i in nodes)
+    steps = [(nodes[r["_src"]], nodes[r["_dst"]]) for r in g.edge_view("NEXT").collect()]
+    assert len(steps) == 9 + 4 and all(a[0] == b[0] and a[1] + 1 == b[1] for a, b in steps)
+    got = {tuple(r) for r in queries()["reach_many_seeds"](spark, str(tmp_path)).collect()}
+    assert got == {(c, t, t) for c in (far, far - 1 or 7) for t in (1, 2)}

@@ -216,6 +216,19 @@ def _(spark, sf_dir):
     return traverse.hops(pairs, g.edge_view("SUPPLIES", direction="both"), 4).select(id_local(F.col("dst")).alias("part"), "hops")
 
 
+@query("expand_all", "SELECT o_custkey AS custkey, count(*) AS n FROM orders JOIN customer ON c_custkey=o_custkey GROUP BY 1")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    return g.expand(g.label_view("Customer").select("_id"), "PLACED").groupBy("start").agg(F.count("*").alias("n")).select(id_local(F.col("start")).alias("custkey"), "n")
+
+
+@query("shortest_hops_all", "WITH e AS (SELECT DISTINCT l_suppkey s, l_partkey p FROM lineitem), one AS (SELECT p FROM e WHERE s=1), two AS (SELECT DISTINCT s FROM e WHERE p IN (SELECT p FROM one)), three AS (SELECT DISTINCT p FROM e WHERE s IN (SELECT s FROM two)) SELECT p_partkey AS part, CASE WHEN p_partkey IN (SELECT p FROM one) THEN 1 WHEN p_partkey IN (SELECT p FROM three) THEN 3 END AS hops FROM part")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    pairs = g.label_view("Part").select(F.lit(make_id(0, g.catalog.types["Supplier"].type_id, 1)).alias("src"), F.col("_id").alias("dst"))
+    return traverse.hops(pairs, g.edge_view("SUPPLIES", direction="both"), 4).select(id_local(F.col("dst")).alias("part"), "hops")
+
+
 _Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id=0)"
 
 
@@ -410,6 +423,15 @@ _t("typeql_cross_components", "match $n isa nation, has name $a; $a contains '_1
 _t("typeql_fetch", "match $c isa customer, has custkey $k; $k < 5; fetch { \"key\": $k, \"segment\": $c.segment };", "SELECT c_custkey AS key, c_mktsegment AS segment FROM customer WHERE c_custkey<5")
 
 
+_t("typeql_fetch_all", "match $c isa customer, has custkey $k; fetch { \"key\": $k, \"segment\": $c.segment };", "SELECT c_custkey AS key, c_mktsegment AS segment FROM customer")
+
+
+@query("typeql_fetch_nested_all", "SELECT c_custkey AS key, count(o_orderkey)::INT AS orders, 1 AS names FROM customer LEFT JOIN orders ON o_custkey=c_custkey GROUP BY 1")
+def _(spark, sf_dir):
+    out = typeql.typeql(typeql_store(spark, sf_dir), 'match $c isa customer, has custkey $k; fetch { "key": $k, "doc": { "names": [$c.name] }, "orders": [match placing (buyer: $c, bought: $o); fetch { "number": $o.key-number };] };')
+    return out.select("key", F.size("orders").alias("orders"), F.size("doc.names").alias("names"))
+
+
 @query("typeql_fetch_nested", "SELECT c_custkey AS key, count(o_orderkey)::INT AS orders, 1 AS names FROM customer LEFT JOIN orders ON o_custkey=c_custkey WHERE c_custkey<20 GROUP BY 1")
 def _(spark, sf_dir):
     out = typeql.typeql(typeql_store(spark, sf_dir), 'match $c isa customer, has custkey $k; $k < 20; fetch { "key": $k, "doc": { "names": [$c.name] }, "orders": [match placing (buyer: $c, bought: $o); fetch { "number": $o.key-number };] };')
@@ -464,6 +486,13 @@ def _(spark, sf_dir):
     return g.prop(wanted, "name").select("name")
 
 
+@query("prop_lookup_all", "SELECT r_name AS name FROM region UNION ALL SELECT NULL FROM orders")
+def _(spark, sf_dir):
+    g = testdata_graph(spark, sf_dir)
+    wanted = g.label_view("Region").select("_id").unionByName(g.label_view("Order").select("_id"))
+    return g.prop(wanted, "name").select("name")
+
+
 @query("rename_type", "SELECT count(*) AS n FROM nation")
 def _(spark, sf_dir):
     return cypher(_regions(spark, sf_dir).rename_type("Nation", "Country"), "MATCH (c:Country)-[:IN_REGION]->(:Region) RETURN count(c) AS n")

@@ -127,3 +127,26 @@ def test_change_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sum(r.n for r in spark.table("counted").collect()) == 12 and spark.table("counted").count() == 6
+
+
+def test_whole_table_queries(spark):
+    """The lookups and fetches run over all customers, parts and orders, not a subset of ids."""
+    from collections import Counter
+
+    from quiver.queries import queries
+
+    folder = "/root/testdata/sf0.001"
+    run = lambda name: [tuple(r) for r in queries()[name](spark, folder).collect()]
+    table = lambda t, *c: [tuple(r) for r in spark.read.parquet(f"{folder}/{t}.parquet").select(*c).collect()]
+    customers, orders = table("customer", "c_custkey", "c_mktsegment"), Counter(c for (c,) in table("orders", "o_custkey"))
+    known = {c for c, _ in customers}
+    assert dict(run("expand_all")) == {c: n for c, n in orders.items() if c in known}
+    assert sorted(run("typeql_fetch_all")) == sorted(customers)
+    assert sorted(run("typeql_fetch_nested_all")) == sorted((c, orders.get(c, 0), 1) for c in known)
+    names = Counter(n for (n,) in run("prop_lookup_all"))
+    assert names == Counter([n for (n,) in table("region", "r_name")]) + Counter({None: sum(orders.values())})
+    supplied = set(table("lineitem", "l_suppkey", "l_partkey"))
+    one = {p for s, p in supplied if s == 1}
+    two = {s for s, p in supplied if p in one}
+    three = {p for s, p in supplied if s in two}
+    assert dict(run("shortest_hops_all")) == {p: 1 if p in one else 3 if p in three else None for (p,) in table("part", "p_partkey")}

@@ -173,7 +173,7 @@ class Graph:
     def add_role_players(self, rows: DataFrame) -> Graph:
         """Players (rel_id, role, player_id) of n-ary relations; roles must be declared."""
         known = {r for t in self.catalog.types.values() for r in t.roles}
-        unknown = [r[0] for r in rows.select("role").distinct().limit(1000).collect() if r[0] not in known]
+        unknown = rows.filter(F.col("role").isNull() | ~F.col("role").isin(*known)).select("role").first()
         if unknown:
             raise GraphError(f"unknown role {unknown[0]!r}", "unknown_role")
         new = self.version()

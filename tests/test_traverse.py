@@ -94,3 +94,19 @@ def test_turns_of_long_conversations(spark, tmp_path, far):
     assert len(steps) == 9 + 4 and all(a[0] == b[0] and a[1] + 1 == b[1] for a, b in steps)
     got = {tuple(r) for r in queries()["reach_many_seeds"](spark, str(tmp_path)).collect()}
     assert got == {(c, t, t) for c in (far, far - 1 or 7) for t in (1, 2)}
+
+
+def test_every_role_is_checked(spark):
+    """An undeclared role is found among any number of rows and declared names."""
+    from pyspark.sql import functions as F
+
+    from quiver.catalog import Role
+    from quiver.graph import Graph
+
+    g = Graph(spark).create_type("Thing").relation("LINKS", "Thing", "Thing")
+    g.catalog.types["LINKS"].roles.update({f"r{i}": Role(f"r{i}", "Thing", i) for i in range(3000)})
+    rows = spark.range(3000).select(F.col("id").alias("rel_id"), F.concat(F.lit("r"), "id").alias("role"), F.col("id").alias("player_id"))
+    assert g.add_role_players(rows).players.count() == 3000
+    for stray in ("zz", None):
+        with pytest.raises(GraphError, match="unknown role"):
+            g.add_role_players(rows.union(spark.createDataFrame([(1, stray, 1)], "rel_id long, role string, player_id long")))

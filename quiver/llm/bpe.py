@@ -19,7 +19,8 @@ lost executor costs its own tasks only.
 
 Nulls: a null text is empty and has no ids; a null doc_id is carried.  Repeated
 rows are encoded each.  An empty table gives an empty result.  Words are told
-apart in a task by 64-bit hashes.
+apart by their bytes; the hash only groups them.  A very long text is cut at no
+place, a word of it may be as long as the text.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.words import _BYTE, CHUNK, span_hashes
+from quiver.llm.words import CHUNK, same_bytes, word_hashes
 
 LETTER, NUMBER, OTHER, WHITE, EDGE = 0, 1, 2, 3, 4
 TABLE = 1 << 19
@@ -159,10 +160,11 @@ class WordTable:
         """Rows of words that are given as strings (the slow path)."""
         out = []
         for word in words:
-            row = self.row.get(word)
+            special = self.vocabulary.special.get(word)
+            key = word.encode() if special is None else word  # a special token is no word
+            row = self.row.get(key)
             if row is None:
-                special = self.vocabulary.special.get(word)
-                row = self.row[word] = self._add([special] if special is not None else self.encode(word))
+                row = self.row[key] = self._add([special] if special is not None else self.encode(word))
             out.append(row)
         return out
 
@@ -187,16 +189,19 @@ class WordTable:
         owner = np.searchsorted(ends, starts, side="right")[inside]
         begin, end = begin[inside], end[inside]
         raw = joined.encode()
-        hashes = span_hashes(_BYTE[np.frombuffer(raw, np.uint8)], begin, end)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        row, get = np.empty(len(distinct), np.int64), self.row.get
-        for i, h in enumerate(distinct.tolist()):
-            found = get(h)
+        data = np.frombuffer(raw, np.uint8)
+        _, first, inverse = np.unique(word_hashes(data, begin, end), return_index=True, return_inverse=True)
+        row, get = np.empty(len(first), np.int64), self.row.get
+        words = [raw[s:e] for s, e in zip(begin[first].tolist(), end[first].tolist())]
+        for i, word in enumerate(words):
+            found = get(word)
             if found is None:
-                word = raw[begin[first[i]] : end[first[i]]].decode()
-                found = self.row[h] = self._add(self.encode(word))
+                found = self.row[word] = self._add(self.encode(word.decode()))
             row[i] = found
         rows = row[inverse]
+        # The bytes of every word are compared: another word with the same hash is looked up by itself.
+        for i in np.flatnonzero(~same_bytes(data, begin, end, first[inverse])).tolist():
+            rows[i] = self.rows_of([raw[begin[i] : end[i]].decode()])[0]
         cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
         return [rows[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 

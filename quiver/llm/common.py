@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -39,11 +40,35 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of intermediate tables that the results of this session still read.
+_written: list[tuple[SparkSession, str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/quiver/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Write df as Parquet in the shared folder and read it back; the folder goes when the process ends or by discard()."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quiver/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(discard)
+    _written.append((spark, path))
+    try:
+        df.write.parquet(path)
+    except BaseException:
+        discard(path)
+        raise
+    return spark.read.parquet(path)
+
+
+def discard(*paths: str) -> None:
+    """Delete folders that written() made (all of them, if none is named)."""
+    for spark, path in [x for x in _written if not paths or x[1] in paths]:
+        _written.remove((spark, path))
+        try:
+            jvm = spark.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        except Exception:  # noqa: BLE001 - the session has ended: its folder is left to the cluster's clean-up
+            continue
 
 
 def order_key(column: str):

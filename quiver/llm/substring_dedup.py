@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiver.llm.common import order_key, shuffle_partitions, written
-from quiver.llm.words import mix, runs, scan_documents, shingle_hashes, span_hashes
+from quiver.llm.words import mix, run_hashes, runs, scan_documents, shingle_hashes
 
 WINDOW = 20
 ANCHOR = 8
@@ -62,7 +62,7 @@ def passages(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR):
     g = shingle_hashes(hashes, anchor)
     at = _leftmost_minimum(g, window - anchor + 1)
     where, first, end = runs(at)
-    content = span_hashes(mix(hashes), first, end + window - 1) ^ mix((where - first).astype(_U))
+    content = run_hashes(hashes, first, end + window - 1, window) ^ mix((where - first).astype(_U))
     return g[where], content, first, end - 1
 
 
@@ -178,7 +178,7 @@ def _fetch_words(window: int):
                             spans = [(first, last + window, key)]
                         else:  # each window by itself, spread by its content
                             at = np.arange(first, last + 1)
-                            spread = span_hashes(mix(words), at, at + window).view(np.int64)
+                            spread = run_hashes(words, at, at + window, window).view(np.int64)
                             spans = [(int(i), int(i) + window, int(h)) for i, h in zip(at, spread)]
                         for a, b, shard in spans:
                             rows[0].append(shard)

@@ -7,6 +7,8 @@ bounded by the longest single word, not by the longest document.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 CHUNK = 1 << 20
@@ -30,28 +32,85 @@ NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[0x80:] = False
 NOT_LETTER[0x41:0x5B] = NOT_LETTER[0x61:0x7B] = False
 
-_BYTE = _splitmix(np.arange(1, 257, dtype=_U))
-_BASE = 0x9E6C63D0876A9A35  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+_ODD = _U(0x9E6C63D0876A9A35)
+#: Words of more bytes are hashed one by one with blake2b.
+LONG_WORD = 512
+
+
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one little-endian number."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data),), "<u8", buffer=padded, strides=(1,))
+
 
+def _lane(lanes: np.ndarray, starts: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Eight bytes from each start, those beyond rest bytes cleared."""
+    found = lanes[starts]
+    short = rest < 8
+    found[short] &= (_U(1) << (rest[short].astype(_U) * _U(8))) - _U(1)
+    return found
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grown on demand."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK + 4096), base, _U)
-        steps[0] = 1
-        have = _powers[base] = np.cumprod(steps, dtype=_U)
-    return have[:n]
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each data[start:end].
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each values[start:end] (equal spans, equal hashes)."""
-    total = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * powers(_BASE, len(values)), dtype=_U, out=total[1:])
-    raw = (total[ends] - total[starts]) * powers(_INVERSE, len(values) + 1)[starts]
-    return _splitmix(raw ^ ((ends - starts).astype(_U) << _U(48)))
+    Eight bytes at a time go through a mixer that is no linear function of
+    them, so no text is built from two letters alone that meets another's hash
+    whatever the constants, as it is with sums of powers modulo 2**64.
+    """
+    size = ends - starts
+    if not len(size):
+        return np.empty(0, _U)
+    lanes = _lanes(data)
+    out = _splitmix(_lane(lanes, starts, size) ^ _splitmix(size.astype(_U)))
+    more = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    at = 8
+    while len(more):
+        out[more] = _splitmix(out[more] * _ODD + _lane(lanes, starts[more] + at, size[more] - at))
+        at += 8
+        more = more[size[more] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span has the bytes of the span numbered other[i]."""
+    size = ends - starts
+    same = size == size[other]
+    for i in np.flatnonzero(same & (size > LONG_WORD) & (other != np.arange(len(size)))).tolist():
+        j = int(other[i])
+        same[i] = np.array_equal(data[starts[i] : ends[i]], data[starts[j] : ends[j]])
+    lanes, at = _lanes(data), 0
+    more = np.flatnonzero(same & (size <= LONG_WORD) & (other != np.arange(len(size))))
+    while len(more):
+        rest = size[more] - at
+        same[more] &= _lane(lanes, starts[more] + at, rest) == _lane(lanes, starts[other[more]] + at, rest)
+        at += 8
+        more = more[same[more] & (size[more] > at)]
+    return same
+
+
+def run_hashes(hashes: np.ndarray, first: np.ndarray, end: np.ndarray, least: int, lane: int = 0) -> np.ndarray:
+    """A hash of each run hashes[first:end] of at least `least` values.
+
+    Runs of 2, 4, 8 .. values are hashed from their halves, so equal values at
+    other places do not cancel; a run is a chain of the largest such runs, the
+    last of which ends with it.  lane chooses one of two independent hashes.
+    """
+    odd = _U((0x9E6C63D0876A9A35, 0xC2B2AE3D27D4EB4F)[lane])
+    level, width = _splitmix(hashes ^ odd), 1
+    while 2 * width <= least:
+        level = _splitmix(level[: len(level) - width] * odd + level[width:])
+        width *= 2
+    out = _splitmix(level[end - width] + _splitmix((end - first).astype(_U)))
+    at, more = 0, np.arange(len(first))
+    while len(more):
+        out[more] = _splitmix(out[more] * odd + level[first[more] + at])
+        at += width
+        more = more[first[more] + at + width < end[more]]
+    return out
 
 
 def _pieces(texts, sep):
@@ -91,7 +150,7 @@ def scan(texts, sep: np.ndarray = SPACE):
         starts, ends = edge[0::2], edge[1::2]  # the last byte is a separator
         bounds = np.cumsum([len(x) + 1 for x in held])
         owner = np.asarray(owners, np.int64)[np.searchsorted(bounds, starts, side="right")]
-        return data, starts, ends, owner, span_hashes(_BYTE[data], starts, ends)
+        return data, starts, ends, owner, word_hashes(data, starts, ends)
 
     for i, piece in _pieces(texts, sep):
         held.append(piece)
@@ -134,6 +193,6 @@ def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
         return np.empty(0, _U)
     out = np.zeros(n, _U)
     for j in range(k):
-        out *= _U(_BASE)
+        out *= _ODD
         out += hashes[j : j + n]
     return _splitmix(out)

@@ -40,6 +40,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Spark's setting to delete the shuffle files of a statement when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders of intermediate tables that the results of this session still read.
 _written: list[tuple[SparkSession, str]] = []
 
@@ -51,11 +53,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(discard)
     _written.append((spark, path))
+    # What the write has shuffled is not read again, so its files go with the write.
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     except BaseException:
         discard(path)
         raise
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.parquet(path)
 
 

@@ -20,9 +20,13 @@ shard's automaton meets only the passages that can match it:
    than HOT contents are sharded further by the content of each window.
 4. The spans of a document are joined to its text and cut out.
 
-Nulls: a null text has no words; a null doc_id sorts after all ids.  Repeated
-rows of one doc_id count as one place and are cut alike.  Word and passage
-equality is that of 64-bit hashes; a window is 20 of them in order.
+Nulls: a null text has no words; a null doc_id sorts after all ids.  Rows with the
+same doc_id and the same text (null ids, too) count as one place and are cut
+alike; rows that share a doc_id, or have none, but differ in text are documents
+of their own, in the order of a hash of the text.  A very long text is scanned in
+chunks.  An empty table gives an empty result.  Other columns are not read.
+Passages are equal if two independent 64-bit hashes are, a window in an automaton
+if the 64-bit hashes of its 20 words are, in order.
 """
 
 from __future__ import annotations
@@ -41,7 +45,9 @@ WINDOW = 20
 ANCHOR = 8
 HOT = 4096
 _U = np.uint64
-PASSAGES = "anchor long, content long, doc long, first int, last int, settled boolean"
+PASSAGES = "anchor long, content long, again long, doc long, row long, first int, last int, settled boolean"
+#: Repeated doc_ids that are sent to all tasks, at most; more are joined by a shuffle.
+MOST_REPEATS = 1 << 18
 
 
 def _leftmost_minimum(g: np.ndarray, width: int) -> np.ndarray:
@@ -56,40 +62,42 @@ def _leftmost_minimum(g: np.ndarray, width: int) -> np.ndarray:
 
 
 def passages(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR):
-    """(anchor hash, content hash, first window, last window) of one document's words."""
+    """(anchor hash, two content hashes, first window, last window) of one document's words."""
     if len(hashes) < window:
         return None
     g = shingle_hashes(hashes, anchor)
     at = _leftmost_minimum(g, window - anchor + 1)
     where, first, end = runs(at)
-    content = run_hashes(hashes, first, end + window - 1, window) ^ mix((where - first).astype(_U))
-    return g[where], content, first, end - 1
+    place = mix((where - first).astype(_U))
+    content, again = (run_hashes(hashes, first, end + window - 1, window, lane) ^ place for lane in (0, 1))
+    return g[where], content, again, first, end - 1
 
 
 def _emit_passages(window: int, anchor: int):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for hashes, owner in scan_documents(batch.column(1).to_pylist()):
                 parts = []
                 for who, s, e in zip(*runs(owner)):
                     found = passages(hashes[s:e], window, anchor)
                     if found is not None:
-                        parts.append((*found, np.full(len(found[0]), ids[who], np.int64)))
+                        n = len(found[0])
+                        parts.append((*found, np.full(n, ids[who], np.int64), np.full(n, rows[who], np.int64)))
                 if not parts:
                     continue
-                key, content, first, last, doc = map(np.concatenate, zip(*parts))
+                key, content, again, first, last, doc, row = map(np.concatenate, zip(*parts))
                 # Copies inside the chunk: all but the earliest are settled here.
-                order = np.lexsort((first, doc, content, key))
-                k, c, d, f = key[order], content[order], doc[order], first[order]
+                order = np.lexsort((first, row, doc, again, content, key))
+                k, c, g, d, r, f = (x[order] for x in (key, content, again, doc, row, first))
                 same = np.zeros(len(k), bool)
-                same[1:] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
+                same[1:] = (k[1:] == k[:-1]) & (c[1:] == c[:-1]) & (g[1:] == g[:-1])
                 head = np.maximum.accumulate(np.where(same, 0, np.arange(len(k))))
-                settled = same & ((d > d[head]) | (f > f[head]))
+                settled = same & ((d > d[head]) | (r != r[head]) | (f > f[head]))
                 k = np.where(settled, mix(d.view(_U) ^ mix(f.astype(_U))), k)  # they need no shard: spread them
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(f.astype(np.int32)), pa.array(last[order].astype(np.int32)), pa.array(settled)],
-                    names=["anchor", "content", "doc", "first", "last", "settled"],
+                    [pa.array(k.view(np.int64)), pa.array(c.view(np.int64)), pa.array(g.view(np.int64)), pa.array(d), pa.array(r), pa.array(f.astype(np.int32)), pa.array(last[order].astype(np.int32)), pa.array(settled)],
+                    names=["anchor", "content", "again", "doc", "row", "first", "last", "settled"],
                 )
 
     return run
@@ -98,7 +106,7 @@ def _emit_passages(window: int, anchor: int):
 def _judge(batches):
     """Sorted passages of one shard -> removed ones (kind 0), those for an automaton (1, 2).
 
-    The rows come sorted by (anchor, content, doc, first).  Of an anchor that
+    The rows come sorted by (anchor, content, again, doc, row, first).  Of an anchor that
     goes on in the next batch only the first row of each content is carried,
     and no more than HOT of those: beyond, the anchor is known to be hot.
     """
@@ -106,31 +114,31 @@ def _judge(batches):
 
     def judge(table, fresh, hot):
         """fresh: first row of the table that has not been judged; hot: its first anchor is hot already."""
-        key, content, doc, first, last, settled = table
+        key, content, again, doc, row, first, last, settled = table
         new_key = np.ones(len(key), bool)
         new_key[1:] = key[1:] != key[:-1]
         head = new_key.copy()
-        head[1:] |= content[1:] != content[:-1]
+        head[1:] |= (content[1:] != content[:-1]) | (again[1:] != again[:-1])
         at = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
         group = np.cumsum(new_key) - 1
         contents = np.bincount(group, weights=head).astype(np.int64)
         if hot:
             contents[0] += HOT
         contents = contents[group]
-        removed = settled | (~head & ((doc > doc[at]) | (first > first[at])))
+        removed = settled | (~head & ((doc > doc[at]) | (row != row[at]) | (first > first[at])))
         removed[:fresh] = False
         return head & ~settled, removed, contents
 
     def batch_of(table, pick, kind):
         return pa.RecordBatch.from_arrays(
-            [pa.array(table[i][pick]) for i in (2, 3, 4, 0)] + [pa.array(kind.astype(np.int8))], names=["doc", "first", "last", "anchor", "kind"]
+            [pa.array(table[i][pick]) for i in (3, 4, 5, 6, 0)] + [pa.array(kind.astype(np.int8))], names=["doc", "row", "first", "last", "anchor", "kind"]
         )
 
     for batch in _and_none(batches):
         if batch is None:
             table, fresh = carry, len(carry[0]) if carry else 0
         else:
-            table = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            table = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
             fresh = len(carry[0]) if carry else 0
             if carry is not None:
                 table = [np.concatenate(x) for x in zip(carry, table)]
@@ -164,10 +172,10 @@ def _fetch_words(window: int):
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, row = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
             wanted = batch.column(2).to_pylist()
             for hashes, owner in scan_documents(batch.column(1).to_pylist()):
-                rows = ([], [], [], [])
+                rows = ([], [], [], [], [])
                 for who, s, e in zip(*runs(owner)):
                     words = hashes[s:e]
                     for want in wanted[who]:
@@ -178,16 +186,17 @@ def _fetch_words(window: int):
                             spans = [(first, last + window, key)]
                         else:  # each window by itself, spread by its content
                             at = np.arange(first, last + 1)
-                            spread = run_hashes(words, at, at + window, window).view(np.int64)
+                            spread = run_hashes(words, at, at + window, window, 1).view(np.int64)
                             spans = [(int(i), int(i) + window, int(h)) for i, h in zip(at, spread)]
                         for a, b, shard in spans:
                             rows[0].append(shard)
                             rows[1].append(int(ids[who]))
-                            rows[2].append(a)
-                            rows[3].append(words[a:b].tobytes())
+                            rows[2].append(int(row[who]))
+                            rows[3].append(a)
+                            rows[4].append(words[a:b].tobytes())
                 if rows[0]:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.binary())], names=["shard", "doc", "first", "words"]
+                        [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int32()), pa.array(rows[4], pa.binary())], names=["shard", "doc", "row", "first", "words"]
                     )
 
     return run
@@ -259,46 +268,54 @@ class Automaton:
 
 
 def _match(window: int):
-    def shard(doc, first, words):
-        """Spans of one shard; passages in (doc, first) order."""
+    def shard(places, words):
+        """Spans of one shard; passages by (doc, row, first)."""
         automaton, spans = Automaton(), []
         for i, passage in enumerate(words):
             states = automaton.add(np.frombuffer(passage, _U).tolist(), i)
+            doc, row, first = places[i]
             start = None
             for at in range(window - 1, len(states)):
                 who, end = automaton.first_end(states[at], window)
-                place = first[i] + at - window + 1
-                earlier = (doc[who], first[who] + end - window + 1) < (doc[i], place)
+                place = first + at - window + 1
+                earlier = (*places[who][:2], places[who][2] + end - window + 1) < (doc, row, place)
                 if earlier and start is None:
                     start = place
                 elif not earlier and start is not None:
-                    spans.append((doc[i], start, place - 1))
+                    spans.append((doc, row, start, place - 1))
                     start = None
             if start is not None:
-                spans.append((doc[i], start, first[i] + len(states) - window))
+                spans.append((doc, row, start, first + len(states) - window))
         return spans
 
     def run(batches):
-        # Sorted by (shard, doc, first): one shard's passages at a time.
-        now, held = None, ([], [], [])
+        # Sorted by (shard, doc, row, first): one shard's passages at a time.
+        now, places, held, known = None, [], [], set()
         done = []
 
         def ready():
-            cols = list(zip(*done)) or [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["doc", "first", "last"])
+            cols = list(zip(*done)) or [[], [], [], []]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc", "row", "first", "last"])
 
         for batch in batches:
-            for key, doc, first, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for key, doc, row, first, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if key != now:
-                    done += shard(*held)
-                    now, held = key, ([], [], [])
-                held[0].append(doc)
-                held[1].append(first)
-                held[2].append(words)
+                    done += shard(places, held)
+                    now, places, held, known = key, [], [], set()
+                if len(words) == 8 * window:
+                    # A single window that has been met needs no place in the automaton, so a
+                    # window that many passages share takes no memory for each.
+                    if words in known:
+                        done.append((doc, row, first, first))
+                        continue
+                    known.add(words)
+                places.append((doc, row, first))
+                held.append(words)
             if len(done) > 10000:
                 yield ready()
                 done = []
-        done += shard(*held)
+        done += shard(places, held)
         yield ready()
 
     return run
@@ -333,28 +350,40 @@ def _cut(window: int, texts: bool):
     return run
 
 
+def _rows(documents: DataFrame) -> DataFrame:
+    """doc, row, text, doc_id: row is 0 where doc_id names one row, else a hash of the text."""
+    docs = documents.select(order_key("doc_id").alias("doc"), F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    repeats = documents.select(F.col("doc_id").cast("long").alias("doc")).filter("doc is not null").groupBy("doc").count().filter("count > 1").select("doc")
+    n = repeats.count()
+    row = F.col("doc_id").isNull()
+    if n:
+        marked = repeats.withColumn("repeated", F.lit(True))
+        docs = docs.join(F.broadcast(marked) if n <= MOST_REPEATS else marked, "doc", "left")
+        row = row | F.col("repeated").isNotNull()
+    return docs.select("doc", F.when(row, F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("row"), "text", "doc_id")
+
+
 def substring_dedup(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of each row of documents."""
     parts = shuffle_partitions(documents.sparkSession)
-    docs = documents.select(order_key("doc_id").alias("doc"), F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    docs = _rows(documents)
     judged = written(
-        docs.select("doc", "text").mapInArrow(_emit_passages(window, anchor), PASSAGES)
-        .repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "doc", "first")
-        .mapInArrow(_judge, "doc long, first int, last int, anchor long, kind byte"),
+        docs.select("doc", "text", "row").mapInArrow(_emit_passages(window, anchor), PASSAGES)
+        .repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "again", "doc", "row", "first")
+        .mapInArrow(_judge, "doc long, row long, first int, last int, anchor long, kind byte"),
         "substring-judged",
     )
-    mixed = judged.filter("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("first", "last", "anchor", "kind")).alias("want"))
-    dealt = docs.repartition(parts, "doc")
+    mixed = judged.filter("kind > 0").groupBy("doc", "row").agg(F.collect_list(F.struct("first", "last", "anchor", "kind")).alias("want"))
+    dealt = docs.repartition(parts, "doc", "row")
     spans = (
-        dealt.join(mixed.hint("shuffle_hash"), "doc").select("doc", "text", "want")
-        .mapInArrow(_fetch_words(window), "shard long, doc long, first int, words binary")
-        .repartition(parts, "shard").sortWithinPartitions("shard", "doc", "first")
-        .mapInArrow(_match(window), "doc long, first int, last int")
+        dealt.join(mixed.hint("shuffle_hash"), ["doc", "row"]).select("doc", "text", "want", "row")
+        .mapInArrow(_fetch_words(window), "shard long, doc long, row long, first int, words binary")
+        .repartition(parts, "shard").sortWithinPartitions("shard", "doc", "row", "first")
+        .mapInArrow(_match(window), "doc long, row long, first int, last int")
     )
     removed = (
-        spans.unionByName(judged.filter("kind = 0").select("doc", "first", "last"))
-        .groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+        spans.unionByName(judged.filter("kind = 0").select("doc", "row", "first", "last"))
+        .groupBy("doc", "row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     )
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
-    return dealt.join(removed.hint("shuffle_hash"), "doc", "left").select("doc", "doc_id", "text", "spans").mapInArrow(_cut(window, texts), schema)
-
+    return dealt.join(removed.hint("shuffle_hash"), ["doc", "row"], "left").select("doc", "doc_id", "text", "spans").mapInArrow(_cut(window, texts), schema)

@@ -11,10 +11,15 @@ The k best are found from the most significant score slice downward: rows
 certainly in, rows still tied, rows out.  Rows tied at the boundary are resolved
 exactly: the tie goes to the smaller vec_id, and the block is sorted by it.
 
+Rows with a component of 2**52 or more are kept beside the slices and scored one
+by one in whole numbers of any size; so is a query's score of a row where the sum
+might not fit in a long.
+
 Nulls and vectors with null or non-finite components take no part, nor do pairs
 of different length.  Rows that repeat a vec_id count once (the least vector).
-Scores must fit in a long; larger ones raise an error.  Empty tables give an
-empty result; a query with fewer than k candidates gets all of them.
+Scores beyond a long are given as the nearest long and rank by vec_id among
+themselves.  Empty tables give an empty result; a query with fewer than k
+candidates gets all of them.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,11 +34,14 @@ SCALE = 1024
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def quantise(vectors: np.ndarray) -> np.ndarray:
-    scaled = np.floor(vectors.astype(np.float64) * SCALE)
-    if len(scaled) and np.abs(scaled).max() >= 2.0**53:
-        raise ValueError("a component is too large for exact integer scores")
-    return scaled.astype(np.int64)
+WIDE = 2.0**52
+LONG = (1 << 63) - 1
+
+
+def whole(x: float) -> int:
+    """floor(SCALE * x), exactly."""
+    over, under = float(x).as_integer_ratio()
+    return SCALE * over // under
 
 
 class BitSlices:
@@ -57,10 +65,10 @@ class BitSlices:
     def unpack(self, bitmap: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little")[: self.rows])
 
-    def score_slices(self, query: np.ndarray) -> list[np.ndarray]:
+    def score_slices(self, query: list[int]) -> list[np.ndarray]:
         """Slices of sum(q * x) plus a constant of the query, from the lowest bit."""
         columns: list[list[np.ndarray]] = []
-        for d, q in enumerate(query.tolist()):
+        for d, q in enumerate(query):
             weight, b = abs(q), 0
             slices = self.slices[d] if q >= 0 else [~s for s in self.slices[d]]
             while weight:
@@ -113,21 +121,44 @@ class BitSlices:
         return np.concatenate([self.unpack(sure), self.unpack(tied)[: k - have]])
 
 
-def kernel(query_ids, query_vectors, row_ids, row_vectors, k):
-    rows, queries = quantise(row_vectors), quantise(query_vectors)
-    largest = int(np.abs(rows).max(initial=0)) * int(np.abs(queries).max(initial=0)) * rows.shape[1]
-    if largest >= 1 << 63:
-        raise ValueError("scores do not fit in a long")
-    index = BitSlices(rows)
-    place = {int(x): i for i, x in enumerate(row_ids)}
-    for q, query in enumerate(queries):
-        allowed = index.full
-        own = place.get(int(query_ids[q]))
-        if own is not None:
-            allowed = allowed.copy()
-            allowed[own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
-        picked = index.top(index.score_slices(query), allowed, k)
-        yield q, picked, rows[picked] @ query
+class Index:
+    """A block's rows: bit slices, and those with wide components as they are."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids = ids
+        with np.errstate(over="ignore"):
+            scaled = np.floor(vectors * SCALE)
+        wide = (np.abs(scaled) >= WIDE).any(axis=1)
+        self.narrow = np.flatnonzero(~wide)
+        self.rows = scaled[self.narrow].astype(np.int64)
+        self.slices = BitSlices(self.rows) if len(self.rows) else None
+        self.wide = [(i, [whole(x) for x in vectors[i].tolist()]) for i in np.flatnonzero(wide).tolist()]
+        self.most = np.abs(self.rows).max(axis=0, initial=0).tolist()
+
+    def scores(self, picked: np.ndarray, query: list[int]) -> list[int]:
+        if sum(abs(q) * m for q, m in zip(query, self.most)) <= LONG and max(map(abs, query)) <= LONG:
+            return (self.rows[picked] @ np.asarray(query, np.int64)).tolist()
+        return [sum(q * x for q, x in zip(query, row)) for row in self.rows[picked].tolist()]
+
+    def best(self, query_id: int, query: list[int], k: int) -> list[tuple[int, int]]:
+        """(row, score) of the k best, the best first."""
+        found = []
+        if self.slices is not None:
+            allowed = self.slices.full
+            own = int(np.searchsorted(self.ids[self.narrow], query_id))
+            if own < len(self.narrow) and self.ids[self.narrow[own]] == query_id:
+                allowed = allowed.copy()
+                allowed[own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
+            picked = self.slices.top(self.slices.score_slices(query), allowed, k)
+            found = list(zip(self.narrow[picked].tolist(), self.scores(picked, query)))
+        found += [(i, sum(q * x for q, x in zip(query, row))) for i, row in self.wide if self.ids[i] != query_id]
+        return sorted(found, key=lambda x: (-x[1], x[0]))[:k]
+
+
+def answer(index: Index, query_ids, query_vectors, k):
+    for q, vector in enumerate(query_vectors.tolist()):
+        found = index.best(int(query_ids[q]), [whole(x) for x in vector], k)
+        yield q, np.asarray([i for i, _ in found], np.int64), np.asarray([max(-LONG - 1, min(LONG, s)) for _, s in found], np.int64)
 
 
 def exact_topk(embeddings: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -136,7 +167,7 @@ def exact_topk(embeddings: DataFrame, queries: DataFrame, k: int = 10) -> DataFr
     Both frames have vec_id and embedding; a query's own vec_id is no candidate.
     """
     vectors = lambda df: df.select(F.col("vec_id").cast("long"), F.col("embedding").alias("vector")).filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    return search(vectors(embeddings), vectors(queries), kernel, k, "long", ascending=False)
+    return search(vectors(embeddings), vectors(queries), Index, answer, k, "long", ascending=False)
 
 
 #: DuckDB SQL of op3: every query against every row.

@@ -1,10 +1,11 @@
 """Block-wise search: a stated query set against all rows, in blocks.
 
-Rows go to row blocks by a hash of their id, queries to query blocks; a task
-gets one (row block, query block) pair and returns each query's best rows of
-the block, which are then merged.  A block has a bounded number of rows, so the
-memory of a task does not grow with the table, and the work is one pass of
-every query over every row, without a cross join of rows.
+Rows go to row blocks by a hash of their id, each once.  A task indexes the rows
+of a block once and then streams the queries past the index, a batch at a time;
+the queries are a hundredth of the rows, so it is they that are sent to every
+block.  A block holds a bounded number of components, so the memory of a task
+does not grow with the table or with the queries.  The k best of each block are
+merged.  There is no cross join of rows.
 """
 
 from __future__ import annotations
@@ -13,12 +14,15 @@ from collections.abc import Callable
 from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROW_BLOCK = 16384
-QUERY_BLOCK = 2048
+#: Components and rows of a block, at most.
+COMPONENTS = 1 << 22
+ROW_BLOCK = 1 << 16
+#: Queries that meet an index at once.
+QUERY_BATCH = 512
 
 
 def usable(vector: Column, zero: bool = True) -> Column:
@@ -28,51 +32,81 @@ def usable(vector: Column, zero: bool = True) -> Column:
     return found if zero else found & F.exists(vector, lambda x: x != 0)
 
 
-def one_each(ids: np.ndarray, vectors) -> tuple[np.ndarray, list]:
-    """Sorted by id, one vector for an id (the least, if rows of one id differ)."""
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], tuple(vectors[i]))) if len(set(ids)) < len(ids) else np.argsort(ids)
-    out_ids, out = [], []
-    for i in order:
-        if not out_ids or out_ids[-1] != ids[i]:
-            out_ids.append(ids[i])
-            out.append(np.asarray(vectors[i], np.float64))
-    return np.asarray(out_ids, np.int64), out
+class Vectors:
+    """Ids and vectors of arrow columns, flat."""
 
+    def __init__(self, ids, lists):
+        self.ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        self.size = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+        self.start = np.cumsum(self.size) - self.size
 
-def by_length(ids: np.ndarray, vectors: list):
-    """Vectors of one length at a time: a pair of different lengths is no pair."""
-    lengths = np.asarray([len(v) for v in vectors])
-    for n in np.unique(lengths):
-        pick = np.flatnonzero(lengths == n)
-        yield int(n), ids[pick], np.stack([vectors[i] for i in pick])
+    def vector(self, i: int) -> list[float]:
+        return self.values[self.start[i] : self.start[i] + self.size[i]].tolist()
 
+    def by_length(self):
+        """(length, ids, matrix) of each length, sorted by id; the least vector of an id that repeats."""
+        order = np.argsort(self.ids, kind="stable")
+        ids = self.ids[order]
+        if len(ids) > 1 and (ids[1:] == ids[:-1]).any():
+            best: dict[int, int] = {}
+            for i in order.tolist():
+                x = int(self.ids[i])
+                if x not in best or self.vector(i) < self.vector(best[x]):
+                    best[x] = i
+            order = np.asarray([best[x] for x in sorted(best)])
+        for n in np.unique(self.size[order]):
+            pick = order[self.size[order] == n]
+            yield int(n), self.ids[pick], self.values[self.start[pick][:, None] + np.arange(n)]
 
-def search(rows: DataFrame, queries: DataFrame, kernel: Callable, k: int, score: str, ascending: bool, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+
+def search(rows: DataFrame, queries: DataFrame, index: Callable, answer: Callable, k: int, score: str, ascending: bool, components: int = COMPONENTS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of each query, ties to the smaller vec_id.
 
-    rows and queries have (vec_id long, vector array).  kernel(query ids,
-    query vectors, row ids, row vectors, k) yields (query index, row indices,
-    scores) for vectors of one length; its rows come sorted by id.
+    rows and queries have (vec_id long, vector array).  index(ids, matrix) is made
+    of the rows of one length of a block, sorted by id; answer(index, query ids,
+    query matrix, k) yields (query number, row numbers, scores).
     """
-    row_blocks = max(1, ceil(rows.count() / row_block))
-    query_blocks = max(1, ceil(queries.count() / query_block))
-    block = F.xxhash64("vec_id")
-    left = rows.select("vec_id", "vector", F.pmod(block, F.lit(row_blocks)).alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"))
-    right = queries.select("vec_id", "vector", F.pmod(block, F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))).alias("rb"))
-
-    def run(row_part: pd.DataFrame, query_part: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
-        if len(row_part) and len(query_part):
-            row_sets = {n: (i, v) for n, i, v in by_length(*one_each(row_part["vec_id"].to_numpy(), row_part["vector"].to_list()))}
-            for n, query_ids, query_vectors in by_length(*one_each(query_part["vec_id"].to_numpy(), query_part["vector"].to_list())):
-                if n in row_sets:
-                    ids, vectors = row_sets[n]
-                    for q, picked, scores in kernel(query_ids, query_vectors, ids, vectors, k):
-                        found.append((np.full(len(picked), query_ids[q]), ids[picked], scores))
-        columns = [np.concatenate(x) for x in zip(*found)] if found else [[], [], []]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns))).astype({"query_id": "int64", "vec_id": "int64", "score": "float64" if score == "double" else "int64"})
-
-    best = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(run, f"query_id long, vec_id long, score {score}")
+    spark = rows.sparkSession
+    facts = rows.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
+    size = max(256, min(ROW_BLOCK, components // max(1, facts["width"] or 1)))
+    # Small tables are spread over the cores as well; the results do not depend on it.
+    blocks = max(1, ceil(facts["n"] / size), min(2 * spark.sparkContext.defaultParallelism, ceil(facts["n"] / 1024)))
+    asked = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    left = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "vector")
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "vec_id", "vector")
+
+    def run(batches):
+        block, held, indexes = None, [], None
+        for batch in batches:
+            numbers, asks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero((numbers[1:] != numbers[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(numbers)]):
+                if s == e:
+                    continue
+                if numbers[s] != block:
+                    block, held, indexes = numbers[s], [], None
+                part = batch.slice(s, e - s)
+                if not asks[s]:
+                    held.append(part)
+                    continue
+                if indexes is None:
+                    whole = pa.Table.from_batches(held).combine_chunks() if held else None
+                    indexes = {} if whole is None else {n: (ids, index(ids, x)) for n, ids, x in Vectors(whole.column(2).combine_chunks(), whole.column(3).combine_chunks()).by_length()}
+                    held = []
+                found = []
+                for first in range(0, part.num_rows, QUERY_BATCH):
+                    some = part.slice(first, QUERY_BATCH)
+                    for n, query_ids, x in Vectors(some.column(2), some.column(3)).by_length():
+                        if n in indexes:
+                            ids, made = indexes[n]
+                            found += [(np.full(len(picked), query_ids[q]), ids[picked], scores) for q, picked, scores in answer(made, query_ids, x, k)]
+                if found:
+                    q, v, s_ = (np.concatenate(x) for x in zip(*found))
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s_, pa.float64() if score == "double" else pa.int64())], names=["query_id", "vec_id", "score"])
+
+    dealt = left.unionByName(right).repartition(blocks, "block").sortWithinPartitions("block", "asks", "vec_id")
+    best = dealt.mapInArrow(run, f"query_id long, vec_id long, score {score}")
     order = F.col("score").asc() if ascending else F.col("score").desc()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

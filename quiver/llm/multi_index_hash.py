@@ -3,8 +3,8 @@
 Codes: the vectors are centred and turned by ROTATIONS learned orthogonal
 matrices (iterative quantisation: alternate sign codes and the orthogonal
 matrix that fits them best); the signs are the bits.  The rotations and the
-search radius are fitted on a sample of at most SAMPLE vectors; every row is
-coded and indexed.
+search radius are fitted for each length of vectors on a sample (SAMPLE vectors in
+all, LEAST of a length or more); every row is coded and indexed.
 
 Index: a code is cut into substrings of 8 bits, and each substring of each
 block of rows has a table from its value to the rows that hold it.  By the
@@ -18,18 +18,19 @@ the radius grows by m until it does or the block is exhausted.
 Nulls, zero vectors and vectors with null or non-finite components take no
 part, nor do pairs of different length.  Rows that repeat a vec_id count once
 (the least vector).  Empty tables give an empty result; a query with fewer than
-k candidates gets all of them.
+k candidates gets all of them.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiver.llm.blocks import search, usable
 
 SAMPLE = 8192
+LEAST = 64
 ROTATIONS = 4
 #: Share of the sample's true neighbours that the radius must reach.
 REACH = 0.985
@@ -97,6 +98,20 @@ class MultiIndex:
         return rows[_BITS[self.codes[rows] ^ code].sum(axis=1, dtype=np.int32) <= radius]
 
 
+def answer(made, query_ids, query_vectors, k):
+    row_ids, row_vectors, coder, index = made
+    for q, code in enumerate(coder.codes(query_vectors)):
+        radius, want = coder.radius, k + 1
+        rows = index.within(code, radius)
+        while len(rows) < want and radius < 8 * coder.tables:
+            radius = min(radius + coder.tables, 8 * coder.tables)
+            rows = index.within(code, radius)
+        rows = rows[row_ids[rows] != query_ids[q]]
+        d = np.sqrt(((row_vectors[rows] - query_vectors[q]) ** 2).sum(axis=1))
+        best = np.lexsort((row_ids[rows], d))[:k]
+        yield q, rows[best], d[best]
+
+
 def ann(embeddings: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest rows found.
 
@@ -104,27 +119,19 @@ def ann(embeddings: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """
     vectors = lambda df: df.select(F.col("vec_id").cast("long"), F.col("embedding").alias("vector")).filter(F.col("vec_id").isNotNull() & usable(F.col("vector"), zero=False))
     rows = vectors(embeddings)
-    # A sample in the order of a hash: the same rows each time, at most SAMPLE of them.
-    sampled = rows.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(SAMPLE).select("vector").collect()
+    # A sample of each length, in the order of a hash: the same rows each time, SAMPLE of them in all
+    # (LEAST of each length, if there are very many lengths).
+    lengths = rows.agg(F.count_distinct(F.size("vector"))).first()[0]
+    each = max(LEAST, SAMPLE // max(1, lengths))
+    place = F.row_number().over(Window.partitionBy(F.size("vector")).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id", "vector"))
+    sampled = rows.select("vector", place.alias("place")).filter(F.col("place") <= each).select("vector").collect()
     by_length: dict[int, list] = {}
     for (vector,) in sampled:
         by_length.setdefault(len(vector), []).append(vector)
     coders = {n: Coder(np.asarray(v, np.float64), k) for n, v in by_length.items()}
 
-    def kernel(query_ids, query_vectors, row_ids, row_vectors, k):
-        coder = coders.get(row_vectors.shape[1])
-        if coder is None:  # a length that the sample does not hold
-            coder = Coder(row_vectors[:SAMPLE], k)
-        index, codes = MultiIndex(coder.codes(row_vectors)), coder.codes(query_vectors)
-        for q, code in enumerate(codes):
-            radius, want = coder.radius, k + 1
-            rows = index.within(code, radius)
-            while len(rows) < want and radius < 8 * coder.tables:
-                radius = min(radius + coder.tables, 8 * coder.tables)
-                rows = index.within(code, radius)
-            rows = rows[row_ids[rows] != query_ids[q]]
-            d = np.sqrt(((row_vectors[rows] - query_vectors[q]) ** 2).sum(axis=1))
-            best = np.lexsort((row_ids[rows], d))[:k]
-            yield q, rows[best], d[best]
-
-    return search(rows, vectors(queries), kernel, k, "double", ascending=True)
+    def index(ids, matrix):
+        coder = coders[matrix.shape[1]]
+        return ids, matrix, coder, MultiIndex(coder.codes(matrix))
+
+    return search(rows, vectors(queries), index, answer, k, "double", ascending=True)

@@ -15,7 +15,8 @@ that count for the loss: the texts of the assistant's turns.
 Nulls: a null text is empty, a null role is the empty role, a null conv_id is a
 conversation of its own; a null turn comes first.  Ties of turn are ordered by
 role and text, and repeated rows are turns of their own.  A delta or edit
-without a message opens one with its role.  An empty log gives no rows.
+without a message opens one with its role.  An empty log gives no rows.  Other
+columns are not read.  A very long text is a few events, and one string at the end.
 
 A conversation is one string in the result, so it is folded in one task; the
 rest of the plan never gathers more than one conversation.
@@ -31,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Deltas of a message's final text in a derived log, at most.
+PIECES = 8
 LEARNED = "assistant"
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 _ESCAPE = re.compile(r"\\(.)", re.S)
@@ -80,10 +83,26 @@ def parse(formatted: str) -> tuple[list[tuple[str, str]], list[tuple[int, int]]]
 
 
 def to_events(conversations: DataFrame) -> DataFrame:
-    """Each row as a message that is opened and then streamed as one delta."""
-    parts = F.array(F.struct(F.lit("start").alias("op"), F.lit("").alias("text")), F.struct(F.lit("delta").alias("op"), F.coalesce("text", F.lit("")).alias("text")))
-    order = F.struct(F.col("turn"), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), order.alias("seq"), F.posexplode(parts).alias("part", "event"), "turn", "role").select("conv_id", "seq", "part", F.col("event.op").alias("op"), F.col("turn").cast("long").alias("turn"), "role", F.col("event.text").alias("text"))
+    """The log that leads to the rows: conv_id, seq, part, op, turn, role, text.
+
+    An assistant's message is first streamed as a draft, then regenerated and
+    streamed again; another one is started with its first words turned round,
+    which an edit puts right before the rest is streamed.  A message has at most
+    PIECES deltas of its final text.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")).alias("m"))
+    placed = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms")).select("conv_id", F.posexplode("ms").alias("seq", "m")).select("conv_id", "seq", "m.*")
+    step = F.greatest(F.lit(64), F.ceil(F.length("text") / PIECES)).cast("int")
+    sized = placed.withColumn("step", step).withColumn("n", F.ceil(F.length("text") / F.col("step")).cast("int"))
+    event = lambda op, body: F.struct(F.lit(op).alias("op"), body.alias("text"))
+    piece = lambda i: F.substring("text", i * F.col("step") + 1, F.col("step"))
+    deltas = lambda first: F.when(F.col("n") > first, F.transform(F.sequence(F.lit(first), F.col("n") - 1), lambda i: event("delta", piece(i)))).otherwise(F.array().cast("array<struct<op:string,text:string>>"))
+    nothing = F.lit("")
+    drafted = F.concat(F.array(event("start", nothing), event("delta", F.reverse(piece(F.lit(0)))), event("regenerate", nothing)), deltas(0))
+    corrected = F.concat(F.array(event("start", F.reverse(piece(F.lit(0)))), event("edit", piece(F.lit(0)))), deltas(1))
+    log = sized.select("conv_id", "seq", "turn", "role", F.posexplode(F.when(F.col("role") == LEARNED, drafted).otherwise(corrected)).alias("part", "event"))
+    return log.select("conv_id", "seq", "part", F.col("event.op").alias("op"), "turn", "role", F.col("event.text").alias("text"))
 
 
 def format_events(events: DataFrame) -> DataFrame:

@@ -21,7 +21,10 @@ window only runs inside a bucket.  Only ids, sizes and hashes are shuffled.
 
 Nulls: a null text has size 0, a null doc_id hashes as the empty text, a null
 source is a source.  Repeated rows are documents of their own.  Of a source
-without words nothing is taken.  An empty table gives an empty result.
+without words nothing is taken.  Ties of hash and doc_id go by size; equal rows
+then share their words in any order, with equal sums.  A very long text is one
+row and may be cut at the target.  An empty table gives an empty result.  Columns
+named in keep are carried; others are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiver.llm.common import WORD
+from quiver.llm.common import WORD, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
@@ -66,13 +69,15 @@ def mix(documents: DataFrame, weights=WEIGHTS, cap: int = CAP, tilts=(0.5, 0.0,
     keep: further columns of documents to carry.
     """
     sized = documents.select("doc_id", "source", *keep, size_of(F.col("text")).alias("size"))
-    goal = targets(sized, weights, cap)
-    rank = Window.orderBy(F.col("source").asc_nulls_last())
-    goal = goal.withColumn("tilt", F.element_at(F.array(*map(F.lit, tilts)), ((F.row_number().over(rank) - 1) % len(tilts) + 1).cast("int")))
+    if not keep:  # words are counted once; with columns to keep, the texts are read again instead of written again
+        sized = written(sized, "mix-sizes")
     # 4096 buckets of the hash: even a source with a third of all rows is spread over them.
     name = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     placed = sized.withColumn("_hash", name).withColumn("_bucket", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int"))
-    sums = placed.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
+    sums = written(placed.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum")), "mix-sums")
+    goal = targets(sums.select("source", F.col("_sum").alias("size")), weights, cap)
+    rank = Window.orderBy(F.col("source").asc_nulls_last())
+    goal = goal.withColumn("tilt", F.element_at(F.array(*map(F.lit, tilts)), ((F.row_number().over(rank) - 1) % len(tilts) + 1).cast("int")))
     offsets = sums.select("source", "_bucket", (F.sum("_sum").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("_sum")).alias("_offset"))
     facts = offsets.join(goal, offsets["source"].eqNullSafe(goal["source"])).select(offsets["source"].alias("_source"), F.col("_bucket").alias("_b"), "_offset", "source_size", "target", "tilt")
     inside = Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)

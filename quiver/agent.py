@@ -14,11 +14,16 @@ from quiver.plans import cypher as lang
 
 
 def schema(graph, token_budget: int = 1000) -> str:
-    """Types with properties and ends, the most populous first, within a budget."""
-    most = max(8, token_budget // 30)
+    """Types with properties and ends, the most populous first, as far as the budget of words goes."""
     counts = {r["type"]: r["n"] for r in graph.stats().collect()}
-    types = sorted(graph.catalog.types.values(), key=lambda t: (-counts.get(t.name, 0), t.name))[:most]
-    return "\n".join(_line(graph, t, counts.get(t.name)) for t in types)
+    lines, words = [], 0
+    for t in sorted(graph.catalog.types.values(), key=lambda t: (-counts.get(t.name, 0), t.name)):
+        line = _line(graph, t, counts.get(t.name))
+        words += len(line.split())
+        if lines and words > token_budget:
+            break
+        lines.append(line)
+    return "\n".join(lines)
 
 
 def _line(graph, t, n) -> str:
@@ -27,16 +32,21 @@ def _line(graph, t, n) -> str:
     return f"{t.kind} {t.name}" + (f" < {', '.join(t.parents)}" if t.parents else "") + (f" [{ends}]" if ends else "") + f" {{{props}}}" + (f" # {n} rows" if n is not None else "")
 
 
-def schema_for(graph, question: str, top: int = 12) -> str:
-    """The types whose names and properties share words with a question."""
-    asked = {w.rstrip("s") for w in re.findall(r"\w+", question.lower())}
+def schema_for(graph, question: str, top: int = 10) -> str:
+    """The types whose names, ends and properties share the most words with a question."""
+    words = lambda text: {w.lower().removesuffix("s") for w in re.findall(r"[A-Za-z][a-z]*|[A-Z]+", text)}
+    asked = words(question)
 
-    def score(t):
-        own = 10 * (t.name.lower().rstrip("s") in asked) + 4 * sum(w in t.name.lower() for w in asked if len(w) > 2)
-        return own + 3 * sum(p.lower() in asked for p in t.properties)
+    def shared(t):
+        # A type is as close as the share of its own words that were asked for, then of its properties'.
+        own = words(t.name)
+        ends = set().union(*(words(r.player) for r in t.roles.values()), set())
+        props = set().union(*(words(p) for p in t.properties), set())
+        share = lambda x: len(x & asked) / len(x) if x else 0.0
+        return share(own), share(ends), len(props & asked)
 
-    best = sorted(((score(t), t.name) for t in graph.catalog.types.values()), key=lambda x: (-x[0], x[1]))[:top]
-    return "\n".join(_line(graph, graph.catalog.types[n], None) for s, n in best if s)
+    ranked = sorted(((shared(t), t.name) for t in graph.catalog.types.values()), key=lambda x: ([-v for v in x[0]], x[1]))
+    return "\n".join(_line(graph, graph.catalog.types[n], None) for s, n in ranked[:top] if any(s))
 
 
 def explain_error(graph, text: str) -> dict:
@@ -63,6 +73,7 @@ def estimate(graph, text: str, params: dict | None = None) -> dict:
 
 
 def create_role(graph, name: str, max_rows: int | None = None, read_only: bool = True, max_bytes: int | None = None) -> None:
+    """A role: its rows are cut at max_rows, writes fail if it is read_only, and queries whose estimate is above max_bytes fail."""
     graph.catalog.agents[name] = {"max_rows": max_rows, "read_only": read_only, "max_bytes": max_bytes}
 
 

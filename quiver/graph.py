@@ -37,14 +37,14 @@ class Graph:
         self.tracked: set[str] = set()
         self.counters: dict[str, int] = {}
         self.audit: list[dict] = []
-        self._csr: dict = {}
+        self.keys: dict[str, DataFrame] = {}  # (key, local) of types with keys that are no numbers
         self.encoder = None  # text Column -> vector Column, for genai.vector.encode
 
     def version(self) -> Graph:
         """A new version to change: own dictionaries and catalog, shared frames."""
         new = copy.copy(self)
         new.nodes, new.edges, new.catalog = dict(self.nodes), dict(self.edges), copy.deepcopy(self.catalog)
-        new.tracked, new.counters, new._csr = set(self.tracked), {}, {}
+        new.tracked, new.counters, new.keys = set(self.tracked), {}, dict(self.keys)
         return new
 
     # types and mapping ---------------------------------------------------
@@ -71,21 +71,38 @@ class Graph:
         return out
 
     def map_table(self, type_name: str, frame: DataFrame, key: str, properties: dict[str, str]) -> Graph:
-        """A table as the nodes of a type, without a copy: the id is made from the key column."""
+        """A table as the nodes of a type, without a copy: the id is made from the key column.
+
+        A whole number is the local id itself; one out of range is an error.  Other
+        keys are numbered densely; the numbers are kept for the ends of edges.
+        """
         t = self.catalog.get(type_name)
-        self.nodes[type_name] = frame.select(ids.make_id(0, t.type_id, F.col(key)).alias("_id"), *self._typed(frame, type_name, properties))
+        if not isinstance(frame.schema[key].dataType, T.IntegralType):
+            named = frame.select(F.col(key).cast("string").alias("_key")).filter("_key is not null").distinct()
+            self.keys[type_name] = cut(dense_ids(cut(named), "_local", 1))
+        self.nodes[type_name] = self._keyed(frame, type_name, key, "_id").select("_id", *self._typed(frame, type_name, properties))
         return self
 
+    def _keyed(self, frame: DataFrame, type_name: str, key: str, name: str) -> DataFrame:
+        """frame with the ids of a type's nodes in a column."""
+        t = self.catalog.get(type_name)
+        if type_name not in self.keys:
+            return frame.withColumn(name, ids.make_id(0, t.type_id, F.col(key)))
+        known = self.keys[type_name].select(F.col("_key").alias(f"{name}_key"), ids.make_id(0, t.type_id, F.col("_local")).alias(name))
+        return frame.join(known, F.col(key).cast("string") == F.col(f"{name}_key"), "left" if name != "_id" else "inner").drop(f"{name}_key")
+
     def map_edges(self, type_name: str, frame: DataFrame, src: tuple[str, str], dst: tuple[str, str], properties: dict[str, str] | None = None, key: str | None = None) -> Graph:
         """A table as the edges of a relation; src and dst are (node type, key column).
 
-        Without a unique key column an edge is named by its place in the scan,
-        which the same files give again, with the type in the bits from 50 on.
+        Without a unique key column the edges are numbered densely in the order of
+        the scan, which the same files give again.
         """
         t = self.catalog.get(type_name)
-        name = ids.make_id(0, t.type_id, F.col(key)) if key else F.monotonically_increasing_id().bitwiseOR(F.lit(t.type_id << 50))
-        ends = [ids.make_id(0, self.catalog.get(n).type_id, F.col(c)) for n, c in (src, dst)]
-        self.edges[type_name] = frame.select(name.alias("_id"), ends[0].alias("_src"), ends[1].alias("_dst"), *self._typed(frame, type_name, properties or {}))
+        named = frame if key else dense_ids(frame, "_local", 0)
+        named = named.withColumn("_id", ids.make_id(0, t.type_id, F.col(key or "_local")))
+        for (n, c), end in ((src, "_src"), (dst, "_dst")):
+            named = self._keyed(named, n, c, end)
+        self.edges[type_name] = named.select("_id", "_src", "_dst", *self._typed(frame, type_name, properties or {}))
         return self
 
     def materialize(self, type_name: str, path: str) -> int:
@@ -129,19 +146,28 @@ class Graph:
     def edge_types(self, *names: str) -> list[str]:
         return self.catalog.resolve([list(names)] if names else [], "relation")
 
+    def visible(self, edges: DataFrame) -> DataFrame:
+        """Edges both ends of which the policies show."""
+        if not self.catalog.policies:
+            return edges
+        shown = self.view(self.node_types()).select(F.col("_id").alias("_shown"))
+        for end in ("_src", "_dst"):
+            edges = edges.join(shown, F.col(end) == F.col("_shown"), "left_semi")
+        return edges
+
     def label_view(self, *labels: str) -> DataFrame:
         return self.view(self.node_types(*labels))
 
     def edge_view(self, *names: str, direction: str = OUT) -> DataFrame:
         """Edges as (_id, _src, _dst, ...); `in` swaps the ends, `both` has either way."""
-        return turned(self.view(self.edge_types(*names), edges=True), direction)
+        return turned(self.visible(self.view(self.edge_types(*names), edges=True)), direction)
 
     # storage functions ---------------------------------------------------
-    def og_nodes(self, root: str) -> DataFrame:
+    def nodes_of(self, root: str) -> DataFrame:
         return self.label_view(root).select("_id", ids.id_type(F.col("_id")).alias("type_id"))
 
-    def og_edges(self, root: str) -> DataFrame:
-        frames = [self.edges[t].select("_id", F.lit(self.catalog.types[t].type_id).alias("type_id"), "_src", "_dst") for t in self.edge_types(root) if t in self.edges]
+    def edges_of(self, root: str) -> DataFrame:
+        frames = [self.visible(self._policy(t, self.edges[t])).select("_id", F.lit(self.catalog.types[t].type_id).alias("type_id"), "_src", "_dst") for t in self.edge_types(root) if t in self.edges]
         return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], "_id long, type_id int, _src long, _dst long")
 
     def expand(self, starts: DataFrame, *types: str, direction: str = OUT) -> DataFrame:
@@ -190,6 +216,22 @@ class Graph:
         new.counters = {"labels_added": 1, "labels_removed": 1, "contains_updates": True}
         return new
 
+    def drop_type(self, name: str, cascade: bool = False) -> Graph:
+        """A version without a type and its instances; edges that end at them go too."""
+        new = self.version()
+        for t in new.catalog.drop_type(name, cascade):
+            lost = new.nodes.pop(t, None)
+            new.edges.pop(t, None)
+            for e, frame in list(new.edges.items()) if lost is not None else ():
+                for end in ("_src", "_dst"):
+                    frame = frame.join(lost.select(F.col("_id").alias("_lost")), F.col(end) == F.col("_lost"), "left_anti")
+                new.edges[e] = frame
+        return new
+
+    def drop(self) -> Graph:
+        """An empty graph of the same name: no types, no rows, no history."""
+        return Graph(self.spark, self.name)
+
     def set_iri(self, type_name: str, iri: str, prop: str | None = None) -> Graph:
         t = self.catalog.get(type_name)
         if prop is None:
@@ -203,7 +245,7 @@ class Graph:
         return self
 
     def stats(self) -> DataFrame:
-        rows = [(n, "node", self.nodes[n]) for n in self.nodes] + [(n, "edge", self.edges[n]) for n in self.edges]
+        rows = [(n, "node", self._policy(n, self.nodes[n])) for n in self.nodes] + [(n, "edge", self._policy(n, self.edges[n])) for n in self.edges]
         frames = [f.agg(F.count("*").alias("n")).select(F.lit(n).alias("type"), F.lit(k).alias("kind"), "n") for n, k, f in rows]
         return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], "type string, kind string, n long")
 
@@ -230,7 +272,7 @@ class Graph:
     def prop(self, frame: DataFrame, name: str) -> DataFrame:
         """(_id, name) for the ids of a frame, whatever their types are."""
         types = [t for t in (*self.nodes, *self.edges) if name in self.catalog.types[t].properties]
-        values = [(self.nodes.get(t) if t in self.nodes else self.edges[t]).select("_id", F.col(name).cast("string").alias(name)) for t in types]
+        values = [self._policy(t, self.nodes[t] if t in self.nodes else self.edges[t]).select("_id", F.col(name).cast("string").alias(name)) for t in types]
         return frame.select("_id").join(reduce(DataFrame.unionByName, values), "_id", "left") if values else frame.select("_id", F.lit(None).cast("string").alias(name))
 
     def relational_views(self) -> dict[str, DataFrame]:
@@ -279,6 +321,13 @@ def turned(edges: DataFrame, direction: str) -> DataFrame:
     return swapped if direction == IN else edges.unionByName(swapped)
 
 
+def cut(frame: DataFrame) -> DataFrame:
+    """Cut a frame's lineage in the checkpoint folder that the cluster names."""
+    from quiver.operators.traverse import _cut
+
+    return _cut(frame)
+
+
 def dense_ids(frame: DataFrame, column: str, first: int) -> DataFrame:
     """Number rows first, first + 1, ... without gathering them: offsets by partition."""
     from pyspark.sql import Window

@@ -19,7 +19,10 @@ def make_id(shard: int, type_id: int, local):
         raise ValueError(f"shard {shard} or type {type_id} out of range")
     base = (shard << (LOCAL_BITS + TYPE_BITS)) | (type_id << LOCAL_BITS)
     if isinstance(local, Column):
-        return F.lit(base).cast("long").bitwiseOR(local.cast("long"))
+        number = local.cast("long")
+        inside = number.isNull() | number.between(0, MAX_LOCAL)
+        out = F.concat(F.lit("local id "), number.cast("string"), F.lit(" out of range"))
+        return F.when(inside, F.lit(base).cast("long").bitwiseOR(number)).otherwise(F.raise_error(out).cast("long"))
     if not 0 <= local <= MAX_LOCAL:
         raise ValueError(f"local id {local} out of range")
     return base | local

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from quiver.catalog import GraphError
 
 MAX_HOPS = 8
+#: Levels after which the visited set is written as one frame.
+COMPACT = 16
 #: Compressed adjacency is only built for graphs of at most so many edges (8 bytes each, twice).
 CSR_EDGES = 20_000_000
 
@@ -90,16 +92,83 @@ def reach(starts: DataFrame, edges: DataFrame, low: int = 1, high: int | None =
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier.withColumn("depth", F.lit(depth)))
+        if depth % COMPACT == 0:  # a long chain must not leave a union as deep as it is long
+            visited = _cut(visited)
     found = visited if low == 0 else visited.filter("depth > 0")
     if again is not None and low == 1:
         found = found.unionByName(again.groupBy("start", "node").agg(F.min("depth").alias("depth")))
     return found
 
 
+def closed(starts: DataFrame, edges: DataFrame, high: int | None) -> DataFrame:
+    """(start, node, depth) of the starts that an undirected trail leads back to, node being the start.
+
+    Levels of (start, node, first edge): a path that leaves by one edge and does
+    not pass the start again meets an edge back to it that is another one.
+    """
+    steps = edges.select(F.col("_id").alias("_eid"), F.col("_src").alias("_from"), F.col("_dst").alias("_to"))
+    leave = starts.select(F.col("_id").alias("start")).distinct().join(steps, F.col("start") == F.col("_from"))
+    loops = leave.filter("_to = start").select("start").distinct().withColumn("depth", F.lit(1))
+    frontier = _cut(leave.filter("_to <> start").select("start", F.col("_to").alias("node"), F.col("_eid").alias("first")).distinct())
+    visited, found, depth = frontier, loops, 1
+    while high is None or depth < high:
+        depth += 1
+        met = frontier.join(steps, F.col("node") == F.col("_from"))
+        back = _cut(met.filter("_to = start and _eid <> first").select("start").distinct())
+        found = found.unionByName(back.withColumn("depth", F.lit(depth)))
+        on = met.filter("_to <> start").join(back, "start", "left_anti").select("start", F.col("_to").alias("node"), "first").distinct()
+        frontier = _cut(on.join(visited, ["start", "node", "first"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier)
+        if depth % COMPACT == 0:
+            visited = _cut(visited)
+    return found.groupBy("start").agg(F.min("depth").alias("depth")).select("start", F.col("start").alias("node"), "depth")
+
+
+def ends(starts: DataFrame, edges: DataFrame, low: int = 1, high: int | None = None, undirected: bool = False) -> DataFrame:
+    """(start, node, depth) of the distinct ends of all trails of low (0 or 1) to high edges."""
+    found = reach(starts, edges, low, high, undirected)
+    return found.unionByName(closed(starts, edges, high)) if undirected and low == 1 else found
+
+
 def hops(pairs: DataFrame, edges: DataFrame, high: int = 32) -> DataFrame:
-    """(src, dst, hops): the least number of hops, null beyond high; 0 if equal."""
-    found = reach(pairs.select(F.col("src").alias("_id")), edges, low=0, high=high).select(F.col("start").alias("src"), F.col("node").alias("dst"), F.col("depth").alias("hops"))
-    return pairs.join(found, ["src", "dst"], "left")
+    """(src, dst, hops): the least number of hops, null beyond high; 0 if equal.
+
+    Both ends grow by turns, the smaller frontier first, and a pair leaves as soon
+    as its sides meet.  Sides are kept by node, so pairs that share an end share
+    its search.
+    """
+    wanted = _cut(pairs.select("src", "dst").distinct())
+    steps = _cut(edges.select(F.col("_src").alias("_from"), F.col("_dst").alias("_to")).distinct())
+    sides = []
+    for end, near, far in (("src", "_from", "_to"), ("dst", "_to", "_from")):
+        seed = _cut(wanted.select(F.col(end).alias("start"), F.col(end).alias("node")).distinct())
+        sides.append({"end": end, "near": near, "far": far, "front": seed, "seen": seed.withColumn("depth", F.lit(0)), "depth": 0})
+    done = wanted.filter("src = dst").withColumn("hops", F.lit(0))
+    left = _cut(wanted.filter("src <> dst"))
+    total = 0
+    while total < high and not left.isEmpty():
+        side, other = sorted(sides, key=lambda x: (x["front"].count() or 1 << 62))
+        if side["front"].isEmpty():
+            break
+        total += 1
+        side["depth"] += 1
+        # Only the searches whose pairs are still open go on.
+        open_ends = left.select(F.col(side["end"]).alias("start")).distinct()
+        front = side["front"].join(open_ends, "start", "left_semi")
+        met = front.join(steps, front["node"] == steps[side["near"]]).select("start", F.col(side["far"]).alias("node")).distinct()
+        side["front"] = _cut(met.join(side["seen"].select("start", "node"), ["start", "node"], "left_anti"))
+        side["seen"] = side["seen"].unionByName(side["front"].withColumn("depth", F.lit(side["depth"])))
+        if side["depth"] % COMPACT == 0:
+            side["seen"] = _cut(side["seen"])
+        a = side["front"].select(F.col("start").alias(side["end"]), F.col("node").alias("_meet"))
+        b = other["seen"].select(F.col("start").alias(other["end"]), F.col("node").alias("_meet"), F.col("depth").alias("_rest"))
+        found = left.join(a, side["end"]).join(b, [other["end"], "_meet"]).groupBy("src", "dst").agg((F.min("_rest") + side["depth"]).cast("int").alias("hops"))
+        found = _cut(found)
+        done = done.unionByName(found.select("src", "dst", "hops"))
+        left = _cut(left.join(found, ["src", "dst"], "left_anti"))
+    return pairs.join(_cut(done), ["src", "dst"], "left")
 
 
 class Csr:

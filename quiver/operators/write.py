@@ -36,6 +36,8 @@ class Writer(Reader):
     def __init__(self, graph: Graph, params: dict | None = None):
         super().__init__(graph.version(), params)
         self.count: dict[str, int] = {}
+        self.removed: dict[str, str] = {}  # labels that REMOVE named and SET may replace
+        self.touched: set[str] = set()  # types with new or changed rows, whose constraints are checked
 
     def add(self, counter: str, n: int) -> None:
         self.count[counter] = self.count.get(counter, 0) + n
@@ -84,6 +86,7 @@ class Writer(Reader):
 
     def union(self, store: dict, type_name: str, rows: DataFrame, edges: bool) -> None:
         old = store.get(type_name)
+        self.touched.add(type_name)
         if type_name in self.graph.tracked:
             log_change(self.graph, rows, "i", edges)
         store[type_name] = rows if old is None else old.unionByName(rows, allowMissingColumns=True)
@@ -109,6 +112,9 @@ class Writer(Reader):
                 scope = self.clause(scope, c, q.clauses[i + 1 :])
                 if isinstance(c, ast.Projection) and c.final:
                     result = scope.frame
+        if self.removed:
+            raise GraphError("REMOVE n:Old stands with SET n:New, which renames the type", "relabel")
+        self.check_constraints()
         self.graph.counters = self.count | {"contains_updates": bool(sum(self.count.values()))}
         return result
 
@@ -218,6 +224,27 @@ class Writer(Reader):
         if type_name in self.graph.tracked:
             log_change(self.graph, out.join(changes.select("_id"), "_id", "left_semi"), "u", type_name in self.graph.edges)
         store[type_name] = out
+        self.touched.add(type_name)
+
+    def check_constraints(self) -> None:
+        """Every constraint on a type with new or changed rows holds, over its whole hierarchy."""
+        catalog = self.graph.catalog
+        for rule in catalog.constraints:
+            if rule["type"] in catalog.types and self.touched & set(catalog.subtypes(rule["type"])):
+                self.holds(rule["type"], rule["props"], rule["rule"])
+
+    def holds(self, type_name: str, props: list[str], rule: str | None) -> None:
+        """Raise if a rule does not hold; policies hide no row from it."""
+        catalog, kind = self.graph.catalog, self.graph.catalog.types[type_name].kind
+        store = self.graph.nodes if kind == "entity" else self.graph.edges
+        frames = [store[t].select(*(F.col(quoted(p)) if p in store[t].columns else F.lit(None).alias(p) for p in props)) for t in catalog.subtypes(type_name) if t in store]
+        if not frames:
+            return
+        frame = reduce(DataFrame.unionByName, frames)
+        if rule in ("unique", "node_key") and not frame.dropna(subset=props).groupBy(*map(quoted, props)).count().filter("count > 1").isEmpty():
+            raise GraphError(f"{type_name}{props} is not unique", "constraint")
+        if rule in ("not_null", "node_key") and not frame.filter(reduce(Column.__or__, [F.col(quoted(p)).isNull() for p in props])).isEmpty():
+            raise GraphError(f"{type_name}{props} has nulls", "constraint")
 
     def set(self, scope: Scope, items) -> Scope:
         for item in items:
@@ -226,7 +253,7 @@ class Writer(Reader):
             if not isinstance(v, Element):
                 raise GraphError(f"{var!r} is no element", "unbound")
             if op == ":":
-                self.relabel(v, item[2], None)
+                self.relabel(v, item[2], self.removed.pop(var, None))
                 continue
             props = {op: item[2]} if len(item) == 4 else dict(item[2][1]) if item[2][0] == "map" else {k: ("lit", x) for k, x in self.params[item[2][1]].items()} if item[2][0] == "param" else None
             if props is None:
@@ -244,7 +271,8 @@ class Writer(Reader):
                 cast = {k: c.cast(self.ensure_property(t, k, frame.select(c.alias("_")).schema[0].dataType)) for k, c in values.items()}
                 key = F.col(quoted(v.columns["_id"]))
                 rows = frame.filter(Compiler(scope).type_name(v) == t).select(key.alias("_id"), *(c.alias(k) for k, c in cast.items()))
-                rows = _cut(rows.groupBy("_id").agg(*(F.last(k).alias(k) for k in cast)))
+                # Of several bindings of an element the greatest values hold, whatever the order of rows.
+                rows = _cut(rows.groupBy("_id").agg(F.max(F.struct(*cast)).alias("_v")).select("_id", "_v.*") if cast else rows.distinct())
                 n = rows.count()
                 if n:
                     self.add("properties_set", n * len(props))
@@ -256,8 +284,16 @@ class Writer(Reader):
         return scope
 
     def relabel(self, v: Element, labels, old: str | None) -> None:
-        target = labels[0][0]
-        if all(self.graph.catalog.is_subtype(t, target) for t in v.types if target in self.graph.catalog.types):
+        """SET n:New after REMOVE n:Old renames the type, for all its instances at once; ids do not change."""
+        target, catalog = labels[0][0], self.graph.catalog
+        if all(catalog.is_subtype(t, target) for t in v.types if target in catalog.types) and target in catalog.types:
+            return
+        if old is not None and old in catalog.types and target not in catalog.types:
+            renamed = self.graph.rename_type(old, target)
+            self.graph.catalog, self.graph.nodes, self.graph.edges = renamed.catalog, renamed.nodes, renamed.edges
+            v.types[:] = [target if t == old else t for t in v.types]
+            self.add("labels_added", 1)
+            self.add("labels_removed", 1)
             return
         raise GraphError(f"an element's type is part of its id; {target!r} can only be set by renaming the type", "relabel")
 
@@ -266,7 +302,7 @@ class Writer(Reader):
             if op == ".":
                 scope = self.set(scope, [(var, what, ("lit", None), ".")])
             else:
-                raise GraphError("REMOVE n:Label is a rename of the type; use rename_type", "relabel")
+                self.removed[var] = what[0][0]
         return scope
 
     def delete(self, scope: Scope, d: ast.Delete) -> None:
@@ -310,7 +346,9 @@ class Writer(Reader):
         if d.action == "drop":
             if d.name not in known and not d.lenient:
                 raise GraphError(f"no index or constraint {d.name!r}", "unknown_index")
-            known.pop(d.name, None)
+            gone = known.pop(d.name, None)
+            if gone and gone["kind"] == "constraint":
+                self.release(gone)
             return
         name = d.name or f"{d.kind}_{d.type_name}_{'_'.join(d.props)}".lower()
         if name in known:
@@ -331,23 +369,42 @@ class Writer(Reader):
         for p in d.props:
             if p not in catalog.types[d.type_name].properties:
                 catalog.add_property(d.type_name, p, "string")
-        frame = self.graph.label_view(d.type_name) if catalog.types[d.type_name].kind == "entity" else self.graph.edge_view(d.type_name)
-        if rule in ("unique", "node_key") and not frame.dropna(subset=d.props).groupBy(*d.props).count().filter("count > 1").isEmpty():
-            raise GraphError(f"{d.type_name}{d.props} is not unique", "constraint")
-        if rule in ("not_null", "node_key") and not frame.filter(reduce(Column.__or__, [F.col(p).isNull() for p in d.props])).isEmpty():
-            raise GraphError(f"{d.type_name}{d.props} has nulls", "constraint")
+        self.holds(d.type_name, d.props, rule)
         for t in catalog.subtypes(d.type_name):
             for p in d.props:
                 catalog.types[t].properties[p].unique |= rule in ("unique", "node_key")
                 catalog.types[t].properties[p].required |= rule in ("not_null", "node_key")
         catalog.constraints.append({"type": d.type_name, "props": d.props, "rule": rule})
 
+    def release(self, gone: dict) -> None:
+        """Forget a dropped constraint; a property keeps what other constraints ask of it."""
+        catalog = self.graph.catalog
+        rule = gone["options"].get("require")
+        match = {"type": gone["type"], "props": gone["props"], "rule": rule}
+        if match in catalog.constraints:
+            catalog.constraints.remove(match)
+        for t in catalog.subtypes(gone["type"]) if gone["type"] in catalog.types else ():
+            for p in gone["props"]:
+                still = {c["rule"] for c in catalog.constraints if p in c["props"] and c["type"] in catalog.types and catalog.is_subtype(t, c["type"])}
+                known = catalog.types[t].properties[p]
+                if rule in ("unique", "node_key"):
+                    known.unique = bool(still & {"unique", "node_key"})
+                if rule in ("not_null", "node_key"):
+                    known.required = bool(still & {"not_null", "node_key"})
+
+
+def writable(graph: Graph) -> None:
+    """Raise if the role applied to the graph may only read."""
+    if graph.catalog.settings.get("read_only") == "True":
+        raise GraphError("this role may only read", "read_only")
+
 
 def execute(graph: Graph, text: str, params: dict | None = None) -> tuple[Graph, DataFrame | None]:
     """Run any query: the graph after it and its rows (None without RETURN)."""
     q = ast.parse(text)
     if not is_write(q):
         return graph, cypher(graph, text, params)
+    writable(graph)
     w = Writer(graph, params)
     rows = w.run(q)
     w.graph.audit.append({"language": "cypher", "query": text, "writes": True})
@@ -370,29 +427,34 @@ def create_edges(graph: Graph, type_name: str, rows: DataFrame) -> Graph:
 
 
 def _create(graph: Graph, type_name: str, rows: DataFrame, ends) -> Graph:
+    writable(graph)
     w = Writer(graph)
     store = w.graph.edges if ends else w.graph.nodes
     kinds = {p: w.ensure_property(type_name, p, rows.schema[p].dataType) for p in rows.columns if p not in ("_src", "_dst")}
     numbered = dense_ids(_cut(rows), "_local", w.next_local(store, type_name))
     made = _cut(numbered.select(ids.make_id(0, w.graph.catalog.get(type_name).type_id, F.col("_local")).alias("_id"), *(ends or ()), *(F.col(p).cast(k).alias(p) for p, k in kinds.items())))
     w.union(store, type_name, made, bool(ends))
+    w.check_constraints()
     w.graph.counters = {"relationships_created" if ends else "nodes_created": made.count()}
     return w.graph
 
 
 def set_props(graph: Graph, type_name: str, rows: DataFrame) -> Graph:
     """Rows (_id, properties...) replace the properties they name."""
+    writable(graph)
     w = Writer(graph)
     store = w.graph.edges if type_name in w.graph.edges else w.graph.nodes
     props = [c for c in rows.columns if c != "_id"]
     for p in props:
         w.ensure_property(type_name, p, rows.schema[p].dataType)
     w.changed(store, type_name, rows, props)
+    w.check_constraints()
     return w.graph
 
 
 def delete(graph: Graph, rows: DataFrame, detach: bool = False) -> Graph:
     """Delete the nodes or edges whose _id is in rows."""
+    writable(graph)
     w = Writer(graph)
     n = w.drop_rows(w.graph.edges, list(w.graph.edges), rows, "_id")
     for t in list(w.graph.edges):

@@ -138,7 +138,7 @@ class Reader:
             same = F.col(quoted(have.column))["_id"]
             out, name = self.bind_node(scope, inner, same, True)
             return self.scope(out.frame if key is None else out.frame.filter(same == key), out.vars | {var: out.vars[name]}), var
-        if key is not None and not needed and not p.labels and not p.props:
+        if key is not None and not needed and not p.labels and not p.props and not self.graph.catalog.policies:
             name = f"{var}._id"
             return self.scope(scope.frame.withColumn(name, key), scope.vars | {var: Element("node", {"_id": name}, self.graph.node_types())}), var
         frame, element = self.node_scan(scope, p, var)
@@ -208,13 +208,13 @@ class Reader:
         if e.props:
             element = Element("edge", {c: c for c in view.columns}, types)
             view = self.inline(self.scope(view, {var: element}), var, e.props).frame
-        edges = turned(view.select("_id", "_src", "_dst"), e.direction)
+        edges = turned(self.graph.visible(view.select("_id", "_src", "_dst")), e.direction)
         key = scope.vars[here].columns["_id"]
-        if blind and low <= 1 and e.direction != BOTH:
+        if blind and low <= 1:
             # Only distinct ends are seen: reachability, whose cost does not grow with the paths.
             top = high if high is not None else traverse.MAX_HOPS
             starts = scope.frame.select(F.col(quoted(key)).alias("_id")).distinct()
-            found = traverse.reach(starts, edges, low, top).select(F.col("start").alias(f"{var}.from"), F.col("node").alias(f"{var}.to"))
+            found = traverse.ends(starts, edges, low, top, e.direction == BOTH).select(F.col("start").alias(f"{var}.from"), F.col("node").alias(f"{var}.to"))
             frame = scope.frame.join(found, F.col(quoted(key)) == F.col(quoted(f"{var}.from")))
             return self.scope(frame, scope.vars), F.col(quoted(f"{var}.to")), None, None
         frame = traverse.trails(scope.frame, edges, low, high, quoted(key))
@@ -375,6 +375,9 @@ def cypher(graph: Graph, text: str, params: dict | None = None, null_safe: bool
     limit = graph.catalog.settings.get("max_rows")
     if limit:
         out = out.limit(int(limit))
+    most = graph.catalog.settings.get("max_bytes")
+    if most and int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > int(most):
+        raise GraphError(f"the estimate is above the {most} bytes that this role may read; add a label, a property filter or LIMIT", "max_bytes")
     graph.audit.append({"language": "cypher", "query": text, "seconds": time.time() - began, "columns": out.columns})
     return out
 

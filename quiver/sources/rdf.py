@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quiver import ids
 from quiver.catalog import GraphError
-from quiver.graph import Graph
+from quiver.graph import Graph, cut, dense_ids
 
 #: Vocabulary addresses.
 RDF, RDFS, OWL, XSD = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#", "http://www.w3.org/2001/XMLSchema#"
@@ -171,7 +171,10 @@ def load_triples(graph: Graph, triples: DataFrame) -> tuple[Graph, dict]:
     depth = {c: len(catalog.supertypes(local(c))) for c in classes}
     rank = F.coalesce(*(F.when(F.col("o") == c, F.lit(d)) for c, d in sorted(depth.items())), F.lit(0)) if depth else F.lit(0)
     known = typed.groupBy("s").agg(F.max_by("o", F.struct(rank, F.col("o"))).alias("class"))
-    known = known.withColumn("_local", F.xxhash64("s").bitwiseAND(F.lit(ids.MAX_LOCAL)))
+    # Subjects are numbered densely above the ids in use, so two of them never share an id; those that are known keep theirs.
+    first = 1 + max((ids.id_local(top) for f in new.nodes.values() if (top := f.agg(F.max("_id")).first()[0]) is not None), default=0)
+    old = new.iris.select(F.col("iri").alias("s"), ids.id_local(F.col("_id")).alias("_old")) if new.iris is not None else spark.createDataFrame([], "s string, _old long")
+    known = cut(dense_ids(cut(known), "_new", first).join(old, "s", "left").select("s", "class", F.coalesce("_old", "_new").alias("_local")))
     number = F.lit(None).cast("long")
     for c in sorted(classes):
         number = F.when(F.col("class") == c, ids.make_id(0, catalog.types[local(c)].type_id, F.col("_local"))).otherwise(number)
@@ -200,7 +203,9 @@ def load_triples(graph: Graph, triples: DataFrame) -> tuple[Graph, dict]:
         t = local(link)
         pairs = facts.filter((F.col("p") == link) & (F.col("o_kind") != "literal")).select("s", "o")
         ends = pairs.join(known.select("s", F.col("_id").alias("_src")), "s").join(known.select(F.col("s").alias("o"), F.col("_id").alias("_dst")), "o")
-        frame = ends.select(ids.make_id(0, catalog.types[t].type_id, F.xxhash64("s", "o").bitwiseAND(F.lit(ids.MAX_LOCAL))).alias("_id"), "_src", "_dst")
+        top = new.edges[t].agg(F.max("_id")).first()[0] if t in new.edges else None
+        numbered = dense_ids(cut(ends.select("_src", "_dst").distinct()), "_local", 1 if top is None else ids.id_local(top) + 1)
+        frame = cut(numbered.select(ids.make_id(0, catalog.types[t].type_id, F.col("_local")).alias("_id"), "_src", "_dst"))
         new.edges[t] = frame if t not in new.edges else new.edges[t].unionByName(frame)
         edge_count += frame.count()
     # Overflow: facts of unknown subjects, links to unknown objects, unmapped predicates.

@@ -70,11 +70,11 @@ def test_typeql_writes_and_dump(store):
 
 
 def test_rdf(spark):
-    g, report = rdf.load(Graph(spark), RDF_SAMPLE + ':stray :unknown "x" . :alice :knows :nobody .')
+    g, report = rdf.load(Graph(spark), RDF_SAMPLE + 'w:fog w:depth "4" . w:ines w:trusts w:fog .')
     assert report["nodes"] == 2 and report["edges"] == 1 and report["overflow"] == 2
-    assert [tuple(r) for r in cypher(g, "MATCH (p:Person)-[:owns]->(v:Vehicle) RETURN p.name, v.`model@en`").collect()] == [("Alice", "Model 3")]
+    assert [tuple(r) for r in cypher(g, "MATCH (o:Observer)-[:reads]->(s:Station) RETURN o.badge, s.`site@de`").collect()] == [(17, "Nordsee")]
     lines = {r.line for r in rdf.dump(g).collect()}
-    assert '<http://example.org/stray> <http://example.org/unknown> "x" .' in lines and {r.reason for r in rdf.mapping_report(g).collect()} == {"untyped subject", "unmapped predicate"}
+    assert '<http://weather.test/ns#fog> <http://weather.test/ns#depth> "4" .' in lines and {r.reason for r in rdf.mapping_report(g).collect()} == {"untyped subject", "unmapped predicate"}
     with pytest.raises(GraphError):
         rdf.parse("x:y x:z x:w .")
 
@@ -85,37 +85,38 @@ def test_ntriples(spark, tmp_path):
 
 
 @pytest.fixture(scope="module")
-def library(spark):
+def recipes(spark):
+    """Dishes on a plane of (sour, hot)."""
     g = Graph(spark)
-    search.add_embedding(g.create_type("Doc", title="string", body="string"), "Doc", "emb", 3, source="body")
-    rows = spark.createDataFrame([("batteries", "lithium cells store power", [1.0, 0.0, 0.0]), ("solar", "panels make power from light", [0.0, 1.0, 0.0]), ("anodes", "lithium anodes", [0.9, 0.1, 0.0])], "title string, body string, emb array<float>")
-    return write.create_nodes(g, "Doc", rows)
+    search.add_embedding(g.create_type("Dish", title="string", steps="string"), "Dish", "taste", 2, source="steps")
+    rows = spark.createDataFrame([("borscht", "simmer beet and cabbage slowly", [4.0, 3.0]), ("kimchi", "salt cabbage and let it stand", [3.0, 4.0]), ("curry", "fry paste then simmer", [0.0, 2.0])], "title string, steps string, taste array<float>")
+    return write.create_nodes(g, "Dish", rows)
 
 
-def test_search(library):
-    found = search.vector_search(library, "Doc", "emb", [1, 0, 0], 2).collect()
-    assert [(r.title, round(r.score, 4)) for r in found] == [("batteries", 1.0), ("anodes", 0.9939)]
-    assert [r.title for r in search.vector_search(library, "Doc", "emb", [1, 0, 0], 2, "title <> 'batteries'").collect()] == ["anodes", "solar"]
-    assert [r.title for r in search.similar(library, found[0]["_id"], "Doc", "emb", 1).collect()] == ["anodes"]
+def test_search(recipes):
+    found = search.vector_search(recipes, "Dish", "taste", [4, 3], 2).collect()
+    assert [(r.title, round(r.score, 4)) for r in found] == [("borscht", 1.0), ("kimchi", 0.96)]
+    assert [r.title for r in search.vector_search(recipes, "Dish", "taste", [4, 3], 2, "title <> 'borscht'").collect()] == ["kimchi", "curry"]
+    assert [r.title for r in search.similar(recipes, found[0]["_id"], "Dish", "taste", 1).collect()] == ["kimchi"]
     with pytest.raises(GraphError):
-        search.vector_search(library, "Doc", "emb", [1, 0], 2)
-    assert {r.title for r in search.fulltext(library, "Doc", ["body"], "power -light").collect()} == {"batteries"}
-    assert {r.title for r in search.fulltext(library, "Doc", ["body"], '"lithium anodes" or panels').collect()} == {"anodes", "solar"}
-    assert search.stale_embeddings(library).count() == 3
-    search.mark_embedded(library, library.nodes["Doc"].selectExpr("_id", "body as source"), "emb")
-    assert search.stale_embeddings(library).count() == 0 and search.embedding_stats(library).count() == 1
+        search.vector_search(recipes, "Dish", "taste", [4], 2)
+    assert {r.title for r in search.fulltext(recipes, "Dish", ["steps"], "simmer -beet").collect()} == {"curry"}
+    assert {r.title for r in search.fulltext(recipes, "Dish", ["steps"], '"salt cabbage" or paste').collect()} == {"kimchi", "curry"}
+    assert search.stale_embeddings(recipes).count() == 3
+    search.mark_embedded(recipes, recipes.nodes["Dish"].selectExpr("_id", "steps as source"), "taste")
+    assert search.stale_embeddings(recipes).count() == 0 and search.embedding_stats(recipes).count() == 1
 
 
-def test_agent(library):
-    assert "entity Doc" in agent.schema(library) and "Doc" in agent.schema_for(library, "which docs have a title")
-    bad = agent.explain_error(library, "MATCH (d:Doc) RETURN dd.title")
+def test_agent(recipes):
+    assert "entity Dish" in agent.schema(recipes) and "Dish" in agent.schema_for(recipes, "what dishes have a title")
+    bad = agent.explain_error(recipes, "MATCH (d:Dish) RETURN dd.title")
     assert not bad["ok"] and bad["code"] == "unbound"
-    assert agent.estimate(library, "MATCH (d:Doc) RETURN d.title")["would_run"]
-    agent.create_role(library, "reader", max_rows=1)
-    agent.apply_role(library, "reader")
-    assert cypher(library, "MATCH (d:Doc) RETURN d.title").count() == 1
-    library.catalog.settings.clear()
-    assert agent.audit(library).count() >= 1 and agent.interop_report(library)["types"] == 1
+    assert agent.estimate(recipes, "MATCH (d:Dish) RETURN d.title")["would_run"]
+    agent.create_role(recipes, "reader", max_rows=1)
+    agent.apply_role(recipes, "reader")
+    assert cypher(recipes, "MATCH (d:Dish) RETURN d.title").count() == 1
+    recipes.catalog.settings.clear()
+    assert agent.audit(recipes).count() >= 1 and agent.interop_report(recipes)["types"] == 1
 
 
 def test_change_stream(spark, tmp_path):

@@ -36,6 +36,8 @@ class Store:
         self.players: DataFrame = spark.createDataFrame([], "rel_id long, role string, player_id long")
         self.owns: dict[str, dict[str, dict]] = {}
         self.next: dict[str, int] = {}
+        # Mapped attributes with their values, as long as the owned frame beside them is the one in use.
+        self.direct: dict[str, tuple[DataFrame, DataFrame]] = {}
 
     # mapping of tables ---------------------------------------------------
     def map_instances(self, type_name: str, frame: DataFrame, key: str, attributes: dict[str, str]) -> Store:
@@ -49,9 +51,22 @@ class Store:
             values = rows.filter(F.col(a).isNotNull()).select(name.alias("_id"), F.col(a).alias("val")).distinct()
             self.attributes[a] = values if a not in self.attributes else self.attributes[a].unionByName(values).distinct()
             owned = rows.filter(F.col(a).isNotNull()).select(F.col("_id").alias("owner_id"), name.alias("attr_id"))
-            self.owned[a] = owned if a not in self.owned else self.owned[a].unionByName(owned)
+            valued = rows.filter(F.col(a).isNotNull()).select(F.col("_id").alias("owner_id"), name.alias("attr_id"), F.col(a).alias("val"))
+            old, known = self.owned.get(a), self.direct.get(a)
+            self.owned[a] = owned if old is None else old.unionByName(owned)
+            if old is None:
+                self.direct[a] = self.owned[a], valued
+            elif known and known[0] is old:
+                self.direct[a] = self.owned[a], known[1].unionByName(valued)
         return self
 
+    def values_of(self, a: str) -> DataFrame:
+        """owner_id, attr_id, val: from the mapped rows themselves, or by the interned values once they have changed."""
+        known = self.direct.get(a)
+        if known and known[0] is self.owned[a]:
+            return known[1]
+        return self.owned[a].join(self.attributes[a], F.col("attr_id") == F.col("_id")).select("owner_id", "attr_id", "val")
+
     def map_relation(self, type_name: str, frame: DataFrame, key: str, players: dict[str, tuple[str, str]]) -> Store:
         """A table as relation instances; players: role -> (player type, key column)."""
         t = self.catalog.get(type_name)
@@ -173,7 +188,7 @@ class Matcher:
         if not names:
             rows = self.store.spark.createDataFrame([], f"`{a['var']}` long, `{a['attr']}` long, `{a['attr']}=` string")
             return self.join(frame, rows)
-        frames = [self.store.owned[n].join(self.store.attributes[n], F.col("attr_id") == F.col("_id")).select(F.col("owner_id").alias(a["var"]), F.col("attr_id").alias(a["attr"]), F.col("val").alias(a["attr"] + "=")) for n in names]
+        frames = [self.store.values_of(n).select(F.col("owner_id").alias(a["var"]), F.col("attr_id").alias(a["attr"]), F.col("val").alias(a["attr"] + "=")) for n in names]
         return self.join(frame, reduce(DataFrame.unionByName, frames))
 
     def on_rel(self, frame, a):

@@ -1,30 +1,35 @@
 """Line dedup: near-equal lines by MinHash over character shingles; DataFrame functions only.
 
-A line's set holds the hashes of its character shingles of SHINGLE characters
-that start at the start of a word or have no space (a shorter rest of the line
-is a shingle too), so every character but spaces is in a shingle.  Lines are
-near-equal if 100 * intersection >= 80 * union of their sets.
-
-1. Signature: the minimum and the maximum of the set under each of three
-   independent hash orders; bands are the pairs within the three minima and
-   within the three maxima.  Two lines at similarity 0.8 share a band with
-   probability 0.989, at 0.9 with 0.999.
-2. Banding: in each bucket every line is paired with the bucket's least and
-   greatest line.  After a union-find over the verified pairs, all pairs of a
-   bucket whose lines are still in different components are compared as well, in
-   cells of at most about CELL x CELL lines, so no candidate is left out.
-3. Verification: exact Jaccard similarity of each pair's sets.  Before it the
-   sizes of the sets and a parity bitmap, which differs in no more bits than the
-   sets differ in hashes, rule out pairs that cannot reach the threshold.
-4. Distributed union-find over the verified pairs; of each component the first
-   line by (doc_id, position) is kept, the others are removed.
+A line's set holds the hashes of its SHINGLE characters from every character on
+(UTF-16 units; a line of fewer is one shingle).  Lines are near-equal if
+100 * intersection >= 80 * union of their sets.
+
+1. Signature: the least hash of the set under each of 21 orders (the hash turned
+   by a mask).  A band is three of them, and there are seven.  Two lines at
+   similarity 0.8 share a band with probability 0.99 or more (0.97, if they have
+   ten shingles in all).
+2. Banding: in each bucket of a band every line is paired with LEADERS lines of it, the
+   least under as many orders of the ids.
+3. Verification: exact Jaccard similarity of each pair's sets.
+4. Distributed union-find over the verified pairs.  In a bucket that then still
+   holds several components the lines outside of the largest one are compared
+   with all others, in cells of about CELL x CELL lines.  The similarity is part
+   of the join's condition, so only links come out, and no candidate of a bucket
+   is left out.
+5. Of each component the first line by (doc_id, text, position) is kept, the
+   others are removed.
 
 Equal lines have one id (a 64-bit hash) and need no pairs, however many they
 are.  Lines of white space only are left alone.
 
 Nulls: a null text has no lines and stays null; a null doc_id sorts after all
-ids.  Repeated rows of one doc_id are one document: its lines are cut alike in
-each.  An empty text has one blank line.  Other columns are carried.
+ids.  Rows with the same doc_id and the same text (null ids, too) are one
+document: their lines are cut alike; rows that share a doc_id, or have none, but
+differ in text are documents of their own.  Ties of doc_id go by a hash of the
+text.  An empty text has one blank line.  A very long line is one row of
+shingles at a time; a document's removed positions are one row.  An empty table
+gives an empty result.  Other columns are carried; `n_lines` and `n_removed` are
+replaced if they were there.
 """
 
 from __future__ import annotations
@@ -32,123 +37,171 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.common import checkpoint, order_key, written
+from quiver.llm.common import order_key, shuffle_partitions, written
 from quiver.llm.components import components
 
-SHINGLE = 10
-#: Pairs of extremes: m0 to m2 are the minima under the three orders, m3 to m5 the maxima.
-BANDS = [(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5)]
+SHINGLE = 7
+BANDS, ROWS = 7, 3
+#: Masks of the orders: each turns other leading bits, so their least hashes lie in other regions.
+MASKS = [((i * 0x9E3779B97F4A7C15 & (1 << 59) - 1) | (int(f"{i:05b}"[::-1], 2) << 59)) - (int(f"{i:05b}"[::-1], 2) >> 4 << 64) for i in range(BANDS * ROWS)]
 PERCENT = 80
+LEADERS = 2
 #: Lines of a bucket in each side of a cell, about.
 CELL = 512
+#: Bits of the filter that keeps most lines which are in no bucket from being moved.
+MOST_FILTER_BITS = 1 << 25
 
 
-def _hashes(line: Column) -> Column:
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=([^ ].{{0,{SHINGLE - 1}}}))(?:[^ ]{{1,{SHINGLE}}}+(?: +|\z)|[^ ])"), F.lit(1))
-    return F.transform(found, lambda s: F.xxhash64(s))
+def _units(line: Column) -> Column:
+    return F.encode(line, "UTF-16BE")
+
+
+def _starts(units: Column) -> Column:
+    """Places of the shingles of a line's UTF-16 units; one at least."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.octet_length(units) / 2 - SHINGLE).cast("int"))
+
+
+def _shingle(units: Column, i: Column) -> Column:
+    return F.xxhash64(F.substring(units, 2 * i + 1, F.lit(2 * SHINGLE)))
 
 
 def shingles(line: Column) -> Column:
     """Distinct hashes of the character shingles of a line."""
-    return F.array_distinct(_hashes(line))
+    # The array of one binds the encoded line, so it is not encoded again for each shingle.
+    each = F.transform(F.array(_units(line)), lambda u: F.transform(_starts(u), lambda i: _shingle(u, i)))
+    return F.array_distinct(F.get(each, F.lit(0)))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """doc, pos, line of each line that is not blank."""
-    return documents.select(order_key("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    """doc, row, pos, line of each line that is not blank; row tells rows of one doc_id apart."""
+    row = F.xxhash64("text").alias("row")
+    return documents.select(order_key("doc_id").alias("doc"), row, F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """doc, pos, id and the band keys of each line."""
-    hashed = lines.select("doc", "pos", F.xxhash64("line").alias("id"), _hashes(F.col("line")).alias("h0"))
-    hashed = hashed.select("*", F.transform("h0", lambda x: F.xxhash64(x, F.lit(1))).alias("h1"), F.transform("h0", lambda x: F.xxhash64(x, F.lit(2))).alias("h2"))
-    ends = hashed.select("doc", "pos", "id", *(F.array_min(f"h{i}").alias(f"m{i}") for i in range(3)), *(F.array_max(f"h{i}").alias(f"m{i + 3}") for i in range(3)))
-    return ends.select("doc", "pos", "id", *(F.xxhash64(F.lit(i), f"m{a}", f"m{b}").alias(f"k{i}") for i, (a, b) in enumerate(BANDS)))
+def line_keys(lines: DataFrame) -> DataFrame:
+    """id and the band keys of each distinct line."""
+    units = lines.select(F.xxhash64("line").alias("id"), _units(F.col("line")).alias("units"))
+    each = units.select("id", "units", F.explode(_starts(F.col("units"))).alias("i")).select("id", _shingle(F.col("units"), F.col("i")).alias("h"))
+    # The upper half of the least hash is enough to tell it, and half as much to move.
+    least = each.groupBy("id").agg(*(F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(m)), 32).cast("int")).alias(f"m{i}") for i, m in enumerate(MASKS)))
+    return least.select("id", *(F.xxhash64(F.lit(i), *(f"m{i + BANDS * j}" for j in range(ROWS))).alias(f"k{i}") for i in range(BANDS)))
 
 
-def _parity(half: int) -> Column:
-    """64 bits of the set's parity bitmap of 128: each hash turns one bit."""
-    bit = lambda x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
-    return F.aggregate("set", F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(bit(x)))
+def signatures(lines: DataFrame) -> DataFrame:
+    """doc, pos, id and the band keys of each line."""
+    return lines.select("doc", "pos", F.xxhash64("line").alias("id")).join(line_keys(lines), "id")
 
 
-def _possible(a: str, b: str) -> Column:
-    """False only where the sizes or the bitmaps of two lines rule the threshold out."""
-    total = F.col(f"{a}.n") + F.col(f"{b}.n")
-    bits = F.bit_count(F.col(f"{a}.p0").bitwiseXOR(F.col(f"{b}.p0"))) + F.bit_count(F.col(f"{a}.p1").bitwiseXOR(F.col(f"{b}.p1")))
-    return (100 - PERCENT) * total >= (100 + PERCENT) * F.greatest(bits, F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")))
+def _similar(x: Column, y: Column) -> Column:
+    return (100 + PERCENT) * F.size(F.array_intersect(x, y)) >= PERCENT * (F.size(x) + F.size(y))
 
 
 def _verified(pairs: DataFrame, told: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of ids whose sets reach the threshold."""
-    left = told.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("n").alias("n_a"))
-    right = told.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("n").alias("n_b"))
-    common = F.size(F.array_intersect(shingles(F.col("line_a")), shingles(F.col("line_b"))))
-    return pairs.join(left, "a").join(right, "b").filter((100 + PERCENT) * common >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-
-
-def _pairs(x: str, y: str) -> tuple[Column, Column]:
-    return F.greatest(f"{x}.id", f"{y}.id").alias("a"), F.least(f"{x}.id", f"{y}.id").alias("b")
-
-
-def _rest(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Possible pairs (a, b) of a bucket that the links leave in different components."""
-    merged = components(links).select(F.col("node").alias("id"), F.col("component").alias("class"))
-    classed = checkpoint(members.select("key", "m.id", "m").join(merged, "id", "left").select("key", "m", F.coalesce("class", "id").alias("class")))
-    mixed = classed.groupBy("key").agg(F.min("class").alias("c"), F.max("class").alias("d"), F.ceil(F.count("*") / CELL).cast("int").alias("parts")).filter("c < d").select("key", "parts")
-    dealt = classed.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("m.id"), "parts").cast("int"))
-    left = dealt.select("key", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), F.col("m").alias("x"), F.col("class").alias("c"))
-    right = dealt.select("key", F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"), F.col("m").alias("y"), F.col("class").alias("d"))
-    once = (left["i"] < left["j"]) | (F.col("x.id") < F.col("y.id"))
-    met = left.join(right, (left["key"] == right["key"]) & (left["i"] == right["i"]) & (left["j"] == right["j"]) & once & (F.col("c") != F.col("d")) & _possible("x", "y"))
-    return met.select(*_pairs("x", "y")).distinct()
+    left = told.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("n").alias("n_a"))
+    right = told.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("n").alias("n_b"))
+    # Sizes rule pairs out before the sets are made.
+    met = pairs.join(left, "a").join(right, "b").filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    common = F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y"))))
+    return met.filter((100 + PERCENT) * common >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def _wanted(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, line of the lines with those ids.
+
+    A bitmap of the ids, 16 bits for each up to MOST_FILTER_BITS, is sent to all
+    tasks (its size is bounded by that); beyond, it lets more lines pass to the join.
+    """
+    bits = 1 << 15
+    wanted = 16 * ids.count()
+    while bits < wanted and bits < MOST_FILTER_BITS:
+        bits *= 2
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    bitmap = ids.select(F.shiftright(slot, 6).alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = lines.select(F.xxhash64("line").alias("id"), "line").withColumn("word", F.shiftright(slot, 6)).join(F.broadcast(bitmap), "word")
+    found = found.filter(F.col("bits").bitwiseAND(one) != 0).select("id", "line")
+    return found.join(ids.hint("shuffle_hash"), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+
+
+def _between(members: DataFrame, near: DataFrame, told: DataFrame) -> DataFrame:
+    """Links between the components of `near` among the members (key, id) of each bucket."""
+    placed = components(near).select(F.col("node").alias("id"), "component")
+    classed = written(members.join(placed, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "line-members")
+    inside = classed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = inside.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("classes")).filter("classes > 1")
+    parts = lambda n: F.ceil(n / CELL).cast("int")
+    facts = largest.select("key", F.col("top.component").alias("largest"), parts(F.col("all") - F.col("top.n")).alias("outer"), parts(F.col("all")).alias("whole"))
+    dealt = written(classed.join(facts, "key").join(told, "id").withColumn("h", F.xxhash64("id", F.lit(9))), "line-buckets")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cell, cells = ("key", "i", "j"), shuffle_partitions(told.sparkSession)
+    # Lines are dealt out as text; their sets are made where they meet.
+    left = dealt.filter("component <> largest").select("key", F.pmod("h", "outer").cast("int").alias("i"), every("whole").alias("j"), "component", "n", "line")
+    right = dealt.select("key", every("outer").alias("i"), F.pmod("h", "whole").cast("int").alias("j"), "component", "n", "line")
+    left, right = (x.repartition(cells, *cell).select(*cell, F.struct("component", "n", shingles(F.col("line")).alias("set")).alias(name)) for x, name in ((left, "x"), (right, "y")))
+    sizes = (100 * F.col("x.n") >= PERCENT * F.col("y.n")) & (100 * F.col("y.n") >= PERCENT * F.col("x.n"))
+    same = (left["key"] == right["key"]) & (left["i"] == right["i"]) & (left["j"] == right["j"])
+    met = left.join(right.hint("shuffle_hash"), same & (F.col("x.component") != F.col("y.component")) & sizes & _similar(F.col("x.set"), F.col("y.set")))
+    return met.select(F.col("x.component").alias("a"), F.col("y.component").alias("b")).distinct()
 
 
 def line_links(lines: DataFrame, signed: DataFrame) -> DataFrame:
-    """Verified pairs (a, b) of ids of near-equal lines."""
-    keys = [f"k{i}" for i in range(len(BANDS))]
-    each = signed.groupBy("id").agg(*(F.min(k).alias(k) for k in keys))
-    dealt = each.select("id", F.explode(F.array_distinct(F.array(*keys))).alias("key")).repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
-    members = checkpoint(dealt.join(shared.hint("shuffle_hash"), "key", "left_semi"))
-    wanted = members.select("id").distinct()
-    told = lines.select(F.xxhash64("line").alias("id"), "line").join(wanted.hint("shuffle_hash"), "id", "left_semi")
-    told = told.groupBy("id").agg(F.min("line").alias("line")).select("id", "line", shingles(F.col("line")).alias("set"))
-    told = written(told.select("id", "line", F.size("set").alias("n"), _parity(0).alias("p0"), _parity(1).alias("p1")), "line-candidates")
-    members = checkpoint(members.join(told.select("id", "n", "p0", "p1"), "id").select("key", F.struct("id", "n", "p0", "p1").alias("m")))
-    ends = members.groupBy("key").agg(F.min("m").alias("low"), F.max("m").alias("high"))
-    led = members.join(ends, "key").select("m", F.explode(F.array("low", "high")).alias("lead")).filter(F.col("m.id") != F.col("lead.id")).filter(_possible("m", "lead"))
-    links = checkpoint(_verified(led.select(*_pairs("m", "lead")).distinct(), told))
-    return links.unionByName(checkpoint(_verified(_rest(members, links), told)))
+    """Verified pairs (a, b) of ids of near-equal lines (between groups: of the least ids of their components)."""
+    keys = [f"k{i}" for i in range(BANDS)]
+    return _links(lines, signed.groupBy("id").agg(*(F.min(k).alias(k) for k in keys)))
+
+
+def _links(lines: DataFrame, signed: DataFrame) -> DataFrame:
+    keys = [f"k{i}" for i in range(BANDS)]
+    dealt = signed.select("id", F.explode(F.array_distinct(F.array(*keys))).alias("key")).repartition("key")
+    turned = [F.col("id").bitwiseXOR(F.lit(m)) for m in MASKS[:LEADERS]]
+    leaders = dealt.groupBy("key").agg(F.count("*").alias("size"), *(F.min(t).alias(f"l{i}") for i, t in enumerate(turned))).filter("size > 1")
+    lead = F.array_distinct(F.array(*(F.col(f"l{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(MASKS[:LEADERS]))))
+    led = leaders.select("key", "size", lead.alias("lead"))
+    met = dealt.join(led.hint("shuffle_hash"), "key").select("id", F.explode("lead").alias("to")).filter("id <> to")
+    pairs = written(met.select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct(), "line-pairs")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
+    told = written(_wanted(lines, ids).select("id", "line", F.size(shingles(F.col("line"))).alias("n")), "line-candidates")
+    near = written(_verified(pairs, told), "line-near")
+    # The leaders have been compared with all; two others or more are left to compare.
+    more = led.filter(F.col("size") > F.size("lead") + 1).select("key", "lead")
+    members = dealt.join(more.hint("shuffle_hash"), "key").filter(~F.array_contains("lead", F.col("id"))).select("key", "id")
+    return near.unionByName(written(_between(members, near, told), "line-rest"))
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
-    """doc, removed (positions) of the documents that lose lines."""
+    """doc, row, removed (sorted positions) of the documents that lose lines."""
     lines = _lines(documents)
-    signed = written(signatures(lines), "line-signatures")
-    merged = components(line_links(lines, signed)).select(F.col("node").alias("id"), F.col("component").alias("class"))
-    placed = signed.select("id", "doc", "pos")
-    repeated = placed.groupBy("id").agg(F.count("*").alias("n")).join(merged, "id", "full_outer").filter("n > 1 or class is not null").select("id", F.coalesce("class", "id").alias("class"))
-    members = checkpoint(placed.join(repeated, "id").select("class", "doc", "pos").distinct())
-    first = members.groupBy("class").agg(F.min(F.struct("doc", "pos")).alias("first"))
-    gone = members.join(first, "class").filter("struct(doc, pos) <> first")
-    return gone.groupBy("doc").agg(F.collect_list("pos").alias("removed"))
+    placed = written(lines.select("doc", "row", "pos", F.xxhash64("line").alias("id")), "line-places")
+    signed = written(line_keys(lines), "line-signatures")
+    merged = components(_links(lines, signed)).select(F.col("node").alias("id"), F.col("component").alias("class"))
+    # Counts and first places by line, then by class: common lines are aggregated before they meet.
+    first = placed.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc", "row", "pos")).alias("first")).join(merged, "id", "left")
+    first = first.filter("n > 1 or class is not null").select("id", "first", F.coalesce("class", "id").alias("class"))
+    kept = first.groupBy("class").agg(F.min("first").alias("kept"))
+    gone = placed.join(first.join(kept, "class").select("id", "kept"), "id").filter("struct(doc, row, pos) <> kept")
+    return gone.groupBy("doc", "row").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
 
 
 def line_dedup(documents: DataFrame) -> DataFrame:
     """documents with n_lines, n_removed and the text that is left; other columns as they are."""
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
-    gone = removed_lines(documents).select(F.col("doc").alias("_line_doc"), F.col("removed").alias("_line_gone"))
-    joined = documents.select(*names).withColumn("_line_doc", order_key("doc_id")).join(gone, "_line_doc", "left")
+    gone = written(removed_lines(documents), "line-removed")
+    # One byte a line up to the last removed one, so that a line is looked up by its place.
+    marks = F.transform("removed", lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.when(i == 0, -1).otherwise(F.get("removed", i - 1)) - 1), F.lit("1")))
+    gone = gone.select(F.col("doc").alias("_line_doc"), F.col("row").alias("_line_row"), F.size("removed").alias("_line_gone"), F.array_join(marks, "").cast("binary").alias("_line_mark"))
+    keyed = documents.select(*names, order_key("doc_id").alias("_line_doc"), F.xxhash64("text").alias("_line_row"))
+    joined = keyed.join(gone, ["_line_doc", "_line_row"], "left")
     lines = F.split("text", "\n")
-    kept = F.when(F.col("_line_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_line_gone", i)), "\n"))
+    one = F.lit("1").cast("binary")
+    left = F.array_join(F.filter(lines, lambda _, i: F.substring(F.col("_line_mark"), i + 1, F.lit(1)) != one), "\n")
     return joined.select(
         *(c for c in names if c != "text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("_line_gone").isNull(), 0).otherwise(F.size("_line_gone")).cast("long").alias("n_removed"),
-        kept.alias("text"),
+        F.coalesce("_line_gone", F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("_line_gone").isNull(), F.col("text")).otherwise(left).alias("text"),
     )
 
 
 def digest(deduped: DataFrame) -> DataFrame:
-    return deduped.select("doc_id", "n_lines", F.when(F.col("n_removed") > 0, F.col("n_removed")).otherwise(0).alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return deduped.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -16,7 +16,8 @@ columns of documents.  A stage decides on all that its predecessor kept:
 
 Nulls: a null text goes in stage 1; a null doc_id is carried through; documents
 without words are never near copies.  Repeated rows of one doc_id become one in
-stage 3.  An empty table stays empty.
+stage 3.  An empty table stays empty.  Extra columns of documents are dropped at
+the start.  Very long texts are rows like others; see the operators.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiver.llm.bpe import encode
-from quiver.llm.common import held_out, read, written
+from quiver.llm.common import discard, held_out, read, written, written_paths
 from quiver.llm.jaccard_join import jaccard_components
 from quiver.llm.language_id import identify, train
 from quiver.llm.line_dedup import line_dedup
@@ -74,7 +75,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, others = read(spark, sf_dir, "documents"), set(written_paths())
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        # Only this stage's rows are read on; what led to them goes.
+        gone = [p for p in written_paths()[:-1] if p not in others]
+        if gone:
+            discard(*gone)
     return STAGES[-1][1](spark, docs, sf_dir)

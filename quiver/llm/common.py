@@ -78,6 +78,11 @@ def discard(*paths: str) -> None:
             continue
 
 
+def written_paths() -> list[str]:
+    """Folders that written() has made and that are still there, oldest first."""
+    return [path for _, path in _written]
+
+
 def order_key(column: str):
     """doc_id as a key that is never null: null sorts after every id."""
     return F.coalesce(F.col(column).cast("long"), F.lit(MAX_LONG))

@@ -11,6 +11,10 @@ Training: forward-backward gradients on segments of SEGMENT words, Adagrad over
 all of them at once.  The training sample is bounded: about SAMPLE documents for
 each language, picked by a hash of id and text; everything else sees all rows.
 
+A document of more than CHAIN words is labelled in parts: the forward pass goes
+on over a cut, the backward pass starts anew there, so only words near a cut see
+less of what follows.
+
 Nulls: a text that is null, empty or without a letter is `und` with score 0; so
 is every text if there is nothing to learn from.  A null doc_id is carried.
 Repeated rows get equal results.  Ties go to the language first in order.
@@ -27,6 +31,8 @@ from quiver.llm.common import held_out, release_memory
 from quiver.llm.words import NOT_LETTER, mix, runs, scan
 
 SAMPLE = 120
+#: Words of one document that are held at once; see the docstring.
+CHAIN = 4_000_000
 SEGMENT = 32
 DIM = 1 << 16
 AFFIXES = (1, 2, 3, 4)
@@ -60,14 +66,16 @@ def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes
     return np.concatenate(who), (np.concatenate(what) & _U(DIM - 1)).astype(np.int64)
 
 
-def forward_backward(emission: np.ndarray, starts: np.ndarray, ends: np.ndarray, transition: np.ndarray):
-    """Posteriors of each word; also the expected transition counts.
+def forward_backward(emission: np.ndarray, starts: np.ndarray, ends: np.ndarray, transition: np.ndarray, before: np.ndarray | None = None):
+    """Posteriors of each word, the expected transition counts and the last word's forward vector.
 
     emission: log scores (words x labels); sequences are [start, end) spans.
-    All sequences advance together, longest first.
+    All sequences advance together, longest first.  before: the forward vector
+    of the word before the first sequence, if that one goes on from it.
     """
     labels = emission.shape[1]
     order = np.argsort(starts - ends, kind="stable")
+    last = int(ends[-1]) - 1 if len(ends) else -1
     starts, length = starts[order], (ends - starts)[order]
     score = np.exp(emission - emission.max(axis=1, keepdims=True))
     move = np.exp(transition - transition.max())
@@ -77,6 +85,9 @@ def forward_backward(emission: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     for t, n in enumerate(active):
         at = starts[:n] + t
         now = score[at] if t == 0 else (now[:n] @ move) * score[at]
+        if t == 0 and before is not None:
+            goes_on = int(np.flatnonzero(order == 0)[0])
+            now[goes_on] *= before @ move
         now /= now.sum(axis=1, keepdims=True)
         alpha[at] = now
     expected = np.zeros((labels, labels))
@@ -96,7 +107,7 @@ def forward_backward(emission: np.ndarray, starts: np.ndarray, ends: np.ndarray,
         after = now
     posterior = alpha * beta
     posterior /= posterior.sum(axis=1, keepdims=True)
-    return posterior, expected
+    return posterior, expected, alpha[last] if last >= 0 else None
 
 
 class Crf:
@@ -138,7 +149,7 @@ class Crf:
         np.add.at(seen, (label[at - 1], label[at]), 1)
         for _ in range(rounds):
             emission = np.stack([np.bincount(who, self.weights[what, j], minlength=base) for j in range(labels)], axis=1)
-            posterior, expected = forward_backward(emission[words], begin, end, self.transition)
+            posterior, expected, _ = forward_backward(emission[words], begin, end, self.transition)
             miss = (hot - posterior) * weight / len(label)
             by_word = np.stack([np.bincount(words, miss[:, j], minlength=base) for j in range(labels)], axis=1)
             step = np.stack([np.bincount(what, by_word[who, j], minlength=DIM) for j in range(labels)], axis=1) - decay * self.weights
@@ -170,22 +181,25 @@ class Crf:
     def posteriors(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Summed word posteriors of each text, and its number of words."""
         total, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
-        held, size = [], 0
+        held, size, before = [], 0, None
 
         def settle():
+            nonlocal before
             emission, owner = (np.concatenate(x) for x in zip(*held))
             who, begin, end = runs(owner)
-            posterior, _ = forward_backward(emission, begin, end, self.transition.astype(np.float32))
+            posterior, _, before = forward_backward(emission, begin, end, self.transition.astype(np.float32), before)
             total[who] += np.add.reduceat(posterior, begin, axis=0)
             count[who] += end - begin
 
         for data, starts, ends, owner, hashes in scan(texts, NOT_LETTER):
             if not len(owner):
                 continue
-            # between documents, or inside one of millions of words, whose chain starts anew
-            if size > 1_000_000 and (held[-1][1][-1] != owner[0] or size > 4_000_000):
+            # Between documents, or inside a very long one.
+            if size > CHAIN // 4 and (held[-1][1][-1] != owner[0] or size > CHAIN):
+                same = held[-1][1][-1] == owner[0]
                 settle()
                 held, size = [], 0
+                before = before if same else None
             held.append((self.emissions(data, starts, ends, hashes), owner))
             size += len(owner)
         if held:

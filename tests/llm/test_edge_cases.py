@@ -273,3 +273,21 @@ def test_digests_of_kept_lines(spark):
     rows = [(1, "one line\nof text"), (2, None)]
     out = {r.doc_id: r for r in digest(line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert out[1].kept_sha256 == hashlib.sha256(b"one line\nof text").hexdigest() and out[2].n_lines == 0
+
+
+def test_very_long_documents_are_one_chain(monkeypatch):
+    """The forward pass goes on over the cuts of a document, and does not over its end."""
+    from quiver.llm import language_id as m
+
+    emission, move = np.random.default_rng(6).normal(size=(9, 3)), np.random.default_rng(7).normal(size=(3, 3))
+    whole = m.forward_backward(emission, np.asarray([0]), np.asarray([9]), move)[2]
+    first = m.forward_backward(emission[:4], np.asarray([0]), np.asarray([4]), move)[2]
+    assert np.allclose(m.forward_backward(emission[4:], np.asarray([0, 3]), np.asarray([3, 5]), move, first)[0].sum(axis=1), 1)
+    assert np.allclose(m.forward_backward(emission[4:], np.asarray([0]), np.asarray([5]), move, first)[2], whole)
+    a, b = [x.encode() for x in ("the thing", "oui eux")]
+    model = m.Crf(["a", "b"]).fit([a * 20, b * 20], np.asarray([0, 1]))
+    texts = [(a + b" ") * 200_000, b"oui", (b + b" ") * 150_000]
+    want = model.posteriors(texts)
+    monkeypatch.setattr(m, "CHAIN", 100_000)
+    got = model.posteriors(texts)
+    assert (got[1] == want[1]).all() and np.allclose(got[0], want[0], rtol=1e-3, atol=0.5)

@@ -130,7 +130,7 @@ def test_forward_backward_is_exact():
     rng = np.random.default_rng(3)
     emission, move = rng.normal(size=(7, 3)), rng.normal(size=(3, 3))
     spans = [(0, 4), (4, 5), (5, 7)]
-    posterior, expected = forward_backward(emission, np.asarray([s for s, _ in spans]), np.asarray([e for _, e in spans]), move)
+    posterior, expected, _ = forward_backward(emission, np.asarray([s for s, _ in spans]), np.asarray([e for _, e in spans]), move)
     want, pairs = np.zeros((7, 3)), np.zeros((3, 3))
     for s, e in spans:
         paths = list(product(range(3), repeat=e - s))

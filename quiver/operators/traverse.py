@@ -104,20 +104,32 @@ def closed(starts: DataFrame, edges: DataFrame, high: int | None) -> DataFrame:
     """(start, node, depth) of the starts that an undirected trail leads back to, node being the start.
 
     Levels of (start, node, first edge): a path that leaves by one edge and does
-    not pass the start again meets an edge back to it that is another one.
+    not pass the start again meets an edge back to it that is another one.  Two
+    first edges a node are enough, the two that reach it soonest: of any two one
+    differs from the edge that leads back.
     """
     steps = edges.select(F.col("_id").alias("_eid"), F.col("_src").alias("_from"), F.col("_dst").alias("_to"))
     leave = starts.select(F.col("_id").alias("start")).distinct().join(steps, F.col("start") == F.col("_from"))
     loops = leave.filter("_to = start").select("start").distinct().withColumn("depth", F.lit(1))
-    frontier = _cut(leave.filter("_to <> start").select("start", F.col("_to").alias("node"), F.col("_eid").alias("first")).distinct())
+
+    def two(met: DataFrame, visited: DataFrame | None) -> DataFrame:
+        if visited is None:
+            room = met.groupBy("start", "node").agg(F.min("first").alias("low"), F.max("first").alias("high")).withColumn("room", F.lit(2))
+        else:
+            have = visited.groupBy("start", "node").agg(F.count("*").alias("have"))
+            fresh = met.join(visited, ["start", "node", "first"], "left_anti").groupBy("start", "node").agg(F.min("first").alias("low"), F.max("first").alias("high"))
+            room = fresh.join(have, ["start", "node"], "left").withColumn("room", (2 - F.coalesce("have", F.lit(0))).cast("int")).filter("room > 0")
+        return room.select("start", "node", F.explode(F.slice(F.array_distinct(F.array("low", "high")), F.lit(1), F.col("room"))).alias("first"))
+
+    frontier = _cut(two(leave.filter("_to <> start").select("start", F.col("_to").alias("node"), F.col("_eid").alias("first")), None))
     visited, found, depth = frontier, loops, 1
     while high is None or depth < high:
         depth += 1
         met = frontier.join(steps, F.col("node") == F.col("_from"))
         back = _cut(met.filter("_to = start and _eid <> first").select("start").distinct())
         found = found.unionByName(back.withColumn("depth", F.lit(depth)))
-        on = met.filter("_to <> start").join(back, "start", "left_anti").select("start", F.col("_to").alias("node"), "first").distinct()
-        frontier = _cut(on.join(visited, ["start", "node", "first"], "left_anti"))
+        on = met.filter("_to <> start").join(back, "start", "left_anti").select("start", F.col("_to").alias("node"), "first")
+        frontier = _cut(two(on, visited))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)

@@ -110,3 +110,30 @@ def test_every_role_is_checked(spark):
     for stray in ("zz", None):
         with pytest.raises(GraphError, match="unknown role"):
             g.add_role_players(rows.union(spark.createDataFrame([(1, stray, 1)], "rel_id long, role string, player_id long")))
+
+
+def test_ends_of_undirected_trails(spark):
+    """Distinct ends as depth-first search finds them, starts on cycles, loops and parallel edges included."""
+    rng = random.Random(17)
+    for size in (5, 9):
+        edges = [(i, rng.randrange(size), rng.randrange(size)) for i in range(size + 1)]
+        both = turned(frame(spark, edges), "both")
+        starts = spark.createDataFrame([(i,) for i in range(size)], "_id long")
+        for high in (2, 4):
+            got = {(r.start, r.node) for r in traverse.ends(starts, both, 1, high, True).collect()}
+            assert got == {(s, end) for s in range(size) for end, _ in paths(edges, s, 1, high, "both")}
+
+
+def test_hops_from_both_ends(spark):
+    rng = random.Random(23)
+    edges = [(i, rng.randrange(12), rng.randrange(12)) for i in range(18)]
+    far = {}
+    for s in range(12):
+        far[s, s], level, depth = 0, {s}, 0
+        while level:
+            depth += 1
+            level = {b for _, a, b in edges if a in level and (s, b) not in far}
+            far |= {(s, b): depth for b in level}
+    pairs = spark.createDataFrame([(a, b) for a in range(12) for b in range(12)], "src long, dst long")
+    got = {(r.src, r.dst): r.hops for r in traverse.hops(pairs, frame(spark, edges), 20).collect()}
+    assert got == {(a, b): far.get((a, b)) for a in range(12) for b in range(12)}

@@ -335,5 +335,6 @@ def dense_ids(frame: DataFrame, column: str, first: int) -> DataFrame:
     placed = frame.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
     counts = placed.groupBy("_part").agg(F.count("*").alias("n"))
     offsets = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n") + first).alias("_offset"))
-    joined = placed.join(F.broadcast(offsets), "_part")
+    # A left join on distinct keys is dropped by the optimizer where nobody asks for the number.
+    joined = placed.join(F.broadcast(offsets), "_part", "left")
     return joined.withColumn(column, F.col("_offset") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_row", "_offset")

@@ -71,7 +71,7 @@ def search(rows: DataFrame, queries: DataFrame, index: Callable, answer: Callabl
     facts = rows.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
     size = max(256, min(ROW_BLOCK, components // max(1, facts["width"] or 1)))
     # Small tables are spread over the cores as well; the results do not depend on it.
-    blocks = max(1, ceil(facts["n"] / size), min(2 * spark.sparkContext.defaultParallelism, ceil(facts["n"] / 1024)))
+    blocks = max(1, ceil(facts["n"] / size), min(2 * spark.sparkContext.defaultParallelism, ceil(facts["n"] / 8192)))
     asked = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     left = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "vector")
     right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "vec_id", "vector")

@@ -277,3 +277,23 @@ def test_line_shingles_cover_long_runs(spark):
     rows = [(i, x, 0) for i, x in enumerate(lines)] + [(100, run, 0), (101, "x" + run, 1)]
     out = {r.doc_id: r.n_removed for r in line_dedup(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
     assert out == {r[0]: r[2] for r in rows}
+
+
+def test_unlike_lines_of_a_bucket_are_not_verified(spark, monkeypatch):
+    """Of the lines that share a bucket only those whose minima agree are read and compared; their links are all found."""
+    from pyspark.sql import functions as F
+
+    from quiver.llm import line_dedup as m
+    from quiver.llm.components import components
+
+    rng = random.Random(8)
+    lines = list(variants(rng, 20)) + [" ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for _ in range(300)]
+    whole, sets = sets_of(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    signed = m.signatures(whole).withColumn("k0", F.lit(1).cast("long"))  # all lines share a bucket
+    made, written = {}, m.written
+    monkeypatch.setattr(m, "written", lambda df, name: made.setdefault(name, written(df, name)))
+    root = {r.node: r.component for r in components(m.line_links(whole, signed)).collect()}
+    ids = [r.id for r in signed.orderBy("doc").collect()]
+    want = [(a, b) for a, b in zip(ids[:40:2], ids[1:40:2]) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(want) > 10 and all(root.get(a, a) == root.get(b, b) for a, b in want)
+    assert made["line-candidates"].count() <= 60

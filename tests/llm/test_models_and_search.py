@@ -236,3 +236,25 @@ def test_pipeline(spark, tmp_path):
             assert docs.count() == docs.select("doc_id").distinct().count()
     out = pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == docs.count()
+
+
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """A change of the label of any one text changes what is counted; shards give one model whatever the partitions."""
+    from quiver.llm import toxicity as m
+
+    docs, labels = _labelled(700, seed=9)
+    # One word that only the texts past any small sample have.
+    docs = [(i, f"{text} zorb" if i % 7 == 0 else text) for i, text in docs]
+    labels = [(i, 1 if i % 7 == 0 else y) for i, y in labels]
+    monkeypatch.setattr(m, "SHARD", 100)
+    frame, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    counted, count = [], m._count
+    monkeypatch.setattr(m, "_count", lambda rows: counted.append((count(rows), rows.count())) or counted[-1][0])
+    model, again = m.train(frame, known), m.train(frame.repartition(3), known.repartition(5))
+    (hits, sizes), n = counted[0]
+    assert sizes.sum() == n and n > 450
+    want, of = m.frequencies([t.lower().encode() for _, t in docs], np.asarray([y for _, y in labels]))
+    assert of.sum() == 700 and (hits <= want).all() and hits.sum() > 0.6 * want.sum()
+    assert (model.table == again.table).all() and (model.small() == again.small()).all() and (model.thresholds == again.thresholds).all()
+    p = model.probabilities([t.encode() for _, t in docs])
+    assert np.mean((p >= 0.5) == np.asarray([y for _, y in labels])) >= 0.95

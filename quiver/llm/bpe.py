@@ -5,7 +5,9 @@
    tokens or characters beyond the basic plane are cut by the tokenizer.
 2. Distinct words: a task keeps a table of the distinct words of its documents;
    each is encoded once, when it is first met.  The table is emptied beyond
-   TABLE words, which bounds memory and changes no result.
+   TABLE words, which bounds memory and changes no result.  Texts are taken from
+   a batch in portions of about PORTION bytes, and a task gives its memory back
+   when it starts and ends, since workers go on from task to task.
 3. Join back by position: a text is a sequence of row numbers of the table, and
    its ids are the rows' ids in that order.
 4. Decode: the ids of each row are joined to the pieces of the vocabulary (the
@@ -26,17 +28,23 @@ place, a word of it may be as long as the text.  Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.words import CHUNK, same_bytes, word_hashes
+from quiver.llm.common import release_memory
+from quiver.llm.words import same_bytes, word_hashes
 
 LETTER, NUMBER, OTHER, WHITE, EDGE = 0, 1, 2, 3, 4
-TABLE = 1 << 19
+#: Words of a table (about 500 bytes each), characters that are cut at once, and bytes of texts that are read at once.
+TABLE = 1 << 16
+CHUNK = 1 << 18
+PORTION = 1 << 20
 
 
 def tokenizer_text(path: str) -> str:
@@ -98,6 +106,8 @@ class Vocabulary:
         from tokenizers import Tokenizer
 
         self.text = text
+        # Its pre-tokenizer is all that a task needs of it.
+        self.bare = json.dumps(json.loads(text) | {"added_tokens": [], "post_processor": None, "model": {"type": "BPE", "vocab": {}, "merges": []}})
         tokenizer = Tokenizer.from_str(text)
         self.classes = character_classes(tokenizer)
         self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
@@ -106,10 +116,13 @@ class Vocabulary:
         for token, i in vocabulary.items():
             self.pieces[i] = token.encode() if token in self.special else bytes(byte[c] for c in token)
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "text"}
+
     def splitter(self):
         from tokenizers import Tokenizer
 
-        return Tokenizer.from_str(self.text).pre_tokenizer
+        return Tokenizer.from_str(self.bare).pre_tokenizer
 
     def encoder(self):
         """Encodes one word: ids are ranks of the merges, as they are in this vocabulary."""
@@ -234,6 +247,13 @@ class WordTable:
             yield from ready()
 
 
+def portions(texts: pa.Array) -> list[tuple[int, int]]:
+    """(first, end) of runs of rows of about PORTION bytes."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = (np.flatnonzero(np.diff(sizes // PORTION)) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(texts)]))
+
+
 def encode(documents: DataFrame, tokenizer: str, outputs: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row (and ids, decoded).
 
@@ -242,27 +262,36 @@ def encode(documents: DataFrame, tokenizer: str, outputs: bool = False) -> DataF
     vocabulary = Vocabulary(tokenizer)
     empty = hashlib.sha256(b"").hexdigest()
 
+    def texts_of(column):
+        return [t and t.decode("utf-8", "replace") for t in column.to_pylist()]
+
+    def encoded(table, ids_of, texts):
+        n, digest, back = [0] * len(texts), [empty] * len(texts), [empty] * len(texts)
+        ids: list = [[] for _ in texts]
+        decoded = [""] * len(texts)
+        for i, rows in table.encode_texts(texts):
+            at = rows.tolist()
+            n[i] = sum([table.size[r] for r in at])
+            digest[i] = hashlib.sha256("".join([table.decimal[r] for r in at])[1:].encode()).hexdigest()
+            text = b"".join([table.decoded[r] for r in at])
+            back[i] = hashlib.sha256(text.decode("utf-8", "replace").encode()).hexdigest()
+            if outputs:
+                ids[i], decoded[i] = list(chain.from_iterable(table.ids[r] for r in at)), text.decode("utf-8", "replace")
+        columns = [ids_of, pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if outputs:
+            columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+            names += ["ids", "decoded"]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
     def run(batches):
+        release_memory()
         table = WordTable(vocabulary)
         for batch in batches:
-            texts = [t and t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-            n, digest, back = [0] * len(texts), [empty] * len(texts), [empty] * len(texts)
-            ids: list = [[] for _ in texts]
-            decoded = [""] * len(texts)
-            for i, rows in table.encode_texts(texts):
-                at = rows.tolist()
-                n[i] = sum([table.size[r] for r in at])
-                digest[i] = hashlib.sha256("".join([table.decimal[r] for r in at])[1:].encode()).hexdigest()
-                text = b"".join([table.decoded[r] for r in at])
-                back[i] = hashlib.sha256(text.decode("utf-8", "replace").encode()).hexdigest()
-                if outputs:
-                    ids[i], decoded[i] = list(chain.from_iterable(table.ids[r] for r in at)), text.decode("utf-8", "replace")
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if outputs:
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for first, end in portions(batch.column(1)):
+                yield encoded(table, batch.column(0).slice(first, end - first), texts_of(batch.column(1).slice(first, end - first)))
+        table.clear()
+        release_memory()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if outputs else "")
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)

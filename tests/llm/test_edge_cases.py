@@ -77,6 +77,34 @@ def test_twin_words_are_encoded_apart():
         assert [x for r in rows.tolist() for x in table.ids[r]] == tokenizer.encode(TWINS[i], add_special_tokens=False).ids
 
 
+def test_a_task_of_bpe_holds_few_words_and_texts(spark):
+    public = pytest.importorskip("public_tokenizers")
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quiver.llm import bpe
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=8)) for _ in range(500)).encode() for _ in range(400)]
+    batch = pa.record_batch([pa.array(range(400)), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    run = bpe.encode(Rows(), bpe.tokenizer_text(public.path("byte_bpe_50k.json"))).run
+    tracemalloc.start()
+    try:
+        assert sum(part.num_rows for part in run(iter([batch]))) == 400
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_substring_dedup_keeps_rows_without_ids_apart(spark):
     from quiver.llm.substring_dedup import substring_dedup
 

@@ -46,6 +46,8 @@ from quiver.llm.common import order_key, shuffle_partitions, written
 from quiver.llm.components import components
 
 SHINGLE = 7
+#: Shingles that are hashed in one row.
+STRIDE = 8
 BANDS, ROWS = 7, 3
 #: Masks of the orders: each turns other leading bits, so their least hashes lie in other regions.
 MASKS = [((i * 0x9E3779B97F4A7C15 & (1 << 59) - 1) | (int(f"{i:05b}"[::-1], 2) << 59)) - (int(f"{i:05b}"[::-1], 2) >> 4 << 64) for i in range(BANDS * ROWS)]
@@ -98,13 +100,22 @@ def _lines(documents: DataFrame) -> DataFrame:
     return split.select("doc", "row", F.posexplode("lines").alias("pos", "line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
+def _strides(units: DataFrame) -> DataFrame:
+    """id, h0, h1, ..: the hashes of the shingles of (id, units), STRIDE neighbours a row.
+
+    So there are as many fewer rows to aggregate.  Places beyond the last start are the last one again.
+    """
+    last = F.greatest(F.lit(1), F.octet_length("units") - (2 * SHINGLE - 1))
+    each = units.select("id", "units", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(2 * STRIDE))).alias("i"))
+    return each.select("id", *(_shingle(F.col("units"), F.least(F.col("i") + 2 * j, F.col("last"))).alias(f"h{j}") for j in range(STRIDE)))
+
+
 def line_keys(lines: DataFrame) -> DataFrame:
     """id, the band keys and the sketch (s0, s1) of each distinct line."""
-    units = _once(lines, F.xxhash64("line").alias("id"), _units(F.col("line")).alias("units"))
-    each = units.select("id", "units", F.explode(_starts(F.col("units"))).alias("i"))
-    # The upper half of the least hash is enough to tell it, and half as much to move.
-    each = each.select("id", F.shiftright(_shingle(F.col("units"), F.col("i")), 32).cast("int").alias("h"))
-    least = each.groupBy("id").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(HALVES)))
+    each = _strides(_once(lines, F.xxhash64("line").alias("id"), _units(F.col("line")).alias("units")))
+    # The upper half of a hash is enough to tell it.
+    each = each.select("id", *(F.shiftright(f"h{j}", 32).cast("int").alias(f"h{j}") for j in range(STRIDE)))
+    least = each.groupBy("id").agg(*(F.min(F.least(*(F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(STRIDE)))).alias(f"m{i}") for i, m in enumerate(HALVES)))
     keys = (F.xxhash64(F.lit(i), *(f"m{i + BANDS * j}" for j in range(ROWS))).alias(f"k{i}") for i in range(BANDS))
     return least.select("id", *keys, *_sketch())
 
@@ -193,9 +204,10 @@ def _between(members: DataFrame, near: DataFrame, told: DataFrame) -> DataFrame:
     inside = classed.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = inside.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("classes")).filter("classes > 1")
     facts = largest.select("key", F.col("top.component").alias("largest"), _parts(F.col("all") - F.col("top.n"), CELL).alias("outer"), _parts(F.col("top.n"), CELL).alias("inner"))
-    dealt = written(classed.join(facts, "key").join(told, "id").withColumn("h", F.xxhash64("id", F.lit(9))), "line-groups")
+    dealt = classed.join(facts, "key").join(told, "id").withColumn("h", F.xxhash64("id", F.lit(9)))
+    dealt = written(dealt.withColumn("joined", F.col("component") == F.col("largest")), "line-groups")
     cell, cells = ("key", "i", "j"), shuffle_partitions(told.sparkSession)
-    fields = "component", "largest", "n", "s0", "s1", "line"
+    fields = "component", "largest", "joined", "n", "s0", "s1", "line"
 
     def meet(left: DataFrame, right: DataFrame, of: str, how: str) -> DataFrame:
         """Near-equal lines of different components, met in cells; lines are dealt out as text, their sets are made where they meet."""
@@ -205,12 +217,15 @@ def _between(members: DataFrame, near: DataFrame, told: DataFrame) -> DataFrame:
         sizes = (100 * F.col("x.n") >= PERCENT * F.col("y.n")) & (100 * F.col("y.n") >= PERCENT * F.col("x.n"))
         same = (x["key"] == y["key"]) & (x["i"] == y["i"]) & (x["j"] == y["j"])
         like = _alike(F.col("x.s0"), F.col("x.s1"), F.col("y.s0"), F.col("y.s1"))
-        return x.join(y.hint("shuffle_hash"), same & (F.col("x.component") != F.col("y.component")) & sizes & like & _similar(F.col("x.set"), F.col("y.set")), how)
+        # Each pair once: from the side that has not joined, of two such sides from the lesser component.
+        once = F.when(F.col("y.joined"), F.col("x.component") != F.col("y.component")).otherwise(F.col("x.component") < F.col("y.component"))
+        return x.join(y.hint("shuffle_hash"), same & once & sizes & like & _similar(F.col("x.set"), F.col("y.set")), how)
 
-    outer = dealt.filter("component <> largest")
+    outer = dealt.filter("not joined")
     # One line of the largest component is enough to join it; what has joined it need not meet its like.
-    joined = written(meet(outer, dealt.filter("component = largest"), "inner", "left_semi").select("key", "x.component", "x.largest").distinct(), "line-joined")
-    others = meet(outer.join(joined.select("key", "component"), ["key", "component"], "left_anti"), outer, "outer", "inner")
+    joined = written(meet(outer, dealt.filter("joined"), "inner", "left_semi").select("key", "x.component", "x.largest").distinct(), "line-joined")
+    marked = outer.drop("joined").join(joined.select("key", "component", F.lit(True).alias("joined")), ["key", "component"], "left").withColumn("joined", F.coalesce("joined", F.lit(False)))
+    others = meet(marked.filter("not joined"), marked, "outer", "inner")
     links = others.select(F.col("x.component").alias("a"), F.col("y.component").alias("b"))
     return links.unionByName(joined.select(F.col("component").alias("a"), F.col("largest").alias("b"))).distinct()
 

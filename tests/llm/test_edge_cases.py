@@ -105,6 +105,19 @@ def test_a_task_of_bpe_holds_few_words_and_texts(spark):
         tracemalloc.stop()
 
 
+def test_line_signatures_take_all_shingles_in_few_rows(spark):
+    from quiver.llm import line_dedup as m
+
+    rng = random.Random(9)
+    lines = ["", "\U0001f600" * 9, *("".join(rng.choices("abc \u00e9", k=n)) for n in range(1, 41))]
+    frame = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    rows = m._strides(frame.select("id", m._units(m.F.col("line")).alias("units"))).collect()
+    want = {r.id: set(r.all) for r in frame.select("id", m.shingles(m.F.col("line")).alias("all")).collect()}
+    got = {i: [r for r in rows if r.id == i] for i in want}
+    assert {i: {h for r in x for h in r[1:]} for i, x in got.items()} == want
+    assert all(8 * (len(x) - 1) < max(1, len(lines[i].encode("utf-16-be")) // 2 - m.SHINGLE + 1) for i, x in got.items())
+
+
 def test_substring_dedup_keeps_rows_without_ids_apart(spark):
     from quiver.llm.substring_dedup import substring_dedup
 

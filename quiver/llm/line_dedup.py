@@ -47,7 +47,7 @@ from quiver.llm.components import components
 
 SHINGLE = 7
 #: Shingles that are hashed in one row.
-STRIDE = 8
+STRIDE = 16
 BANDS, ROWS = 7, 3
 #: Masks of the orders: each turns other leading bits, so their least hashes lie in other regions.
 MASKS = [((i * 0x9E3779B97F4A7C15 & (1 << 59) - 1) | (int(f"{i:05b}"[::-1], 2) << 59)) - (int(f"{i:05b}"[::-1], 2) >> 4 << 64) for i in range(BANDS * ROWS)]
@@ -78,11 +78,16 @@ def _shingle(units: Column, i: Column) -> Column:
     return F.xxhash64(F.substring(units, i, F.lit(2 * SHINGLE)))
 
 
-def shingles(line: Column) -> Column:
-    """Distinct hashes of the character shingles of a line."""
+def _hashes(line: Column) -> Column:
+    """Hashes of the character shingles of a line by place, repeats and all."""
     # The array of one binds the encoded line, so it is not encoded again for each shingle.
     each = F.transform(F.array(_units(line)), lambda u: F.transform(_starts(u), lambda i: _shingle(u, i)))
-    return F.array_distinct(F.get(each, F.lit(0)))
+    return F.get(each, F.lit(0))
+
+
+def shingles(line: Column) -> Column:
+    """Distinct hashes of the character shingles of a line."""
+    return F.array_distinct(_hashes(line))
 
 
 def _once(df: DataFrame, *columns: Column, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -146,8 +151,14 @@ def signatures(lines: DataFrame) -> DataFrame:
     return lines.select("doc", "pos", F.xxhash64("line").alias("id")).join(line_keys(lines), "id")
 
 
-def _similar(x: Column, y: Column) -> Column:
-    return (100 + PERCENT) * F.size(F.array_intersect(x, y)) >= PERCENT * (F.size(x) + F.size(y))
+def _similar(x: Column, y: Column, n_x: Column, n_y: Column) -> Column:
+    """Whether two lines' sets, of n_x and n_y shingles, reach the threshold; x and y are the hashes with repeats.
+
+    What x alone has is distinct whether x is or not.  It costs about half of an
+    intersection, which keeps the common hashes in a second set.
+    """
+    common = n_x - F.size(F.array_except(x, y))
+    return (100 + PERCENT) * common >= PERCENT * (n_x + n_y)
 
 
 def _verified(pairs: DataFrame, told: DataFrame) -> DataFrame:
@@ -156,8 +167,7 @@ def _verified(pairs: DataFrame, told: DataFrame) -> DataFrame:
     right = told.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("n").alias("n_b"))
     # Sizes rule pairs out before the sets are made.
     met = pairs.join(left, "a").join(right, "b").filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    common = F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y"))))
-    return met.filter((100 + PERCENT) * common >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return met.filter(_similar(_hashes(F.col("x")), _hashes(F.col("y")), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
 def _wanted(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -209,14 +219,14 @@ def _between(members: DataFrame, near: DataFrame, told: DataFrame) -> DataFrame:
     fields = "component", "largest", "n", "s0", "s1", "line"
 
     def meet(left: DataFrame, right: DataFrame, of: str, how: str) -> DataFrame:
-        """Near-equal lines of different components, met in cells; lines are dealt out as text, their sets are made where they meet."""
+        """Near-equal lines of different components, met in cells; lines are dealt out as text, their shingles are hashed where they meet."""
         x = left.select("key", F.pmod("h", "outer").cast("int").alias("i"), _every(of).alias("j"), *fields)
         y = right.select("key", _every("outer").alias("i"), F.pmod("h", of).cast("int").alias("j"), *fields)
-        x, y = (_once(side.repartition(cells, *cell), F.struct(*fields[:-1], shingles(F.col("line")).alias("set")).alias(name), keep=cell) for side, name in ((x, "x"), (y, "y")))
+        x, y = (_once(side.repartition(cells, *cell), F.struct(*fields[:-1], _hashes(F.col("line")).alias("hashes")).alias(name), keep=cell) for side, name in ((x, "x"), (y, "y")))
         sizes = (100 * F.col("x.n") >= PERCENT * F.col("y.n")) & (100 * F.col("y.n") >= PERCENT * F.col("x.n"))
         same = (x["key"] == y["key"]) & (x["i"] == y["i"]) & (x["j"] == y["j"])
         like = _alike(F.col("x.s0"), F.col("x.s1"), F.col("y.s0"), F.col("y.s1"))
-        return x.join(y.hint("shuffle_hash"), same & (F.col("x.component") != F.col("y.component")) & sizes & like & _similar(F.col("x.set"), F.col("y.set")), how)
+        return x.join(y.hint("shuffle_hash"), same & (F.col("x.component") != F.col("y.component")) & sizes & like & _similar(F.col("x.hashes"), F.col("y.hashes"), F.col("x.n"), F.col("y.n")), how)
 
     outer = dealt.filter("component <> largest")
     # One line of the largest component is enough to join it; what has joined it need not meet its like.

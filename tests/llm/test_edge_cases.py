@@ -332,3 +332,19 @@ def test_very_long_documents_are_one_chain(monkeypatch):
     monkeypatch.setattr(m, "CHAIN", 100_000)
     got = model.posteriors(texts)
     assert (got[1] == want[1]).all() and np.allclose(got[0], want[0], rtol=1e-3, atol=0.5)
+
+
+def test_line_similarity_takes_hashes_with_repeats(spark):
+    """Lines of repeated shingles are compared as sets; sixteen shingles are hashed in a row."""
+    from quiver.llm import line_dedup as m
+
+    rng = random.Random(13)
+    lines = ["a" * 400, "a" * 7, "", "abab" * 30, "baba" * 31, *("".join(rng.choices("ab", k=n)) for n in range(8, 60, 3))]
+    lines += [x + y for x, y in zip(lines, "ab" * 20)]
+    told = spark.createDataFrame(list(enumerate(lines)), "id long, line string").withColumn("n", m.F.size(m.shingles(m.F.col("line"))))
+    x, y = (told.select(*(m.F.col(c).alias(f"{c}_{s}") for c in told.columns)) for s in "xy")
+    like = m._similar(m._hashes(m.F.col("line_x")), m._hashes(m.F.col("line_y")), m.F.col("n_x"), m.F.col("n_y"))
+    sets = [line_sets(line) for line in lines]
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 100 * len(a & b) >= 80 * len(a | b)}
+    assert {tuple(r) for r in x.crossJoin(y).filter(like).select("id_x", "id_y").collect()} == want and len(want) > len(lines)
+    assert m._strides(told.select("id", m._units(m.F.col("line")).alias("units"))).filter("id = 0").count() == 25

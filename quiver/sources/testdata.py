@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quiver.catalog import GraphError
-from quiver.graph import Graph
+from quiver.graph import Graph, dense_ids
 from quiver.ids import MAX_LOCAL
 
 
@@ -89,7 +89,8 @@ def _build(spark: SparkSession, sf_dir: str) -> Graph:
     g.map_edges("PLACED", orders, ("Customer", "o_custkey"), ("Order", "o_orderkey"), key="o_orderkey")
     g.map_edges("CONTAINS", lineitem, ("Order", "l_orderkey"), ("Part", "l_partkey"), {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "returnflag": "l_returnflag"})
     g.map_edges("SHIPPED_BY", lineitem, ("Order", "l_orderkey"), ("Supplier", "l_suppkey"), {"quantity": "l_quantity"})
-    pairs = lineitem.select("l_suppkey", "l_partkey").distinct().withColumn("key", F.col("l_suppkey") * (1 << 24) + F.col("l_partkey"))
+    # A pair's edge is named by its first line: a product of both keys would leave the local bits.
+    pairs = dense_ids(lineitem.select("l_suppkey", "l_partkey"), "line", 0).groupBy("l_suppkey", "l_partkey").agg(F.min("line").alias("key"))
     g.map_edges("SUPPLIES", pairs, ("Supplier", "l_suppkey"), ("Part", "l_partkey"), key="key")
     # A turn's successor is found by a join, so the edge exists only if both ends do.
     after = turns.select(F.col("conv_id"), (F.col("turn") - 1).alias("turn"), F.col("key").alias("next"))

@@ -137,3 +137,22 @@ def test_hops_from_both_ends(spark):
     pairs = spark.createDataFrame([(a, b) for a in range(12) for b in range(12)], "src long, dst long")
     got = {(r.src, r.dst): r.hops for r in traverse.hops(pairs, frame(spark, edges), 20).collect()}
     assert got == {(a, b): far.get((a, b)) for a in range(12) for b in range(12)}
+
+
+def test_edges_of_great_supplier_and_part_keys(spark, tmp_path):
+    """A SUPPLIES edge has an id of its own for each pair, however great the keys are."""
+    from pathlib import Path
+
+    from quiver.queries import queries
+    from quiver.sources.testdata import testdata_graph
+
+    for table in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        (tmp_path / table.name).symlink_to(table)
+    (tmp_path / "lineitem.parquet").unlink()
+    pairs = {(s, p) for s in (1, 2, 5999, (1 << 36) - 1) for p in (0, 7, 1 << 24, (1 << 36) - 1)}
+    lines = spark.createDataFrame([(s, p) for s, p in sorted(pairs)] * 3, "l_suppkey long, l_partkey long")
+    lines.selectExpr("l_suppkey l_orderkey", "*", "1D l_quantity", "1D l_extendedprice", "0D l_discount", "'N' l_returnflag").write.parquet(str(tmp_path / "lineitem.parquet"))
+    edges = testdata_graph(spark, str(tmp_path)).edge_view("SUPPLIES").collect()
+    assert len({e["_id"] for e in edges}) == len(edges) == len(pairs)
+    assert {tuple(r) for r in queries()["segment_unnest"](spark, str(tmp_path)).collect()} == pairs
+    assert sorted(map(tuple, queries()["packed_adjacency"](spark, str(tmp_path)).collect())) == [(s, 0, 4) for s in sorted({s for s, _ in pairs})]

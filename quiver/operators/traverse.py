@@ -24,6 +24,8 @@ from quiver.catalog import GraphError
 MAX_HOPS = 8
 #: Levels after which the visited set is written as one frame.
 COMPACT = 16
+#: So many ends of searches (one long each) are sent to all tasks at most.
+FEW = 10_000
 #: Compressed adjacency is only built for graphs of at most so many edges (8 bytes each, twice).
 CSR_EDGES = 20_000_000
 
@@ -144,15 +146,39 @@ def ends(starts: DataFrame, edges: DataFrame, low: int = 1, high: int | None = N
     return found.unionByName(closed(starts, edges, high)) if undirected and low == 1 else found
 
 
+def _among(frame: DataFrame, ends: DataFrame, on: str) -> DataFrame:
+    """The rows whose column on is in ends; a few ends are sent out, as all rows of one end would meet in one task."""
+    few = len(ends.select(on).distinct().head(FEW + 1)) <= FEW
+    return frame.join(F.broadcast(ends) if few else ends, on, "left_semi")
+
+
+def _rows(a: DataFrame, b: DataFrame, on: str) -> tuple[int, int]:
+    """The rows that a join would make, in all and of its greatest key; no row of it is made."""
+    n = a.groupBy(on).agg(F.count("*").alias("_a")).join(b.groupBy(on).agg(F.count("*").alias("_b")), on)
+    found = n.agg(F.sum(F.col("_a").cast("double") * F.col("_b")).alias("n"), F.max(F.col("_a").cast("double") * F.col("_b")).alias("most")).first()
+    return found["n"] or 0, found["most"] or 0
+
+
+def _met(left: DataFrame, a: DataFrame, b: DataFrame, near: str, far: str) -> DataFrame:
+    """(src, dst, _rest) of the pairs of left with a node in a (near, _meet) and in b (far, _meet, _rest).
+
+    Of the three frames the two come first that make the fewest rows: with one
+    source and many targets, pairs and a alone would make their product.
+    """
+    orders = [(left, b, far, a, [near, "_meet"]), (left, a, near, b, [far, "_meet"]), (a, b, "_meet", left, [near, far])]
+    one, two, on, last, then = min(orders, key=lambda o: _rows(*o[:3]))
+    return one.join(two, on).join(last, then)
+
+
 def hops(pairs: DataFrame, edges: DataFrame, high: int = 32) -> DataFrame:
     """(src, dst, hops): the least number of hops, null beyond high; 0 if equal.
 
     Both ends grow by turns, the smaller frontier first, and a pair leaves as soon
-    as its sides meet.  Sides are kept by node, so pairs that share an end share
-    its search.
+    as its sides meet or one of them cannot go on: all of that side has then been
+    compared.  Sides are kept by node, so pairs that share an end share its search.
     """
     wanted = _cut(pairs.select("src", "dst").distinct())
-    steps = _cut(edges.select(F.col("_src").alias("_from"), F.col("_dst").alias("_to")).distinct())
+    steps = _cut(edges.select(F.col("_src").alias("_from"), F.col("_dst").alias("_to")))
     sides = []
     for end, near, far in (("src", "_from", "_to"), ("dst", "_to", "_from")):
         seed = _cut(wanted.select(F.col(end).alias("start"), F.col(end).alias("node")).distinct())
@@ -161,14 +187,12 @@ def hops(pairs: DataFrame, edges: DataFrame, high: int = 32) -> DataFrame:
     left = _cut(wanted.filter("src <> dst"))
     total = 0
     while total < high and not left.isEmpty():
-        side, other = sorted(sides, key=lambda x: (x["front"].count() or 1 << 62))
-        if side["front"].isEmpty():
-            break
+        for s in sides:  # only the searches whose pairs are still open go on
+            s["open"] = _among(s["front"], left.select(F.col(s["end"]).alias("start")).distinct(), "start")
+        side, other = sorted(sides, key=lambda x: x["open"].count())
         total += 1
         side["depth"] += 1
-        # Only the searches whose pairs are still open go on.
-        open_ends = left.select(F.col(side["end"]).alias("start")).distinct()
-        front = side["front"].join(open_ends, "start", "left_semi")
+        front = side["open"]
         met = front.join(steps, front["node"] == steps[side["near"]]).select("start", F.col(side["far"]).alias("node")).distinct()
         side["front"] = _cut(met.join(side["seen"].select("start", "node"), ["start", "node"], "left_anti"))
         side["seen"] = side["seen"].unionByName(side["front"].withColumn("depth", F.lit(side["depth"])))
@@ -176,10 +200,11 @@ def hops(pairs: DataFrame, edges: DataFrame, high: int = 32) -> DataFrame:
             side["seen"] = _cut(side["seen"])
         a = side["front"].select(F.col("start").alias(side["end"]), F.col("node").alias("_meet"))
         b = other["seen"].select(F.col("start").alias(other["end"]), F.col("node").alias("_meet"), F.col("depth").alias("_rest"))
-        found = left.join(a, side["end"]).join(b, [other["end"], "_meet"]).groupBy("src", "dst").agg((F.min("_rest") + side["depth"]).cast("int").alias("hops"))
+        found = _met(left, a, b, side["end"], other["end"]).groupBy("src", "dst").agg((F.min("_rest") + side["depth"]).cast("int").alias("hops"))
         found = _cut(found)
         done = done.unionByName(found.select("src", "dst", "hops"))
-        left = _cut(left.join(found, ["src", "dst"], "left_anti"))
+        left = _among(left.join(found, ["src", "dst"], "left_anti"), a.select(side["end"]).distinct(), side["end"])
+        left = _cut(left)
     return pairs.join(_cut(done), ["src", "dst"], "left")
 
 

@@ -156,3 +156,23 @@ def test_edges_of_great_supplier_and_part_keys(spark, tmp_path):
     assert len({e["_id"] for e in edges}) == len(edges) == len(pairs)
     assert {tuple(r) for r in queries()["segment_unnest"](spark, str(tmp_path)).collect()} == pairs
     assert sorted(map(tuple, queries()["packed_adjacency"](spark, str(tmp_path)).collect())) == [(s, 0, 4) for s in sorted({s for s, _ in pairs})]
+
+
+def test_hops_make_no_product_of_pairs_and_nodes(spark, monkeypatch):
+    """One source, many targets: the joins make rows in proportion to either, and a search without a way on ends."""
+    from pyspark.sql import functions as F
+
+    met, joined = traverse._met, []
+
+    def seen(left, a, b, near, far):
+        joined.append(min(traverse._rows(*x)[0] for x in ((left, a, near), (left, b, far), (a, b, "_meet"))))
+        out = met(left, a, b, near, far)
+        assert out.count() <= 1000
+        return out
+
+    monkeypatch.setattr(traverse, "_met", seen)
+    edges = spark.range(1000).selectExpr("id _id", "0L _src", "id + 1 _dst")
+    pairs = spark.range(3000).select(F.lit(0).cast("long").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = {r.dst: r.hops for r in traverse.hops(pairs, edges, 20).collect()}
+    assert got == {d: 1 if d <= 1000 else None for d in range(1, 3001)}
+    assert len(joined) == 2 and max(joined) <= 3000

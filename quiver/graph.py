@@ -276,8 +276,11 @@ class Graph:
         return frame.select("_id").join(reduce(DataFrame.unionByName, values), "_id", "left") if values else frame.select("_id", F.lit(None).cast("string").alias(name))
 
     def relational_views(self) -> dict[str, DataFrame]:
-        """type, type_parent, type_label, property, role, node and edge as frames."""
-        out = self.catalog.frames(self.spark)
+        """type, type_parent, type_label, property, role, node and edge as frames.
+
+        The catalog's are sent to all tasks: dealt out by type, nearly all nodes would meet in a few.
+        """
+        out = {k: F.broadcast(f) for k, f in self.catalog.frames(self.spark).items()}
         frames = [f.select("_id", F.lit(self.catalog.types[t].type_id).alias("type_id")) for t, f in self.nodes.items()]
         out["node"] = reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], "_id long, type_id int")
         frames = [f.select("_id", F.lit(self.catalog.types[t].type_id).alias("type_id"), "_src", "_dst") for t, f in self.edges.items()]

@@ -19,13 +19,26 @@ from quiver.catalog import GraphError, data_type
 from quiver.functions.expressions import Compiler, Element, Scope, quoted
 from quiver.graph import Graph, dense_ids
 from quiver.operators.history import log_change
-from quiver.operators.traverse import _cut
+from quiver.operators.traverse import FEW, _cut
 from quiver.plans import cypher_parser as ast
 from quiver.plans.cypher import Reader, cypher, is_write
 
 _NAMES = {T.LongType: "long", T.IntegerType: "int", T.DoubleType: "double", T.BooleanType: "bool", T.StringType: "string", T.FloatType: "real", T.DateType: "date", T.TimestampType: "timestamp", T.TimestampNTZType: "timestamp_ntz", T.DecimalType: "decimal"}
 
 
+#: Bytes of texts in a new type's nodes up to which they are sent to all tasks.
+SENT_BYTES = 8 << 20
+
+
+def sent(rows: DataFrame, n: int) -> DataFrame:
+    """New nodes, to be broadcast if they are few and short: else the many edges of each would meet in one task."""
+    plain = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    if n > FEW or not all(isinstance(f.dataType, plain) for f in rows.schema):
+        return rows
+    texts = [F.coalesce(F.sum(F.octet_length(quoted(f.name))), F.lit(0)) for f in rows.schema if isinstance(f.dataType, T.StringType)]
+    return F.broadcast(rows) if not texts or sum(rows.agg(*texts).first()) <= SENT_BYTES else rows
+
+
 def kind_name(kind: T.DataType) -> str:
     if isinstance(kind, T.ArrayType):
         return "int[]" if isinstance(kind.elementType, (T.LongType, T.IntegerType)) else "text[]" if isinstance(kind.elementType, T.StringType) else "vector(1)"
@@ -84,8 +97,10 @@ class Writer(Reader):
         top = store[type_name].agg(F.max("_id")).first()[0]
         return 1 if top is None else ids.id_local(top) + 1
 
-    def union(self, store: dict, type_name: str, rows: DataFrame, edges: bool) -> None:
+    def union(self, store: dict, type_name: str, rows: DataFrame, edges: bool, n: int | None = None) -> None:
         old = store.get(type_name)
+        if old is None and not edges and n is not None:
+            rows = sent(rows, n)
         self.touched.add(type_name)
         if type_name in self.graph.tracked:
             log_change(self.graph, rows, "i", edges)
@@ -173,7 +188,7 @@ class Writer(Reader):
         rows = frame.select(*(F.col(quoted(c)).alias(p) for p, c in columns.items()))
         self.made = rows.count()
         self.add("properties_set", self.made * len(values))
-        self.union(store, t, rows, ends is not None)
+        self.union(store, t, rows, ends is not None, self.made)
         return self.scope(frame, scope.vars | {var: Element("edge" if ends else "node", columns, [t])})
 
     def merge(self, scope: Scope, m: ast.Merge) -> Scope:
@@ -433,9 +448,10 @@ def _create(graph: Graph, type_name: str, rows: DataFrame, ends) -> Graph:
     kinds = {p: w.ensure_property(type_name, p, rows.schema[p].dataType) for p in rows.columns if p not in ("_src", "_dst")}
     numbered = dense_ids(_cut(rows), "_local", w.next_local(store, type_name))
     made = _cut(numbered.select(ids.make_id(0, w.graph.catalog.get(type_name).type_id, F.col("_local")).alias("_id"), *(ends or ()), *(F.col(p).cast(k).alias(p) for p, k in kinds.items())))
-    w.union(store, type_name, made, bool(ends))
+    n = made.count()
+    w.union(store, type_name, made, bool(ends), n)
     w.check_constraints()
-    w.graph.counters = {"relationships_created" if ends else "nodes_created": made.count()}
+    w.graph.counters = {"relationships_created" if ends else "nodes_created": n}
     return w.graph
 
 

@@ -175,3 +175,34 @@ def test_keys_of_mapped_tables(spark):
     bad = Graph(spark).create_type("N", name="long").map_table("N", spark.range(1).selectExpr("id - 5 AS k"), "k", {"name": "k"})
     with pytest.raises(Exception, match="out of range"):
         bad.nodes["N"].collect()
+
+
+@pytest.fixture
+def no_guess(spark):
+    """Only what is asked for is broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_nodes_are_not_dealt_out_by_type(spark, no_guess):
+    """The catalog is sent to the nodes: one type's rows would meet in one task."""
+    from pyspark.sql import functions as F
+
+    from quiver.queries import queries
+
+    found = queries()["relational_views"](spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" in (plan := _plan(found)) and "SortMergeJoin" not in plan
+    g = Graph(spark).create_type("Kind", name="string").create_type("Thing", name="string").relation("OF", "Thing", "Kind")
+    g = write.create_nodes(g, "Kind", spark.range(2).select(F.col("id").cast("string").alias("name")))
+    g = write.create_nodes(g, "Thing", spark.range(20000).select(F.col("id").cast("string").alias("name")))
+    kinds, things = g.nodes["Kind"].select(F.col("_id").alias("_dst"), "name"), g.nodes["Thing"]
+    g = write.create_edges(g, "OF", things.select(F.col("_id").alias("_src"), (F.col("name").cast("int") % 2).cast("string").alias("name")).join(kinds, "name").select("_src", "_dst"))
+    found = cypher(g, "MATCH (:Thing)-[:OF]->(k:Kind) RETURN k.name AS name, count(*) AS n")
+    assert "BroadcastHashJoin" in _plan(found) and {tuple(r) for r in found.collect()} == {("0", 10000), ("1", 10000)}
+    wide = write.create_nodes(Graph(spark).create_type("Kind", name="string"), "Kind", spark.range(9).select(F.repeat(F.lit("x"), 1 << 20).alias("name")))
+    assert "ResolvedHint" not in wide.nodes["Kind"]._jdf.queryExecution().analyzed().toString()

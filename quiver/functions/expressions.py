@@ -42,6 +42,10 @@ class Path:
     nodes: str
 
 
+#: Name of the variable that has the number of rows a row stands for, where a scope was counted before it is joined on.
+WEIGHT = "_weight"
+
+
 @dataclass
 class Scope:
     frame: DataFrame
@@ -317,11 +321,14 @@ class Compiler:
         """An aggregate call to an aggregate Column; sum of nothing is 0, collect drops nulls."""
         _, name, args, distinct = e
         f = name.lower()
+        weight = self.scope.vars.get(WEIGHT)  # the number of rows that a row stands for
         if not args or args[0] == ("star",):
-            return F.count(F.lit(1))
+            return F.count(F.lit(1)) if weight is None else F.coalesce(F.sum(quoted(weight.column)), F.lit(0).cast("long"))
         v = self.scope.vars.get(args[0][1]) if args[0][0] == "var" and args[0][1] not in self.local else None
         c = F.col(quoted(v.columns["_id"])) if isinstance(v, Element) and f == "count" else self(args[0])
         if f == "count":
+            if weight is not None and not distinct:
+                return F.coalesce(F.sum(F.when(c.isNotNull(), F.col(quoted(weight.column)))), F.lit(0).cast("long"))
             return F.count_distinct(c) if distinct else F.count(c)
         if f == "collect":
             return F.collect_set(c) if distinct else F.collect_list(c)

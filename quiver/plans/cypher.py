@@ -16,9 +16,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quiver.catalog import GraphError
-from quiver.functions.expressions import Compiler, Element, Path, Scope, Value, quoted
+from quiver.functions.expressions import WEIGHT, Compiler, Element, Path, Scope, Value, quoted
 from quiver.graph import BOTH, Graph, turned
 from quiver.operators import traverse
 from quiver.plans import cypher_parser as ast
@@ -40,6 +41,30 @@ def is_write(q: ast.Query) -> bool:
     return any(isinstance(c, WRITES) for c in q.clauses) or (q.union is not None and is_write(q.union[1]))
 
 
+def weighed(a: tuple) -> bool:
+    """An aggregate that can be had from rows that stand for several."""
+    name = a[1].lower()
+    return name in ("count", "min", "max") or (name == "collect" and bool(a[3]))
+
+
+def asked(e: tuple, props: dict) -> None:
+    """Add the properties of each variable that an expression reads; None where it reads the whole."""
+    if e[0] == "prop" and e[1][:1] == ("var",):
+        have = props.setdefault(e[1][1], set())
+        if have is not None:
+            have.add(e[2])
+        return
+    if e[0] == "call" and e[1].lower() == "count" and e[2] and e[2][0][0] == "var":
+        props.setdefault(e[2][0][1], set())
+        return
+    if e[0] == "var":
+        props[e[1]] = None
+    for v in ast.variables(e) if e[0] in ("comprehension", "quantifier") else ():
+        props[v] = None
+    for c in ast.children(e):
+        asked(c, props)
+
+
 class Reader:
     def __init__(self, graph: Graph, params: dict | None = None, null_safe: bool = True):
         self.graph, self.params, self.null_safe, self.names = graph, params or {}, null_safe, 0
@@ -71,7 +96,7 @@ class Reader:
 
     def clause(self, scope: Scope, c, later) -> Scope:
         if isinstance(c, ast.Match):
-            return self.match(scope, c, self.blind(c, later))
+            return self.match(self.gathered(scope, c, later), c, self.blind(c, later))
         if isinstance(c, ast.Unwind):
             name = self.fresh("_u")
             column = Compiler(scope)(c.expr)
@@ -97,6 +122,50 @@ class Reader:
             return p.distinct
         return all(a[1].lower() in ("min", "max") or (a[1].lower() in ("count", "collect") and a[3] and a[2] and a[2][0] != ("star",)) for a in used)
 
+    def gathered(self, scope: Scope, match: ast.Match, later) -> Scope:
+        """The scope by what is still asked for, each row with the number of rows that it stands for.
+
+        Two patterns that meet in a node would be joined pair by pair only for the
+        pairs to be counted; so the first is counted before it meets the second.
+        """
+        rest, p = [match], None
+        for c in later:
+            if not isinstance(c, ast.Match):
+                p = c
+                break
+            rest.append(c)
+        if not scope.vars or not isinstance(p, ast.Projection) or p.items is None or any(m.optional for m in rest):
+            return scope
+        shown = [i.expr for i in p.items] + [e for e, _ in p.order]
+        used = [a for e in shown for a in ast.aggregates(e)]
+        if not used or not all(weighed(a) for a in used):
+            return scope
+        props: dict[str, set | None] = {}  # None: the whole element
+        for e in [*shown, *([p.where] if p.where else []), *(m.where for m in rest if m.where)]:
+            asked(e, props)
+        for path in (x for m in rest for x in m.patterns):
+            for x in (*path.nodes, *path.edges):
+                if x.var:
+                    props.setdefault(x.var, set())
+                    if props[x.var] is not None:
+                        props[x.var] |= set(x.props)
+                for e in x.props.values():
+                    asked(e, props)
+            if path.var:
+                props[path.var] = None
+        kept = {v: scope.vars[v] for v in props if v in scope.vars}
+        if any(not isinstance(v, Element) or props[k] is None for k, v in kept.items()) or not set(scope.vars) - set(kept) - {WEIGHT}:
+            return scope
+        # Ids and the properties asked for are the keys, so rows that share an id by fault stay apart.
+        slim = {k: Element(v.kind, {c: n for c, n in v.columns.items() if c in props[k] or c.startswith("_")}, v.types) for k, v in kept.items()}
+        keys = [quoted(n) for v in slim.values() for n in v.columns.values()]
+        kinds = [scope.frame.schema[n].dataType for v in slim.values() for n in v.columns.values()]
+        if any(isinstance(t, (T.MapType, T.VariantType)) for t in kinds):
+            return scope
+        rows = F.sum(quoted(scope.vars[WEIGHT].column)) if WEIGHT in scope.vars else F.count(F.lit(1))
+        frame = scope.frame.groupBy(*keys).agg(rows.alias(WEIGHT)).filter(F.col(WEIGHT) > 0)
+        return self.scope(frame, slim | {WEIGHT: Value(WEIGHT)})
+
     # patterns ------------------------------------------------------------
     def node_scan(self, scope: Scope, p: ast.NodePattern, var: str) -> tuple[DataFrame, Element]:
         types = self.graph.catalog.resolve(p.labels)

@@ -206,3 +206,36 @@ def test_nodes_are_not_dealt_out_by_type(spark, no_guess):
     assert "BroadcastHashJoin" in _plan(found) and {tuple(r) for r in found.collect()} == {("0", 10000), ("1", 10000)}
     wide = write.create_nodes(Graph(spark).create_type("Kind", name="string"), "Kind", spark.range(9).select(F.repeat(F.lit("x"), 1 << 20).alias("name")))
     assert "ResolvedHint" not in wide.nodes["Kind"]._jdf.queryExecution().analyzed().toString()
+
+
+def test_matches_that_meet_are_counted_before_they_are_joined(spark):
+    """Counts over two patterns with a node in common, equal to those over all pairs of rows."""
+    import random
+
+    rng = random.Random(5)
+    towns = {i: None if i == 3 else f"t{i % 4}" for i in range(6)}
+    people = [(i, rng.randrange(6), rng.choice([None, "x", "y", "z"])) for i in range(25)]
+    shops = [(i, rng.randrange(5), rng.choice([None, 1, 2, 3])) for i in range(20)]
+    g = Graph(spark).create_type("Town", name="string").create_type("Person", nick="string").create_type("Shop", size="int").relation("LIVES", "Person", "Town").relation("STANDS", "Shop", "Town")
+    g.map_table("Town", spark.createDataFrame([*towns.items(), (0, "again")], "k long, name string"), "k", {"name": "name"})  # town 0 twice
+    people_frame, shops_frame = spark.createDataFrame(people, "k long, t long, nick string"), spark.createDataFrame(shops, "k long, t long, size int")
+    g.map_table("Person", people_frame, "k", {"nick": "nick"}).map_table("Shop", shops_frame, "k", {"size": "size"})
+    g.map_edges("LIVES", people_frame, ("Person", "k"), ("Town", "t"), key="k").map_edges("STANDS", shops_frame, ("Shop", "k"), ("Town", "t"), key="k")
+    joined = [(k, name, p, s) for k, name in [*towns.items(), (0, "again")] for p in people if p[1] == k for s in shops if s[1] == k]
+
+    def by_name(value):
+        return sorted(((n, *value([j for j in joined if j[1] == n])) for n in {j[1] for j in joined}), key=repr)
+
+    two = "MATCH (p:Person)-[:LIVES]->(t:Town) MATCH (s:Shop)-[:STANDS]->(t) "
+    counted = cypher(g, two + "RETURN t.name AS name, count(*) AS n, count(s.size) AS sizes, count(DISTINCT s) AS shops, max(s.size) AS top")
+    assert "sum(_weight" in counted._jdf.queryExecution().optimizedPlan().toString()
+    least = lambda js: (len(js), sum(j[3][2] is not None for j in js), len({j[3][0] for j in js}), max((j[3][2] for j in js if j[3][2] is not None), default=None))
+    assert sorted(map(tuple, counted.collect()), key=repr) == by_name(least)
+    assert rows(g, two + "WHERE s.size > 1 AND p.nick <> 'x' RETURN count(*) AS n") == [(sum(j[3][2] is not None and j[3][2] > 1 and j[2][2] != "x" for j in joined),)]
+    assert rows(g, two + "RETURN count(p.nick) AS n, count(p) AS p") == [(sum(j[2][2] is not None for j in joined), len(joined))]
+    assert rows(g, two + "RETURN sum(s.size) AS n") == [(sum(j[3][2] or 0 for j in joined),)]
+    three = [(j, q) for j in joined for q in people if q[1] == j[0]]
+    assert rows(g, two + "MATCH (q:Person)-[:LIVES]->(t) RETURN count(*) AS n, count(q.nick) AS nicks") == [(len(three), sum(q[2] is not None for _, q in three))]
+    assert rows(g, "MATCH (p:Person) MATCH (s:Shop) RETURN count(*) AS n") == [(500,)]
+    assert rows(g, "MATCH (p:Person {nick: 'none'}) MATCH (s:Shop) RETURN count(*) AS n") == [(0,)]
+    assert rows(g, "MATCH (p:Person {nick: 'none'}) MATCH (s:Shop) RETURN s.size AS size, count(*) AS n") == []

@@ -77,7 +77,8 @@ def reach(starts: DataFrame, edges: DataFrame, low: int = 1, high: int | None =
     """
     if low > 1:
         raise GraphError("reach needs a lower bound of 0 or 1; use trails", "bounds")
-    steps = edges.select(F.col("_src").alias("_from"), F.col("_dst").alias("_to")).distinct()
+    # Not made distinct: each level is, and a task would hold all of its steps for that.
+    steps = edges.select(F.col("_src").alias("_from"), F.col("_dst").alias("_to"))
     if high is None or high > 1:  # dealt out by start once, so that a level only moves its frontier
         steps = _cut(steps.repartition("_from"))
     frontier = _cut(starts.select(F.col("_id").alias("start"), F.col("_id").alias("node")).distinct())

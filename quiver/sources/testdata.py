@@ -10,6 +10,8 @@ from quiver.graph import Graph, dense_ids
 from quiver.ids import MAX_LOCAL
 
 
+#: Lines of which one task finds the distinct pairs of supplier and part, about.
+PAIR_LINES = 1_000_000
 _graphs: dict[tuple[str, str], Graph] = {}
 
 
@@ -90,7 +92,10 @@ def _build(spark: SparkSession, sf_dir: str) -> Graph:
     g.map_edges("CONTAINS", lineitem, ("Order", "l_orderkey"), ("Part", "l_partkey"), {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "returnflag": "l_returnflag"})
     g.map_edges("SHIPPED_BY", lineitem, ("Order", "l_orderkey"), ("Supplier", "l_suppkey"), {"quantity": "l_quantity"})
     # A pair's edge is named by its first line: a product of both keys would leave the local bits.
-    pairs = dense_ids(lineitem.select("l_suppkey", "l_partkey"), "line", 0).groupBy("l_suppkey", "l_partkey").agg(F.min("line").alias("key"))
+    # Dealt out by a count of lines, so that a task holds a bounded number of pairs.
+    tasks = lineitem.count() // PAIR_LINES + 1
+    lines = dense_ids(lineitem.select("l_suppkey", "l_partkey"), "line", 0).repartition(tasks, "l_suppkey", "l_partkey")
+    pairs = lines.groupBy("l_suppkey", "l_partkey").agg(F.min("line").alias("key"))
     g.map_edges("SUPPLIES", pairs, ("Supplier", "l_suppkey"), ("Part", "l_partkey"), key="key")
     # A turn's successor is found by a join, so the edge exists only if both ends do.
     after = turns.select(F.col("conv_id"), (F.col("turn") - 1).alias("turn"), F.col("key").alias("next"))

@@ -176,3 +176,18 @@ def test_hops_make_no_product_of_pairs_and_nodes(spark, monkeypatch):
     got = {r.dst: r.hops for r in traverse.hops(pairs, edges, 20).collect()}
     assert got == {d: 1 if d <= 1000 else None for d in range(1, 3001)}
     assert len(joined) == 2 and max(joined) <= 3000
+
+
+def test_pairs_are_found_in_tasks_of_bounded_size(spark, monkeypatch, tmp_path):
+    """Tasks grow in number with the lines; reach keeps parallel edges out of its levels without a distinct set of steps."""
+    from quiver.sources import testdata
+
+    (tmp_path / "copy").symlink_to("/root/testdata/sf0.001")
+    monkeypatch.setattr(testdata, "PAIR_LINES", 200)
+    g = testdata.testdata_graph(spark, str(tmp_path / "copy"))
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_suppkey", "l_partkey")
+    assert g.edges["SUPPLIES"].rdd.getNumPartitions() >= lines.count() // 200
+    assert g.edges["SUPPLIES"].select("_src", "_dst").distinct().count() == g.edges["SUPPLIES"].count() == lines.distinct().count()
+    edges = frame(spark, [(i, i % 3, i % 3 + 1) for i in range(300)])
+    found = traverse.reach(spark.createDataFrame([(0,)], "_id long"), edges, 1, 3)
+    assert sorted(map(tuple, found.collect())) == [(0, 1, 1), (0, 2, 2), (0, 3, 3)]
